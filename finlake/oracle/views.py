@@ -360,6 +360,105 @@ WHERE c.active
 GROUP BY c.code, c.name, c.account_type, c.subtype, c.default_tax_code""")
 
 
+_view("o_monthly", ("v_transactions",), """
+SELECT company_id, strftime(transaction_date, '%Y-%m') AS month,
+       sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS revenue,
+       sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS expenses
+FROM v_transactions GROUP BY 1, 2""")
+
+_view("o_snapshot", ("v_assets_liabilities", "o_trial_balance", "o_monthly", "v_invoices", "v_transactions"), f"""
+WITH st AS (
+  SELECT company_id,
+    sum(CASE WHEN category = 'asset' AND classification = 'current' THEN amount ELSE 0 END) AS current_assets,
+    sum(CASE WHEN category = 'liability' AND classification = 'current' THEN amount ELSE 0 END) AS current_liabilities,
+    sum(CASE WHEN category = 'asset' AND contains(lower(name), 'inventory') THEN amount ELSE 0 END) AS inventory,
+    sum(CASE WHEN category = 'asset' AND (id = 'asset-cash' OR contains(lower(name), 'cash')) THEN amount ELSE 0 END) AS cash,
+    sum(CASE WHEN category = 'asset' THEN amount ELSE 0 END) AS total_assets,
+    sum(CASE WHEN category = 'liability' THEN amount ELSE 0 END) AS total_liabilities
+  FROM v_assets_liabilities GROUP BY company_id),
+tb AS (SELECT *, CAST(round(CAST(balance AS DOUBLE), 2) AS DECIMAL(18,2)) AS b FROM o_trial_balance),
+lg AS (
+  SELECT company_id, sum(posted_lines) AS l_posted_lines,
+    sum(CASE WHEN account_type = 'asset' AND contains(lower(subtype), 'current') AND NOT contains(lower(subtype), 'non-current') THEN b ELSE 0 END) AS l_current_assets,
+    sum(CASE WHEN account_type = 'liability' AND contains(lower(subtype), 'current') THEN b ELSE 0 END) AS l_current_liabilities,
+    sum(CASE WHEN account_type = 'asset' AND contains(lower(name), 'inventory') THEN b ELSE 0 END) AS l_inventory,
+    sum(CASE WHEN account_type = 'asset' AND (contains(lower(name), 'cash') OR contains(lower(name), 'bank')) THEN b ELSE 0 END) AS l_cash,
+    sum(CASE WHEN account_type = 'asset' THEN b ELSE 0 END) AS l_total_assets,
+    sum(CASE WHEN account_type = 'liability' THEN b ELSE 0 END) AS l_total_liabilities,
+    sum(CASE WHEN account_type = 'revenue' THEN b ELSE 0 END) AS l_revenue,
+    sum(CASE WHEN account_type = 'expense' THEN b ELSE 0 END) AS l_expenses
+  FROM tb GROUP BY company_id),
+mr AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS rn FROM o_monthly),
+mo AS (
+  SELECT company_id, count(*) AS months, sum(CASE WHEN rn = 1 THEN revenue ELSE 0 END) AS rev1,
+         sum(CASE WHEN rn = 1 THEN expenses ELSE 0 END) AS exp1, sum(CASE WHEN rn = 2 THEN revenue ELSE 0 END) AS rev2
+  FROM mr WHERE rn <= 2 GROUP BY company_id),
+iv AS (
+  SELECT company_id, sum(CASE WHEN status NOT IN ('paid', 'cancelled') THEN amount ELSE 0 END) AS open_total,
+         sum(CASE WHEN status NOT IN ('paid', 'cancelled') AND due_date < DATE '{P.AS_OF}' THEN amount ELSE 0 END) AS overdue_total
+  FROM v_invoices GROUP BY company_id),
+an AS (SELECT company_id, count(CASE WHEN status IN ('anomaly', 'critical') THEN 1 END) AS anomaly_count
+       FROM v_transactions GROUP BY company_id),
+b AS (
+  SELECT lg.company_id, coalesce(l_posted_lines, 0) > 0 AS use_ledger,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_current_assets ELSE coalesce(st.current_assets, 0) END AS ca,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_current_liabilities ELSE coalesce(st.current_liabilities, 0) END AS cl,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_inventory ELSE coalesce(st.inventory, 0) END AS inv,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_cash ELSE coalesce(st.cash, 0) END AS cash,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_total_assets ELSE coalesce(st.total_assets, 0) END AS ta,
+    CASE WHEN coalesce(l_posted_lines, 0) > 0 THEN l_total_liabilities ELSE coalesce(st.total_liabilities, 0) END AS tl,
+    CASE WHEN coalesce(months, 0) > 0 THEN rev1 ELSE coalesce(l_revenue, 0) END AS rev,
+    CASE WHEN coalesce(months, 0) > 0 THEN exp1 ELSE coalesce(l_expenses, 0) END AS exp,
+    CASE WHEN coalesce(months, 0) > 1 THEN rev2 WHEN coalesce(months, 0) > 0 THEN rev1 ELSE coalesce(l_revenue, 0) END AS prev,
+    coalesce(open_total, 0) AS open_total, coalesce(overdue_total, 0) AS overdue_total,
+    CAST(coalesce(anomaly_count, 0) AS BIGINT) AS anomaly_count
+  FROM lg LEFT JOIN st USING (company_id) LEFT JOIN mo USING (company_id) LEFT JOIN iv USING (company_id)
+  LEFT JOIN an USING (company_id)),
+d AS (
+  SELECT *, CAST(ca AS DOUBLE) AS ca_d, CAST(cl AS DOUBLE) AS cl_d, CAST(inv AS DOUBLE) AS inv_d,
+         CAST(cash AS DOUBLE) AS cash_d, CAST(ta AS DOUBLE) AS ta_d, CAST(tl AS DOUBLE) AS tl_d,
+         CAST(rev AS DOUBLE) AS rv, CAST(exp AS DOUBLE) AS ex, CAST(prev AS DOUBLE) AS pv, CAST(open_total AS DOUBLE) AS ot
+  FROM b)
+SELECT company_id,
+  round(ca_d, 2) AS current_assets, round(cl_d, 2) AS current_liabilities,
+  CASE WHEN cl_d <> 0 THEN round(ca_d / cl_d, 2) END AS current_ratio,
+  CASE WHEN cl_d <> 0 THEN round((ca_d - inv_d) / cl_d, 2) END AS quick_ratio,
+  round(CAST(ca - cl AS DOUBLE), 2) AS working_capital, round(cash_d, 2) AS cash, round(inv_d, 2) AS inventory,
+  round(ta_d, 2) AS total_assets, round(tl_d, 2) AS total_liabilities,
+  CASE WHEN ta_d <> 0 THEN round(tl_d / ta_d, 2) END AS debt_to_assets, anomaly_count,
+  round(rv, 2) AS revenue_month, round(ex, 2) AS expenses_month,
+  CASE WHEN pv <> 0 THEN round((rv - pv) / pv * 100, 1) ELSE 0.0 END AS revenue_change,
+  CASE WHEN rv <> 0 THEN round((rv - ex) / rv * 100, 1) ELSE 0.0 END AS gross_margin,
+  CAST(round_even(ot / greatest(rv, 1.0) * 30, 0) AS BIGINT) AS receivable_days,
+  CAST(round_even(cl_d / greatest(ex, 1.0) * 30, 0) AS BIGINT) AS payable_days,
+  CASE WHEN ex / 30 <> 0 THEN CAST(trunc(cash_d / (ex / 30)) AS BIGINT) ELSE 0 END AS cash_runway_days,
+  round(ot, 2) AS open_invoice_total, round(CAST(overdue_total AS DOUBLE), 2) AS overdue_invoice_total,
+  CASE WHEN use_ledger THEN 'posted_ledger' ELSE 'assets_liabilities' END AS position_basis
+FROM d""")
+
+_view("o_forecast", ("o_snapshot", "v_transactions", "v_invoices"), f"""
+WITH r AS (
+  SELECT company_id, sum(amount) AS net, count(*) AS n FROM v_transactions
+  WHERE transaction_date >= DATE '{P.AS_OF}' - 90 GROUP BY company_id),
+base AS (
+  SELECT s.company_id, s.cash,
+         coalesce(CAST(r.net AS DOUBLE), 0.0) / CASE WHEN coalesce(r.n, 0) > 0 THEN 90.0 ELSE 30.0 END AS daily_net
+  FROM o_snapshot s LEFT JOIN r USING (company_id)),
+due AS (
+  SELECT company_id, CAST(ceil(date_diff('day', DATE '{P.AS_OF}', due_date) / 7) AS INTEGER) AS step, sum(amount) AS due
+  FROM v_invoices
+  WHERE status NOT IN ('paid', 'cancelled') AND due_date BETWEEN DATE '{P.AS_OF}' AND DATE '{P.AS_OF}' + 90
+  GROUP BY 1, 2),
+grid AS (SELECT base.*, CAST(step AS INTEGER) AS step FROM base, range(0, {P.FORECAST_DAYS // 7 + 1}) t(step)),
+j AS (
+  SELECT g.*, sum(coalesce(d.due, 0)) OVER (PARTITION BY g.company_id ORDER BY g.step
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_due
+  FROM grid g LEFT JOIN due d ON d.company_id = g.company_id AND d.step = g.step AND d.step BETWEEN 1 AND {P.FORECAST_DAYS // 7})
+SELECT company_id, step, DATE '{P.AS_OF}' + step * 7 AS date, strftime(DATE '{P.AS_OF}' + step * 7, '%d %b') AS label,
+       round(cash + (step * 7) * daily_net - CAST(cum_due AS DOUBLE), 2) AS forecast,
+       round(daily_net, 2) AS daily_net_assumption
+FROM j""")
+
 def with_views(*names: str) -> str:
     """``WITH`` clause holding the named views and their dependencies (topologically ordered)."""
     order: list[str] = []

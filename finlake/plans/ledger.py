@@ -81,18 +81,19 @@ def rule_first_match(df: DataFrame, rules: list[dict] | None = None, supplier: s
     reason = F.when(hit.isNull(), F.lit("No approved supplier or keyword rule matched this invoice.")).otherwise(
         F.concat(F.lit("Matched the saved keyword '"), hit.keyword, F.lit("'."),
                  F.when(capital, F.lit(" Capital treatment and depreciation require review.")).otherwise(F.lit(""))))
-    return (df.withColumn("_sn", normalise_text(F.col(supplier))).withColumn("_dn", normalise_text(F.col(description)))
-            .withColumn("_hay", F.trim(F.concat_ws(" ", sn, dn)))
-            .withColumn("_hit", F.get(table, evaluate_once(idx)))
-            .withColumn("rule_id", F.col("_hit.rule_id"))
-            .withColumn("keyword", F.col("_hit.keyword"))
-            .withColumn("c_account_code", code)
-            .withColumn("c_tax_code", F.coalesce(F.col("_hit.tax_code"), F.lit("REVIEW")))
-            .withColumn("c_confidence", conf)
-            .withColumn("c_status", status)
-            .withColumn("c_reason", reason)
-            .withColumn("c_source", F.coalesce(F.col("_hit.source"), F.lit("fallback")))
-            .drop("_sn", "_dn", "_hay", "_hit"))
+    staged = (df.withColumns({"_sn": normalise_text(F.col(supplier)), "_dn": normalise_text(F.col(description))})
+              .withColumn("_hay", F.trim(F.concat_ws(" ", sn, dn)))
+              .withColumn("_hit", F.get(table, evaluate_once(idx))))
+    return staged.withColumns({
+        "rule_id": hit.rule_id,
+        "keyword": hit.keyword,
+        "c_account_code": code,
+        "c_tax_code": F.coalesce(hit.tax_code, F.lit("REVIEW")),
+        "c_confidence": conf,
+        "c_status": status,
+        "c_reason": reason,
+        "c_source": F.coalesce(hit.source, F.lit("fallback")),
+    }).drop("_sn", "_dn", "_hay", "_hit")
 
 
 def classify_invoices(inv: DataFrame, rules: list[dict] | None = None) -> DataFrame:
@@ -100,18 +101,19 @@ def classify_invoices(inv: DataFrame, rules: list[dict] | None = None) -> DataFr
     c = rule_first_match(inv, rules)
     sales = F.col("invoice_kind") == "sales"
     manual = (F.col("validation_status") == "approved") & F.col("account_code").isNotNull() & ~sales
-    return (c
-            .withColumn("c_account_code", F.when(sales, "4000").when(manual, F.col("account_code")).otherwise(F.col("c_account_code")))
-            .withColumn("c_tax_code", F.when(sales, F.coalesce("tax_code", F.lit("GST")))
-                        .when(manual, F.coalesce("tax_code", F.lit("GST"))).otherwise(F.col("c_tax_code")))
-            .withColumn("c_confidence", F.when(sales, F.lit(0.99)).when(manual, F.lit(1.0)).otherwise(F.col("c_confidence")))
-            .withColumn("c_status", F.when(sales, "auto_approved").when(manual, "approved").otherwise(F.col("c_status")))
-            .withColumn("rule_id", F.when(sales | manual, F.lit(None)).otherwise(F.col("rule_id")))
-            .withColumn("keyword", F.when(sales | manual, F.lit(None)).otherwise(F.col("keyword")))
-            .withColumn("c_account_name", _account_name_map()[F.col("c_account_code")])
-            .withColumn("c_account_type", _account_type_map()[F.col("c_account_code")])
-            .withColumn("c_validation", F.when(F.col("c_status").isin("auto_approved", "approved"), "approved")
-                        .otherwise("needs_review")))
+    code = F.when(sales, "4000").when(manual, F.col("account_code")).otherwise(F.col("c_account_code"))
+    status = F.when(sales, "auto_approved").when(manual, "approved").otherwise(F.col("c_status"))
+    return c.withColumns({
+        "c_account_code": code,
+        "c_tax_code": F.when(sales | manual, F.coalesce("tax_code", F.lit("GST"))).otherwise(F.col("c_tax_code")),
+        "c_confidence": F.when(sales, F.lit(0.99)).when(manual, F.lit(1.0)).otherwise(F.col("c_confidence")),
+        "c_status": status,
+        "rule_id": F.when(sales | manual, F.lit(None)).otherwise(F.col("rule_id")),
+        "keyword": F.when(sales | manual, F.lit(None)).otherwise(F.col("keyword")),
+        "c_account_name": _account_name_map()[code],
+        "c_account_type": _account_type_map()[code],
+        "c_validation": F.when(status.isin("auto_approved", "approved"), "approved").otherwise("needs_review"),
+    })
 
 
 def gst_split(df: DataFrame, gst_registered: bool = P.GST_REGISTERED) -> DataFrame:
@@ -121,7 +123,7 @@ def gst_split(df: DataFrame, gst_registered: bool = P.GST_REGISTERED) -> DataFra
     gst = (F.when(explicit > 0, explicit)
            .when(F.lit(gst_registered) & (F.col("c_tax_code") == "GST"), F.round(total / 11, 2))
            .otherwise(F.lit(0))).cast(MONEY)
-    df = df.withColumn("total", total).withColumn("gst", gst)
+    df = df.withColumns({"total": total, "gst": gst})
     net = F.when(explicit > 0, F.coalesce(F.nullif(F.abs(F.col("subtotal")), F.lit(0)),
                                           F.greatest(F.col("total") - F.col("gst"), F.lit(0))))\
         .otherwise(F.col("total") - F.col("gst"))
@@ -142,9 +144,10 @@ def invoice_journals(inv: DataFrame, opening_cutoff: str | None = P.OPENING_CUTO
     trial balance needs no lines-entries join."""
     g = gst_split(classify_invoices(inv, rules), gst_registered)
     within = F.lit(False) if not opening_cutoff else (F.col("invoice_date") <= F.lit(opening_cutoff).cast("date"))
-    g = g.withColumn("entry_status", F.when(F.col("c_validation") != "approved", "draft")
-                     .when(within, "included_in_opening").otherwise("posted"))
-    g = g.withColumn("journal_id", F.concat(F.lit("je-invoice-"), F.col("id")))
+    g = g.withColumns({
+        "entry_status": F.when(F.col("c_validation") != "approved", "draft").when(within, "included_in_opening").otherwise("posted"),
+        "journal_id": F.concat(F.lit("je-invoice-"), F.col("id")),
+    })
     zero = F.lit(0)
     tax = F.col("c_tax_code")
     has_gst = F.col("gst") != 0
