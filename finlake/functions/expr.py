@@ -50,7 +50,7 @@ def safe_float(x: str | Column) -> Column:
 def safe_date(x: str | Column, as_of: str) -> Column:
     """First 10 characters as an ISO date, else the ``as_of`` date (no wall clock)."""
     s = F.substring(F.trim(col_(x).cast("string")), 1, 10)
-    return F.coalesce(F.try_to_date(s, F.lit("yyyy-MM-dd")), F.lit(as_of).cast("date"))
+    return F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.lit(as_of).cast("date"))
 
 
 DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yy", "dd-MM-yy", "yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy")
@@ -59,7 +59,7 @@ DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yy", "dd-MM-yy", "yyyy-MM-dd"
 def multi_format_date(x: str | Column) -> Column:
     """First format that parses wins (ordered like the reference's text-date parser)."""
     s = F.trim(col_(x).cast("string"))
-    return F.coalesce(*[F.try_to_date(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.coalesce(*[F.try_to_date(s, fmt) for fmt in DATE_FORMATS])
 
 
 def first_number(x: str | Column) -> Column:

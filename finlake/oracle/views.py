@@ -166,7 +166,7 @@ _view("v_inventory", (), f"""
 SELECT {_q(P.COMPANY)} AS company_id, 'stk-' || p_partkey AS id, 'SKU-' || p_partkey AS sku, p_name AS name,
        coalesce(q.qty, 0.0) AS quantity, {_money(_cents('p_retailprice'))} AS unit_cost,
        {_money(f"CAST(round(coalesce(q.qty, 0.0) * {_cents('p_retailprice')}) AS BIGINT)")} AS total_value,
-       'WH-' || (p_size % 3) AS location, 'active' AS status, 'stock_count_1997.xlsx' AS source_file
+       'WH-' || (p_size % 3) AS location, 'active' AS status, {_q(P.STOCK_COUNT_FILE)} AS source_file
 FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty FROM lineitem
                      WHERE CAST(l_shipdate AS DATE) <= DATE '{P.STOCK_CUTOFF}' GROUP BY 1) q
   ON p_partkey = q.l_partkey""")
@@ -202,11 +202,11 @@ FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 <> 0)""")
 _view("v_market_signals", (), f"""
 SELECT {_q(P.COMPANY)} AS company_id, 'sig-' || s_suppkey AS id,
        {_case_phrase('s_suppkey % 4', P.SIGNAL_TYPES)} AS signal_type,
-       upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) || ' ' || {_case_phrase('s_suppkey % 4', P.SIGNAL_TYPES)} AS topic,
+       lower(n_name) || ' ' || {_case_phrase('s_suppkey % 4', P.SIGNAL_TYPES)} AS topic,
        n_name AS entity, n_name AS geography,
        DATE '2024-01-01' + CAST(s_suppkey % 700 AS INTEGER) AS observed_at,
        CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE DATE '2023-12-01' + CAST(s_suppkey % 500 AS INTEGER) END AS published_at,
-       CAST(s_acctbal AS VARCHAR) AS value, 'AUD' AS unit,
+       CAST(abs({_cents('s_acctbal')}) // 100000 AS VARCHAR) || ' pts' AS value, 'AUD' AS unit,
        CASE WHEN s_acctbal >= 0 THEN 'up' ELSE 'down' END AS direction,
        'source ' || (s_suppkey % 7) AS source_name,
        'https://source' || (s_suppkey % 7) || '.example.com/' || s_suppkey AS source_url,

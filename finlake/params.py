@@ -41,4 +41,5 @@ UPLOAD_FILE_STEMS = (
 UPLOAD_STATUSES = ("complete", "complete", "failed", "awaiting_mapping", "stale")
 
 DEPARTMENTS = ("Operations", "Sales", "Finance", "People")
-SIGNAL_TYPES = ("competitor", "pricing", "regulation", "demand")
+SIGNAL_TYPES = ("competitor liquidity", "gross margin", "revenue growth", "cash runway")
+STOCK_COUNT_FILE = "stock_count_31Dec1997.xlsx"

@@ -259,7 +259,7 @@ def inventory(t: Tables) -> DataFrame:
         money_from_cents(F.round(qty * unit_cents).cast("bigint")).alias("total_value"),
         F.concat(F.lit("WH-"), _s(F.pmod("p_size", F.lit(3)))).alias("location"),
         F.lit("active").alias("status"),
-        F.lit("stock_count_1997.xlsx").alias("source_file"),
+        F.lit(P.STOCK_COUNT_FILE).alias("source_file"),
     )
 
 
@@ -325,14 +325,14 @@ def market_signals(t: Tables) -> DataFrame:
         F.lit(P.COMPANY).alias("company_id"),
         F.concat(F.lit("sig-"), _s(k)).alias("id"),
         _phrase(F.pmod(k, F.lit(4)), P.SIGNAL_TYPES).alias("signal_type"),
-        F.concat(F.initcap(F.lower("n_name")), F.lit(" "), _phrase(F.pmod(k, F.lit(4)), P.SIGNAL_TYPES)).alias("topic"),
+        F.concat(F.lower("n_name"), F.lit(" "), _phrase(F.pmod(k, F.lit(4)), P.SIGNAL_TYPES)).alias("topic"),
         F.col("n_name").alias("entity"),
         F.col("n_name").alias("geography"),
         F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(k, F.lit(700)).cast("int")).alias("observed_at"),
         F.when(F.pmod(k, F.lit(3)) == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(F.lit("2023-12-01").cast("date"), F.pmod(k, F.lit(500)).cast("int")))
          .alias("published_at"),
-        F.format_number(F.col("s_acctbal"), 2).alias("value"),
+        F.concat(idiv(F.abs(cents_of("s_acctbal")), 100000).cast("string"), F.lit(" pts")).alias("value"),
         F.lit("AUD").alias("unit"),
         F.when(F.col("s_acctbal") >= 0, "up").otherwise("down").alias("direction"),
         F.concat(F.lit("source "), _s(F.pmod(k, F.lit(7)))).alias("source_name"),
