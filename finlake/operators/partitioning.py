@@ -1,0 +1,18 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Round-robin rebalance before per-row CPU work (regex normalisation, rule matching, text
+    parsing) when the input arrives in fewer partitions than the cluster has cores -- e.g. a small
+    file stored as one row group. Large inputs already arrive as >= defaultParallelism splits and are
+    returned unchanged, so this never adds a shuffle at scale. Call it on the narrow projection that
+    feeds the expensive expression, not on the raw scan."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if cores > 1 and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

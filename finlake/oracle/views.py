@@ -20,7 +20,7 @@ def _case_phrase(expr: str, phrases) -> str:
 
 def _norm(expr: str) -> str:
     return (f"trim(regexp_replace(regexp_replace(lower(coalesce(CAST({expr} AS VARCHAR), '')), "
-            f"'[^a-z0-9& .-]+', ' ', 'g'), '\\s+', ' ', 'g'))")
+            f"'[^a-z0-9& .-]+', ' ', 'g'), '\\s+', ' ', 'g'))")  # two-step form, as specified
 
 
 def _money(cents_expr: str) -> str:

@@ -10,23 +10,10 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# Tables whose rows carry per-row CPU work (rule matching, regexes, text). When such a scan comes
-# back as fewer splits than the cluster has cores (one row group per file in small inputs), the
-# rows are rebalanced round-robin so the per-row work uses every core. Large inputs already split
-# into >= defaultParallelism partitions and are left untouched (no extra shuffle at scale).
-FACT_TABLES = ("lineitem", "orders", "events", "documents", "pages", "conversations")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if rebalance and name in FACT_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if cores > 1 and df.rdd.getNumPartitions() < cores:
-            # Catalyst still pushes filters and column pruning below this Repartition.
-            df = df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Tables:
