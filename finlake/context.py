@@ -13,7 +13,27 @@ from .sources import adapters as A
 from .sources.tables import Tables
 
 
+def shared_small(df: DataFrame) -> DataFrame:
+    """Persist a small, widely reused aggregate (statements, trial balance, snapshot: at most tens of
+    rows per company). Spark's cache manager matches equal plans, so every product built on the same
+    data in this session reuses one materialisation; a lost block is recomputed from lineage. Never
+    used for row-level tables."""
+    return df.persist()
+
+
 class Ctx:
+    _instances: dict[tuple, "Ctx"] = {}
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str, as_of: str = P.AS_OF) -> "Ctx":
+        """One context per (session, data directory, as_of): every product of a workspace reuses the
+        same lazily built DataFrames (one analysed plan, shared persisted aggregates)."""
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, as_of)
+        ctx = cls._instances.get(key)
+        if ctx is None:
+            ctx = cls._instances[key] = cls(spark, sf_dir, as_of)
+        return ctx
+
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = P.AS_OF):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -43,7 +63,7 @@ class Ctx:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return A.statement_snapshots(self.t)
+        return shared_small(A.statement_snapshots(self.t))
 
     @cached_property
     def assets_liabilities(self) -> DataFrame:
@@ -73,6 +93,14 @@ class Ctx:
     def uploads(self) -> DataFrame:
         return A.uploads(self.t)
 
+    @cached_property
+    def batch_old(self) -> DataFrame:
+        return A.customer_batch_old(self.t)
+
+    @cached_property
+    def batch_new(self) -> DataFrame:
+        return A.customer_batch_new(self.t)
+
     # ledger
     @cached_property
     def coa(self) -> DataFrame:
@@ -96,4 +124,10 @@ class Ctx:
 
     @cached_property
     def trial_balance(self) -> DataFrame:
-        return L.trial_balance(self.coa, self.lines)
+        return shared_small(L.trial_balance(self.coa, self.lines))
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        from .plans.snapshot import financial_snapshot
+
+        return shared_small(financial_snapshot(self, self.as_of))

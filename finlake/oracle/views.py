@@ -459,6 +459,23 @@ SELECT company_id, step, DATE '{P.AS_OF}' + step * 7 AS date, strftime(DATE '{P.
        round(daily_net, 2) AS daily_net_assumption
 FROM j""")
 
+_view("v_batch_old", (), f"""
+SELECT {_q(P.COMPANY)} AS company_id, 'customers' AS document_type, 'C-' || c_custkey AS code, c_name AS name,
+       CAST(c_nationkey AS VARCHAR) AS country, c_mktsegment AS segment, {_money(_cents('c_acctbal'))} AS balance,
+       c_custkey * 2 AS seq
+FROM customer""")
+
+_view("v_batch_new", (), f"""
+WITH b AS (SELECT *, {_cents('c_acctbal')} + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END AS bc
+           FROM customer WHERE c_custkey % 13 <> 0),
+r AS (
+  SELECT 'C-' || c_custkey AS code, c_name, c_nationkey, c_mktsegment, bc AS cents, c_custkey * 2 AS seq FROM b
+  UNION ALL SELECT 'C-' || c_custkey, c_name, c_nationkey, c_mktsegment, bc + 200, c_custkey * 2 + 1 FROM b WHERE c_custkey % 17 = 0
+  UNION ALL SELECT 'C-N' || c_custkey, c_name, c_nationkey, c_mktsegment, bc, c_custkey * 2 FROM b WHERE c_custkey % 19 = 0)
+SELECT {_q(P.COMPANY)} AS company_id, 'customers' AS document_type, code, c_name AS name, CAST(c_nationkey AS VARCHAR) AS country,
+       c_mktsegment AS segment, {_money('cents')} AS balance, seq
+FROM r""")
+
 def with_views(*names: str) -> str:
     """``WITH`` clause holding the named views and their dependencies (topologically ordered)."""
     order: list[str] = []

@@ -322,7 +322,7 @@ def q_company_market_signals(c: Ctx):
 @query("financial_snapshot", W("o_snapshot") + "SELECT * FROM o_snapshot")
 def q_financial_snapshot(c: Ctx):
     """22 KPIs; balance basis switches to the posted ledger once any journal line is posted."""
-    return SN.financial_snapshot(c, AS_OF)
+    return c.snapshot
 
 
 @query("cash_forecast", W("o_forecast") + "SELECT * FROM o_forecast")

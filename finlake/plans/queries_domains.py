@@ -443,7 +443,7 @@ UNION ALL SELECT company_id, 'Margin strength', round(greatest(0.0, least(140.0,
 UNION ALL SELECT company_id, 'Revenue momentum', round(greatest(0.0, least(140.0, 50 + coalesce(revenue_change, 0.0) * 3.0)), 1) FROM o_snapshot""")
 def q_company_dimensions(c: Ctx):
     """The company's own liquidity, resilience, margin and momentum scores from the snapshot."""
-    return D.company_dimensions(SN.financial_snapshot(c))
+    return D.company_dimensions(c.snapshot)
 
 
 @query("distinct_market_exposure", """

@@ -91,7 +91,7 @@ def q_forecast_due_in_step(c: Ctx):
 
 def validations_run(c: Ctx, previous: DataFrame | None = None) -> DataFrame:
     """Six checks as issue rows; status carried from ``previous`` issues (else 'open')."""
-    s = SN.financial_snapshot(c, P.AS_OF)
+    s = c.snapshot
     ratio, runway = F.col("current_ratio"), F.col("cash_runway_days")
     overdue, rdays = F.col("overdue_invoice_total"), F.col("receivable_days")
     cols = ["company_id", "id", "severity", "check_name", "target_id"]

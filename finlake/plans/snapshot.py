@@ -96,7 +96,7 @@ def cash_forecast(c: Ctx, as_of: str = P.AS_OF, days: int = P.FORECAST_DAYS, win
     Due dates map to their week arithmetically (step = ceil(days_until_due / 7)), so the range
     join of the reference becomes an equi-join on (company, step) against a 13-row grid.
     """
-    snap = financial_snapshot(c, as_of).select("company_id", F.col("cash").alias("cash"))
+    snap = (c.snapshot if as_of == c.as_of else financial_snapshot(c, as_of)).select("company_id", F.col("cash").alias("cash"))
     recent = FL.recent_transactions(c.transactions, as_of, 90).groupBy("company_id").agg(
         F.sum("amount").alias("net"), F.count("*").alias("n"))
     base = snap.join(recent, "company_id", "left").select(

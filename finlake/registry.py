@@ -22,7 +22,7 @@ def query(name: str, oracle: str | None = None):
 
     def deco(fn: Callable[[Ctx], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Ctx(spark, sf_dir))
+            return fn(Ctx.get(spark, sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -38,4 +38,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import queries_analytics, queries_core, queries_domains, queries_matching  # noqa: F401
+    from .plans import queries_analytics, queries_core, queries_domains, queries_intake, queries_matching  # noqa: F401

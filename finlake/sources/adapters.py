@@ -361,3 +361,36 @@ def uploads(t: Tables) -> DataFrame:
         F.col("lang").alias("lang"),
         F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(k, F.lit(365)).cast("int")).alias("created_at"),
     )
+
+
+def customer_batch_old(t: Tables) -> DataFrame:
+    """Customer master as currently stored (one row per customer code)."""
+    c = t.customer
+    return c.select(
+        F.lit(P.COMPANY).alias("company_id"), F.lit("customers").alias("document_type"),
+        F.concat(F.lit("C-"), _s("c_custkey")).alias("code"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("string").alias("country"), F.col("c_mktsegment").alias("segment"),
+        money_from_cents(cents_of("c_acctbal")).alias("balance"), (F.col("c_custkey") * 2).alias("seq"))
+
+
+def customer_batch_new(t: Tables) -> DataFrame:
+    """Next customer upload: balance +1.00 when key % 10 = 0; rows with key % 13 = 0 absent; a
+    second, later row (+2.00 more) when key % 17 = 0; new customers 'C-N<key>' when key % 19 = 0."""
+    c = t.customer.filter(F.pmod("c_custkey", F.lit(13)) != 0)
+    k = F.col("c_custkey")
+    base_cents = cents_of("c_acctbal") + F.when(F.pmod(k, F.lit(10)) == 0, 100).otherwise(0)
+
+    def rows(code, cents, seq):
+        return F.struct(code.alias("code"), cents.alias("cents"), seq.alias("seq"))
+
+    arr = F.array(
+        rows(F.concat(F.lit("C-"), _s(k)), base_cents, k * 2),
+        F.when(F.pmod(k, F.lit(17)) == 0, rows(F.concat(F.lit("C-"), _s(k)), base_cents + 200, k * 2 + 1)),
+        F.when(F.pmod(k, F.lit(19)) == 0, rows(F.concat(F.lit("C-N"), _s(k)), base_cents, k * 2)),
+    )
+    e = c.select("c_name", "c_nationkey", "c_mktsegment", F.explode(arr).alias("r")).filter(F.col("r").isNotNull())
+    return e.select(
+        F.lit(P.COMPANY).alias("company_id"), F.lit("customers").alias("document_type"), F.col("r.code").alias("code"),
+        F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("country"),
+        F.col("c_mktsegment").alias("segment"), money_from_cents(F.col("r.cents")).alias("balance"),
+        F.col("r.seq").alias("seq"))
