@@ -239,3 +239,22 @@ def memory_compaction(conv, threshold: int = 40, last: int = 30, users: int = 8,
     summary = F.concat(F.lit("Recent user objectives: "), F.coalesce("user", F.lit("")), F.lit("\n"),
                        F.lit("Recent assistant findings: "), F.coalesce("assistant", F.lit("")))
     return j.select("conv_id", F.col("cnt").cast("bigint").alias("message_count"), F.substring(summary, 1, max_chars).alias("summary"))
+
+
+@query("text_invoice_extract", W("v_sales_invoices") + """
+SELECT id AS doc_id, 'sales_invoices' AS kind, invoice_number, '51824753556' AS supplier_abn, supplier, invoice_date, due_date,
+       round(CAST(amount AS DOUBLE), 2) AS amount, round(CAST(round(amount / 11, 2) AS DOUBLE), 2) AS gst_amount,
+       round(CAST(amount AS DOUBLE) - round(CAST(amount AS DOUBLE) / 11, 2), 2) AS subtotal,
+       substr('Finlake Trading Co · ' || supplier || ' · Goods supplied under order ' || regexp_replace(invoice_number, '^INV-', '')
+              || ' (' || description || ')', 1, 500) AS description, 0.92 AS confidence
+FROM v_sales_invoices""")
+def q_text_invoice_extract(c: Ctx):
+    """Round trip: every sales invoice rendered as a document and extracted back (number, ABN,
+    Bill-To party, dates, total/GST/subtotal by label, description lines, confidence)."""
+    from ..operators.recognition import render_invoice_text, text_invoice_extract
+
+    docs = render_invoice_text(c.sales_invoices)
+    out = text_invoice_extract(docs)
+    return out.select("doc_id", "kind", "invoice_number", "supplier_abn", "supplier", "invoice_date", "due_date",
+                      F.round("amount", 2).alias("amount"), F.round("gst_amount", 2).alias("gst_amount"),
+                      F.round("subtotal", 2).alias("subtotal"), "description", "confidence")
