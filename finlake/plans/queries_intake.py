@@ -258,3 +258,50 @@ def q_text_invoice_extract(c: Ctx):
     return out.select("doc_id", "kind", "invoice_number", "supplier_abn", "supplier", "invoice_date", "due_date",
                       F.round("amount", 2).alias("amount"), F.round("gst_amount", 2).alias("gst_amount"),
                       F.round("subtotal", 2).alias("subtotal"), "description", "confidence")
+
+
+BS_CLASS_SQL = """CASE line_item WHEN 'Cash at bank' THEN 'current_asset' WHEN 'Accounts receivable' THEN 'current_asset'
+  WHEN 'Inventory' THEN 'current_asset' WHEN 'Plant and equipment' THEN 'non_current_asset'
+  WHEN 'Loans payable' THEN 'non_current_liability' ELSE 'current_liability' END"""
+
+
+@query("balance_sheet_unpivot", W("v_statements") + f"""
+SELECT 'balance_sheet_' || company_id || '.xlsx' AS file_id, 'Balance Sheet' AS sheet, period_start, period_end, line_item,
+       round(CAST(amount AS DOUBLE), 2) AS amount, 'AUD' AS currency, {BS_CLASS_SQL} AS classification
+FROM v_statements WHERE statement_type = 'balance_sheet'""")
+def q_balance_sheet_unpivot(c: Ctx):
+    """Round trip: balance sheets rendered as a wide workbook sheet (cells) and unpivoted back to
+    long statement rows (label column / header row detection, section fill, totals skipped)."""
+    from ..operators.recognition import balance_sheet_unpivot
+    from ..sources.adapters import balance_sheet_cells
+
+    out = balance_sheet_unpivot(balance_sheet_cells(c.t))
+    return out.withColumn("amount", F.round("amount", 2))
+
+
+@query("sheet_header_detect", W("v_statements") + """
+SELECT DISTINCT 'balance_sheet_' || company_id || '.xlsx' AS file_id, 'Balance Sheet' AS sheet, 2 AS header_row
+FROM v_statements WHERE statement_type = 'balance_sheet'""")
+def q_sheet_header_detect(c: Ctx):
+    """Header row of each rendered sheet: first of the first 10 rows with >= 2 non-blank cells."""
+    from ..operators.recognition import sheet_header_detect
+    from ..sources.adapters import balance_sheet_cells
+
+    return sheet_header_detect(balance_sheet_cells(c.t)).withColumn("header_row", F.col("header_row").cast("int"))
+
+
+@query("column_name_normalise", W("v_statements") + """
+, h AS (SELECT DISTINCT company_id, period_end FROM v_statements WHERE statement_type = 'balance_sheet'),
+cols AS (SELECT company_id, 0 AS col, 'line_item' AS name FROM (SELECT DISTINCT company_id FROM h)
+         UNION ALL SELECT company_id, CAST(row_number() OVER (PARTITION BY company_id ORDER BY period_end) AS INTEGER),
+                          strftime(period_end, '%Y_%m_%d') FROM h)
+SELECT 'balance_sheet_' || company_id || '.xlsx' AS file_id, 'Balance Sheet' AS sheet, col, name FROM cols""")
+def q_column_name_normalise(c: Ctx):
+    """Header cells of each rendered sheet -> unique normalised column names."""
+    from ..operators.recognition import column_name_normalise, sheet_header_detect
+    from ..sources.adapters import balance_sheet_cells
+
+    cells = balance_sheet_cells(c.t)
+    hdr = sheet_header_detect(cells)
+    header_cells = cells.join(hdr, ["file_id", "sheet"]).filter(F.col("row") == F.col("header_row"))
+    return column_name_normalise(header_cells).withColumn("col", F.col("col").cast("int"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.expr import cents_of, idiv, money_from_cents
@@ -394,3 +395,45 @@ def customer_batch_new(t: Tables) -> DataFrame:
         F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("country"),
         F.col("c_mktsegment").alias("segment"), money_from_cents(F.col("r.cents")).alias("balance"),
         F.col("r.seq").alias("seq"))
+
+
+# Wide balance-sheet template layout: (row, label, section or None). Amount cells go in column 1 + year index.
+BALANCE_TEMPLATE = (
+    (0, "Balance sheet", None), (3, "Current assets", "section"), (4, "Cash at bank", None),
+    (5, "Accounts receivable", None), (6, "Inventory", None), (7, "Fixed assets", "section"),
+    (8, "Plant and equipment", None), (9, "Total assets", None), (10, "Current liabilities", "section"),
+    (11, "Accounts payable", None), (12, "GST payable", None), (13, "Long term liabilities", "section"),
+    (14, "Loans payable", None), (15, "Total liabilities", None),
+)
+
+
+def balance_sheet_cells(t: Tables) -> DataFrame:
+    """The balance sheets rendered as one wide workbook sheet per company, as long cells
+    (file_id, sheet, row, col, value): title, a header row of period-end dates, section rows, line
+    rows with amounts as text ("1,234.56"), and total rows."""
+    st = statement_snapshots(t).filter(F.col("statement_type") == "balance_sheet")
+    years = st.select("company_id", "period_end").distinct()
+    w = Window.partitionBy("company_id").orderBy("period_end")
+    cols = years.withColumn("col", F.row_number().over(w))
+    layout = F.create_map(*[x for r, lab, _ in BALANCE_TEMPLATE for x in (F.lit(lab), F.lit(r))])
+    lines = st.join(cols, ["company_id", "period_end"]).select(
+        "company_id", layout[F.col("line_item")].alias("row"), "col",
+        F.format_number(F.abs("amount"), 2).alias("value"))
+    asset_rows = ("Cash at bank", "Accounts receivable", "Inventory", "Plant and equipment")
+    totals = st.join(cols, ["company_id", "period_end"]).groupBy("company_id", "col").agg(
+        F.sum(F.when(F.col("line_item").isin(*asset_rows), F.abs("amount")).otherwise(0)).alias("ta"),
+        F.sum(F.when(~F.col("line_item").isin(*asset_rows), F.abs("amount")).otherwise(0)).alias("tl"))
+    total_cells = totals.select("company_id", F.explode(F.array(
+        F.struct(F.lit(9).alias("row"), F.format_number("ta", 2).alias("value")),
+        F.struct(F.lit(15).alias("row"), F.format_number("tl", 2).alias("value")))).alias("x"), "col").select(
+        "company_id", "x.row", "col", "x.value")
+    header = cols.select("company_id", F.lit(2).alias("row"), "col", F.date_format("period_end", "yyyy-MM-dd").alias("value"))
+    labels = years.select("company_id").distinct().select(
+        "company_id", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(lab).alias("value"))
+                                          for r, lab, _ in BALANCE_TEMPLATE] +
+                                        [F.struct(F.lit(2).alias("row"), F.lit("Line item").alias("value"))])).alias("x")
+    ).select("company_id", "x.row", F.lit(0).alias("col"), "x.value")
+    cells = labels.unionByName(header).unionByName(lines).unionByName(total_cells)
+    return cells.select("company_id", F.concat(F.lit("balance_sheet_"), F.col("company_id"), F.lit(".xlsx")).alias("file_id"),
+                        F.lit("Balance Sheet").alias("sheet"), F.col("row").cast("int").alias("row"),
+                        F.col("col").cast("int").alias("col"), "value")
