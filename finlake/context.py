@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import params as P
 from .plans import ledger as L
 from .sources import adapters as A
+from .session import checkpoint_dir
 from .sources.tables import Tables
 
 
@@ -108,11 +109,18 @@ class Ctx:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return L.gst_split(L.classify_invoices(self.invoices))
+        """Invoices with their categorisation and GST split: the row-level Gold table most products
+        read. Materialised once per workspace with a reliable checkpoint under the cluster's
+        ``spark.checkpoint.dir`` (lineage cut; survives executor loss), then read as parquet-like
+        checkpoint files by every consumer."""
+        checkpoint_dir(self.spark)
+        return L.gst_split(L.classify_invoices(self.invoices)).checkpoint(eager=True)
 
     @cached_property
     def journal(self) -> tuple[DataFrame, DataFrame]:
-        return L.ledger(self.invoices, self.statements)
+        ie, il = L.invoice_journals_from_classified(self.classified)
+        oe, ol = L.opening_journal(self.statements)
+        return ie.unionByName(oe), il.unionByName(ol)
 
     @property
     def entries(self) -> DataFrame:

@@ -18,7 +18,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import cents_of, money_from_cents, out_money, reference_key
+from ..functions.expr import money_from_cents, out_money, reference_key
+from .partitioning import spread_for_cpu
 
 
 def _cents(amount: str) -> F.Column:
@@ -66,7 +67,8 @@ def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool
     frac = Fraction(ratio).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
     width = -math.log(ratio)
-    t = (txn.select("company_id", "id", F.col("transaction_date").alias("d"),
+    t = (spread_for_cpu(txn.select("company_id", "id", "transaction_date", "description", "amount"))
+         .select("company_id", "id", F.col("transaction_date").alias("d"),
                     reference_key(F.col("description"), compat_key).alias("k"), _cents("amount").alias("c"))
          .filter((F.col("k") != "") & (F.col("c") > 0))
          .withColumn("b", F.floor(F.log(F.col("c") / 100.0) / width).cast("bigint")))

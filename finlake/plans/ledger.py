@@ -145,7 +145,11 @@ def invoice_journals(inv: DataFrame, opening_cutoff: str | None = P.OPENING_CUTO
     (dated on or before the opening balance) / posted. Lines carry their entry's status so the
     trial balance needs no lines-entries join. Each invoice explodes into 2-3 lines; the optional
     GST line is a NULL array element dropped after the explode (no lambda, stays in codegen)."""
-    g = gst_split(classify_invoices(inv, rules), gst_registered)
+    return invoice_journals_from_classified(gst_split(classify_invoices(inv, rules), gst_registered), opening_cutoff)
+
+
+def invoice_journals_from_classified(g: DataFrame, opening_cutoff: str | None = P.OPENING_CUTOFF) -> tuple[DataFrame, DataFrame]:
+    """Journals from invoices that already carry classification and GST split columns."""
     within = F.lit(False) if not opening_cutoff else (F.col("invoice_date") <= F.lit(opening_cutoff).cast("date"))
     g = g.withColumns({
         "entry_status": F.when(F.col("c_validation") != "approved", "draft").when(within, "included_in_opening").otherwise("posted"),

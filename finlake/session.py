@@ -35,9 +35,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when it is unset (local tests) a private scratch folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if current:
         return current
+    if named:
+        sc.setCheckpointDir(named)
+        return named
     path = tempfile.mkdtemp(prefix="finlake-ckpt-", dir=os.environ.get("FINLAKE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
