@@ -51,9 +51,16 @@ class Ctx:
         return A.supplier_invoices(self.t)
 
     @cached_property
-    def invoices(self) -> DataFrame:
+    def raw_invoices(self) -> DataFrame:
         return self.sales_invoices.unionByName(self.supplier_invoices)
 
+    @property
+    def invoices(self) -> DataFrame:
+        """The stored invoices table. As in the reference, the ledger rebuild writes each invoice's
+        categorisation back onto it, so this is the checkpointed classified table (a superset of
+        the raw invoice columns); operators select the columns they need by name."""
+        return self.classified
+
     @cached_property
     def transactions(self) -> DataFrame:
         return A.transactions(self.t)
@@ -114,7 +121,7 @@ class Ctx:
         ``spark.checkpoint.dir`` (lineage cut; survives executor loss), then read as parquet-like
         checkpoint files by every consumer."""
         checkpoint_dir(self.spark)
-        return L.gst_split(L.classify_invoices(self.invoices)).checkpoint(eager=True)
+        return L.gst_split(L.classify_invoices(self.raw_invoices)).checkpoint(eager=True)
 
     @cached_property
     def journal(self) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from .queries_matching import VALIDATIONS_SQL, validations_run
 
 def _tables(c: Ctx) -> dict[str, DataFrame]:
     return {
-        "invoices": c.invoices, "transactions": c.transactions, "bank_transactions": c.bank,
+        "invoices": c.raw_invoices, "transactions": c.transactions, "bank_transactions": c.bank,
         "assets_liabilities": c.assets_liabilities, "inventory": c.inventory, "payroll_records": c.payroll,
         "employee_profiles": c.profiles, "market_signals": c.signals, "statement_snapshots": c.statements,
     }
