@@ -151,3 +151,78 @@ def q_file_token_match(c: Ctx):
         F.lit(P.COMPANY).alias("company_id"),
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("question_id"), "text")
     return file_token_match(qs, routed_uploads(c))
+
+
+# FIXED VALUES: information request definitions (key, information, priority, satisfying datasets)
+INFORMATION_REQUESTS = (
+    ("supplier_master", "Supplier list with countries and currencies", "high", ("suppliers",)),
+    ("customer_master", "Customer list with locations or segments", "medium", ("customers",)),
+    ("bank_statements", "Recent bank statement or transaction export", "high", ("bank_statements", "transactions")),
+    ("budget", "Current budget or forecast", "medium", ("budgets",)),
+    ("inventory", "Inventory or product catalogue", "medium", ("inventory",)),
+    ("competitors", "Competitor names and operating markets", "medium", ("market_context",)),
+    ("business_goals", "Business goals and KPI targets", "medium", ()),
+)
+
+
+def information_requests(c: Ctx, objective_given: bool = False) -> DataFrame:
+    """Open / resolved requests: resolved when any satisfying dataset has completed uploads
+    (definitions exploded, semi-join against received types); goals need a stated objective."""
+    comp = c.uploads.select("company_id").distinct()
+    defs = comp.select("company_id", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("request_key"), F.lit(i).alias("information"), F.lit(p).alias("priority"),
+                 F.array(*[F.lit(d) for d in s]).cast("array<string>").alias("sat"))
+        for k, i, p, s in INFORMATION_REQUESTS])).alias("d")).select("company_id", "d.*")
+    sat = defs.select("company_id", "request_key", F.explode("sat").alias("document_type"))
+    covered = sat.join(received_types(c), ["company_id", "document_type"], "left_semi").select(
+        "company_id", "request_key").distinct().withColumn("cov", F.lit(True))
+    j = defs.join(covered, ["company_id", "request_key"], "left")
+    cov = F.when(F.col("request_key") == "business_goals", F.lit(objective_given)).otherwise(F.coalesce("cov", F.lit(False)))
+    return j.select("company_id", "request_key", "information", "priority",
+                    F.when(cov, "resolved").otherwise("open").alias("status"))
+
+
+@query("information_requests", W("v_uploads") + ROUTED_SQL + """
+, rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+defs AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{k}', '{i}', '{p}', [{', '.join(repr(d) for d in s)}]::VARCHAR[])" for k, i, p, s in INFORMATION_REQUESTS) + """)
+         t(request_key, information, priority, sat)),
+comp AS (SELECT DISTINCT company_id FROM v_uploads),
+d AS (SELECT comp.company_id, defs.* FROM comp CROSS JOIN defs),
+cov AS (SELECT DISTINCT d.company_id, request_key FROM (SELECT company_id, request_key, unnest(sat) AS document_type FROM d) d
+        JOIN rec ON rec.company_id = d.company_id AND rec.document_type = d.document_type)
+SELECT d.company_id, d.request_key, information, priority,
+       CASE WHEN d.request_key = 'business_goals' THEN 'open' WHEN cov.request_key IS NOT NULL THEN 'resolved' ELSE 'open' END AS status
+FROM d LEFT JOIN cov ON cov.company_id = d.company_id AND cov.request_key = d.request_key""")
+def q_information_requests(c: Ctx):
+    """The seven information requests with their status from received document types."""
+    return information_requests(c)
+
+
+def working_context_events(events: DataFrame, keep: int = 36, summary_lines: int = 12, max_chars: int = 2000) -> DataFrame:
+    """Per user: the newest ``keep`` events and a continuity summary of the last ``summary_lines``
+    (chronological), tail-capped at ``max_chars``. The window only ranks within a user; collected
+    lists hold at most ``summary_lines`` entries."""
+    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    r = events.withColumn("rd", F.row_number().over(w)).filter(F.col("rd") <= keep)
+    line = F.concat(F.lit("- "), F.col("ts").cast("string"), F.lit(": ["), F.col("event_type"), F.lit("] "),
+                    F.coalesce(F.col("props"), F.lit("")))
+    s = r.filter(F.col("rd") <= summary_lines).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("l")))).alias("xs"))
+    cnt = r.groupBy("user_id").agg(F.count("*").cast("bigint").alias("kept_events"), F.min("ts").alias("oldest_kept"))
+    summary = F.concat(F.lit("Recent continuity:\n"), F.array_join(F.col("xs.l"), "\n"))
+    return cnt.join(s, "user_id").select("user_id", "kept_events", "oldest_kept",
+                                         F.substring(summary, -max_chars, max_chars).alias("summary"))
+
+
+@query("working_context_events", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rd FROM events),
+k AS (SELECT * FROM r WHERE rd <= 36),
+s AS (SELECT user_id, string_agg('- ' || CAST(ts AS VARCHAR) || ': [' || event_type || '] ' || coalesce(props, ''), chr(10)
+                                 ORDER BY ts, event_id) AS body FROM k WHERE rd <= 12 GROUP BY 1)
+SELECT user_id, CAST(count(*) AS BIGINT) AS kept_events, min(ts) AS oldest_kept,
+       right('Recent continuity:' || chr(10) || any_value(s.body), 2000) AS summary
+FROM k JOIN s USING (user_id) GROUP BY user_id""")
+def q_working_context_events(c: Ctx):
+    """Working context per user over the whole event table: newest 36 events, last-12 summary."""
+    return working_context_events(c.t.events)
