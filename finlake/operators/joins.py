@@ -4,10 +4,8 @@
   the invoice side exploded to {c-1, c, c+1}; the text test (invoice number or supplier name inside
   the bank description) is the residual; the first invoice per transaction is a ``min_by``.
 * ``duplicate_payment_pairs``: "earliest earlier payment with the same reference whose amount is
-  within 10 %" becomes an equi-join on (key, log-amount bucket) probing buckets b-1..b+1 against
-  the *distinct amounts* of each key (each already reduced to its earliest occurrence), an exact
-  integer ratio check, and a per-transaction minimum. No cartesian product and no pairs between
-  repeated amounts; AQE's skew-join splits hot (key, bucket) partitions.
+  within 10 %" is an exact range-minimum query over integer cents, answered with equi-joins on
+  aligned power-of-two blocks (O(n log range), no pairs, robust to one key holding most rows).
 """
 
 from __future__ import annotations
@@ -61,29 +59,62 @@ def bank_reconciliation_counts(bank: DataFrame, invoices: DataFrame, matches: Da
                     F.coalesce("invoice_records_considered", F.lit(0)).cast("bigint").alias("invoice_records_considered"))
 
 
+def _floor_log2(x: str) -> str:
+    """floor(log2(x)) for a positive bigint SQL expression, corrected for floating rounding."""
+    j = f"CAST(floor(log2({x})) AS INT)"
+    return (f"(CASE WHEN shiftleft(CAST(1 AS BIGINT), {j}) > ({x}) THEN {j} - 1 "
+            f"WHEN shiftleft(CAST(1 AS BIGINT), {j} + 1) <= ({x}) THEN {j} + 1 ELSE {j} END)")
+
+
+def _dyadic_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Rows of ``df`` times the aligned power-of-two blocks (level, block) covering the integer
+    interval [lo, hi] exactly: the bottom-up segment-tree walk in closed form. At level j, with
+    l = ceil(lo / 2^j) and r = floor((hi + 1) / 2^j), block l is used when l < r and l is odd, block
+    r - 1 when l < r and r is odd (at most two per level). Two generators and a filter: codegen'd,
+    no per-row loop state."""
+    top = _floor_log2(f"({hi}) + 1")
+    lj = F.expr(f"shiftright(({lo}) + shiftleft(CAST(1 AS BIGINT), j) - 1, j)")
+    rj = F.expr(f"shiftright(({hi}) + 1, j)")
+    levels = df.select("*", F.explode(F.expr(f"sequence(0, {top})")).alias("j")).withColumns({"lj": lj, "rj": rj}) \
+        .filter(F.col("lj") < F.col("rj"))
+    both = levels.select(*df.columns, "j", F.explode(F.array(
+        F.struct(F.col("lj").alias("block"), (F.pmod("lj", F.lit(2)) == 1).alias("ok")),
+        F.struct((F.col("rj") - 1).alias("block"), (F.pmod("rj", F.lit(2)) == 1).alias("ok")))).alias("b"))
+    return both.filter(F.col("b.ok")).select(*df.columns, F.col("j").alias("level"), F.col("b.block").alias("block"))
+
+
 def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool = False) -> DataFrame:
     """For each transaction with a positive amount, the earliest earlier transaction (order:
-    date, id) with the same reference key and min/max(amounts, 1.00) >= ratio."""
+    date, id) with the same reference key and min / max(amounts, 1.00) >= ratio.
+
+    Exact and pair-free. In integer cents the comparable amounts of ``a`` form the interval
+    [ceil(max(a, 100) p / q), floor(a q / p)] (ratio = p / q), so the answer is a range minimum of
+    "first occurrence" over the distinct amounts of the key. Each distinct amount contributes its
+    first occurrence to the aligned power-of-two blocks that contain it; each transaction's interval
+    decomposes into O(log width) aligned blocks. Equi-joins on (company, key, level, block) against
+    a table with one row per block then give the minimum. Work is O(n log range) even when one key
+    holds a third of all rows, and no pair of transactions is ever materialised."""
     frac = Fraction(ratio).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
-    width = -math.log(ratio)
+    # largest block a query can use, relative to an amount inside it: 2^j <= K * amount + 1
+    k_factor = (q / p) * (q / p - p / q)
     t = (spread_for_cpu(txn.select("company_id", "id", "transaction_date", "description", "amount"))
          .select("company_id", "id", F.col("transaction_date").alias("d"),
-                    reference_key(F.col("description"), compat_key).alias("k"), _cents("amount").alias("c"))
-         .filter((F.col("k") != "") & (F.col("c") > 0))
-         .withColumn("b", F.floor(F.log(F.col("c") / 100.0) / width).cast("bigint")))
-    # earliest occurrence of every distinct (key, amount): repeated amounts collapse before the join
-    firsts = (t.groupBy("company_id", "k", "c", "b")
-              .agg(F.min(F.struct("d", "id")).alias("f"))
-              .select("company_id", "k", F.col("c").alias("ec"), F.col("b").alias("eb"), "f"))
-    probes = t.withColumn("pb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    j = probes.join(firsts, (probes.company_id == firsts.company_id) & (probes.k == firsts.k) & (probes.pb == firsts.eb))
-    lo, hi = F.least(F.col("c"), F.col("ec")), F.greatest(F.col("c"), F.col("ec"), F.lit(100))
-    comparable = j.filter(lo * q >= hi * p)  # exact integer form of min / max(.., 1.00) >= ratio
-    best = (comparable.groupBy(probes.company_id.alias("company_id"), probes.k.alias("k"), F.col("id"), F.col("d"), F.col("c"))
-            .agg(F.min_by(F.struct("f", "ec"), F.col("f")).alias("m")))
-    cur = F.struct(F.col("d"), F.col("id"))
-    out = best.filter(F.col("m.f") < cur)
+                 reference_key(F.col("description"), compat_key).alias("k"), _cents("amount").alias("c"))
+         .filter((F.col("k") != "") & (F.col("c") > 0)))
+    # first occurrence per distinct (key, amount); repeated amounts collapse by partial aggregation
+    firsts = t.groupBy("company_id", "k", "c").agg(F.min(F.struct("d", "id")).alias("f"))
+    levels = F.expr(f"sequence(0, {_floor_log2(f'CAST(floor({k_factor!r} * c) AS BIGINT) + 1')} + 1)")
+    blocks = (firsts.select("company_id", "k", "c", "f", F.explode(levels).alias("level"))
+              .withColumn("block", F.expr("shiftright(c, level)"))
+              .groupBy("company_id", "k", "level", "block")
+              .agg(F.min(F.struct("f", F.col("c").alias("ec"))).alias("m")))
+    lo = f"(greatest(c, 100) * {p} + {q - 1}) div {q}"
+    hi = f"(c * {q}) div {p}"
+    probes = _dyadic_blocks(t.filter(F.col("c") * q >= 100 * p).select("company_id", "k", "id", "d", "c"), lo, hi)
+    j = probes.join(blocks, ["company_id", "k", "level", "block"])
+    best = j.groupBy("company_id", "k", "id", "d", "c").agg(F.min("m").alias("m"))
+    out = best.filter(F.col("m.f") < F.struct(F.col("d"), F.col("id")))
     return out.select("company_id", F.col("k").alias("reference_key"), F.col("m.f.id").alias("earlier_id"),
                       out_money(money_from_cents(F.col("m.ec"))).alias("earlier_amount"), F.col("id").alias("current_id"),
                       out_money(money_from_cents(F.col("c"))).alias("current_amount"))
