@@ -10,6 +10,7 @@ from ..context import Ctx
 from ..oracle.views import with_views as W
 from ..registry import query
 from .queries_catalog import received_types
+from .queries_domains import BAS_SQL, REVIEW_SQL
 from .queries_intake import ROUTED_SQL, routed_uploads
 
 # FIXED VALUES: semantic metric definitions (metric id, required document types)
@@ -226,3 +227,101 @@ FROM k JOIN s USING (user_id) GROUP BY user_id""")
 def q_working_context_events(c: Ctx):
     """Working context per user over the whole event table: newest 36 events, last-12 summary."""
     return working_context_events(c.t.events)
+
+
+# FIXED VALUES: tax obligation rows (key, name, frequency)
+OBLIGATIONS = {
+    "bas": ("Business Activity Statement", "Quarterly"),
+    "gst_registration": ("GST registration monitoring", "Ongoing"),
+    "income_tax": ("Income tax return workpaper", "Annual"),
+    "records": ("Tax and accounting record retention", "Continuous"),
+    "stp": ("Single Touch Payroll reporting", "Each pay event"),
+    "super": ("Payday Super", "Each payday from 1 July 2026"),
+    "fbt": ("Fringe benefits review", "Annual and transaction review"),
+}
+
+
+def tax_obligations(c: Ctx, gst_registered: bool = True) -> DataFrame:
+    """Obligation rows from the tax profile and the data: BAS (review while tasks are open or net
+    GST is non-zero), income tax, record retention, and payroll obligations when payroll exists."""
+    from ..plans.domains import bas_labels, tax_review_counts
+
+    base = (bas_labels(c).select("company_id", "net_gst")
+            .join(tax_review_counts(c).select("company_id", "unresolved"), "company_id")
+            .join(c.payroll.groupBy("company_id").agg(F.count("*").alias("pay_rows")), "company_id", "left"))
+
+    def ob(key, status, when=None):
+        name, freq = OBLIGATIONS[key]
+        s = F.struct(F.lit(key).alias("key"), F.lit(name).alias("name"), F.lit(freq).alias("frequency"),
+                     F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"))
+        return s if when is None else F.when(when, s)
+
+    review = F.col("unresolved") > 0
+    employees = F.coalesce("pay_rows", F.lit(0)) > 0
+    rows = F.array(
+        ob("bas", F.when(review | (F.col("net_gst") != 0), "review").otherwise("ready"), F.lit(gst_registered)),
+        ob("gst_registration", "information", F.lit(not gst_registered)),
+        ob("income_tax", "review"),
+        ob("records", F.when(review, "review").otherwise("ready")),
+        ob("stp", "review", employees), ob("super", "review", employees), ob("fbt", "information", employees))
+    return base.select("company_id", F.explode(rows).alias("o")).filter(F.col("o").isNotNull()).select("company_id", "o.*")
+
+
+@query("tax_obligations", W("o_classified", "v_payroll") + BAS_SQL + REVIEW_SQL + """,
+pc AS (SELECT company_id, count(*) AS n FROM v_payroll GROUP BY 1),
+b AS (SELECT bas.company_id, bas.net_gst, rc.unresolved, coalesce(pc.n, 0) AS pay_rows
+      FROM bas JOIN rc USING (company_id) LEFT JOIN pc USING (company_id))
+SELECT company_id, 'bas' AS key, 'Business Activity Statement' AS name, 'Quarterly' AS frequency,
+       CASE WHEN unresolved > 0 OR net_gst <> 0 THEN 'review' ELSE 'ready' END AS status FROM b
+UNION ALL SELECT company_id, 'income_tax', 'Income tax return workpaper', 'Annual', 'review' FROM b
+UNION ALL SELECT company_id, 'records', 'Tax and accounting record retention', 'Continuous',
+       CASE WHEN unresolved > 0 THEN 'review' ELSE 'ready' END FROM b
+UNION ALL SELECT company_id, 'stp', 'Single Touch Payroll reporting', 'Each pay event', 'review' FROM b WHERE pay_rows > 0
+UNION ALL SELECT company_id, 'super', 'Payday Super', 'Each payday from 1 July 2026', 'review' FROM b WHERE pay_rows > 0
+UNION ALL SELECT company_id, 'fbt', 'Fringe benefits review', 'Annual and transaction review', 'information' FROM b WHERE pay_rows > 0""")
+def q_tax_obligations(c: Ctx):
+    """Tax obligations for a GST-registered employer, with review status from the data."""
+    return tax_obligations(c)
+
+
+@query("top_contributors", W("v_assets_liabilities") + """
+SELECT category, classification, id, name, round(CAST(amount AS DOUBLE), 2) AS amount, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY category, classification ORDER BY amount DESC, id) AS rk FROM v_assets_liabilities)
+WHERE rk <= 4""")
+def q_top_contributors(c: Ctx):
+    """Top 4 positions per (category, classification)."""
+    from ..functions.expr import out_money
+    from ..operators.windows import top_k_per_group
+
+    r = top_k_per_group(c.assets_liabilities, ["category", "classification"], 4, [F.col("amount").desc(), F.col("id")])
+    return r.select("category", "classification", "id", "name", out_money("amount").alias("amount"),
+                    F.col("rank").cast("int").alias("rank"))
+
+
+@query("unreconciled_staged_files", W("v_uploads") + """
+SELECT upload_id, filename FROM v_uploads s WHERE lower(trim(regexp_replace(filename, '^.*?__', ''))) NOT IN (
+  SELECT lower(trim(regexp_replace(filename, '^.*?__', ''))) FROM v_uploads WHERE processing_status = 'complete')""")
+def q_unreconciled_staged_files(c: Ctx):
+    """Staged files whose visible name is not among the completed uploads (anti-join)."""
+    from ..functions.expr import visible_name
+
+    key = F.lower(F.trim(visible_name(F.col("filename"))))
+    staged = c.uploads.select("upload_id", "filename", key.alias("k"))
+    done = c.uploads.filter(F.col("processing_status") == "complete").select(key.alias("k")).distinct()
+    return staged.join(done, "k", "left_anti").select("upload_id", "filename")
+
+
+@query("kpi_snapshot_append", W("o_snapshot") + """
+SELECT company_id, 1 AS data_version, cash, current_ratio, revenue_month, open_invoice_total FROM o_snapshot""")
+def q_kpi_snapshot_append(c: Ctx):
+    """The snapshot appended to the KPI history (schema-relaxed, newest 5000 per company kept),
+    read back from shared storage."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.sinks import kpi_snapshot_append
+
+    hist = f"{checkpoint_dir(c.spark).rstrip('/')}/finlake-kpi/{uuid.uuid4().hex}"
+    out = kpi_snapshot_append(c.spark, hist, c.snapshot, "1998-07-01 00:00:00", 1)
+    return out.select("company_id", F.col("data_version").cast("int").alias("data_version"), "cash", "current_ratio",
+                      "revenue_month", "open_invoice_total")
