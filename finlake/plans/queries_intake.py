@@ -305,3 +305,71 @@ def q_column_name_normalise(c: Ctx):
     hdr = sheet_header_detect(cells)
     header_cells = cells.join(hdr, ["file_id", "sheet"]).filter(F.col("row") == F.col("header_row"))
     return column_name_normalise(header_cells).withColumn("col", F.col("col").cast("int"))
+
+
+# FIXED VALUES: stored types accepted as compatible with an expected type
+COMPATIBLE_TYPES = {
+    "balance_sheet": ("balance_sheet", "assets_liabilities", "assets", "liabilities"),
+    "supplier_invoices": ("supplier_invoices", "invoices"),
+    "sales_invoices": ("sales_invoices", "invoices"),
+    "aged_debtors_creditors": ("aged_debtors_creditors",),
+}
+
+
+def classification_repair_plan(c: Ctx) -> "DataFrame":
+    """Uploads whose filename route disagrees with the stored type or intake category, or whose
+    processing did not complete: action move (category only) or reprocess, with the reason.
+    Stored type on the test registry: the filename route for English documents, 'generic' for the
+    rest."""
+    from pyspark.sql import DataFrame  # noqa: F401
+
+    u = routed_uploads(c).withColumn("stored_type", F.when(F.col("lang") == "en", F.col("document_type")).otherwise("generic"))
+    expected = F.col("document_type")
+    setup = F.array(*[F.lit(t) for t in R.SETUP_DOCUMENT_TYPES])
+    recurring = F.array(*[F.lit(t) for t in R.RECURRING_DOCUMENT_TYPES])
+    exp_cat = (F.when(F.array_contains(setup, expected), "setup").when(F.array_contains(recurring, expected), "recurring")
+               .otherwise(F.when(F.col("intake_category").isin("setup", "recurring"), F.col("intake_category"))
+                          .otherwise("recurring")))
+    compat = F.create_map(*[x for k, v in COMPATIBLE_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
+    accepted = F.coalesce(compat[expected], F.array(expected))
+    type_mismatch = ~F.array_contains(accepted, F.col("stored_type"))
+    cat_mismatch = F.col("intake_category") != exp_cat
+    failed = ~F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES)
+    plan = u.filter(expected.isNotNull()).withColumns({"tm": type_mismatch, "cm": cat_mismatch, "fs": failed, "ec": exp_cat})
+    plan = plan.filter(F.col("tm") | F.col("cm") | F.col("fs"))
+    return plan.select(
+        "upload_id", "filename", F.col("stored_type").alias("current_document_type"),
+        F.col("document_type").alias("expected_document_type"), F.col("intake_category").alias("current_intake_category"),
+        F.col("ec").alias("expected_intake_category"), "processing_status",
+        F.when(F.col("cm") & ~F.col("tm") & ~F.col("fs"), "move").otherwise("reprocess").alias("action"),
+        F.when(F.col("tm"), "The filename identifies a different document category than the stored classification.")
+        .when(F.col("cm"), "The file belongs in the other evidence library.")
+        .otherwise("The previous processing attempt did not complete.").alias("reason"))
+
+
+def _repair_sql() -> str:
+    setup = ", ".join(f"'{t}'" for t in R.SETUP_DOCUMENT_TYPES)
+    rec = ", ".join(f"'{t}'" for t in R.RECURRING_DOCUMENT_TYPES)
+    compat = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(i) for i in v)}]" for k, v in COMPATIBLE_TYPES.items())
+    return W("v_uploads") + ROUTED_SQL + f""",
+x AS (
+  SELECT *, CASE WHEN lang = 'en' THEN document_type ELSE 'generic' END AS stored_type,
+         CASE WHEN document_type IN ({setup}) THEN 'setup' WHEN document_type IN ({rec}) THEN 'recurring'
+              WHEN intake_category IN ('setup', 'recurring') THEN intake_category ELSE 'recurring' END AS ec
+  FROM routed WHERE document_type IS NOT NULL),
+y AS (
+  SELECT *, NOT list_contains(coalesce(CASE document_type {compat} END, [document_type]), stored_type) AS tm,
+         intake_category <> ec AS cm, processing_status NOT IN ('complete') AS fs FROM x)
+SELECT upload_id, filename, stored_type AS current_document_type, document_type AS expected_document_type,
+       intake_category AS current_intake_category, ec AS expected_intake_category, processing_status,
+       CASE WHEN cm AND NOT tm AND NOT fs THEN 'move' ELSE 'reprocess' END AS action,
+       CASE WHEN tm THEN 'The filename identifies a different document category than the stored classification.'
+            WHEN cm THEN 'The file belongs in the other evidence library.'
+            ELSE 'The previous processing attempt did not complete.' END AS reason
+FROM y WHERE tm OR cm OR fs"""
+
+
+@query("classification_repair_plan", _repair_sql())
+def q_classification_repair_plan(c: Ctx):
+    """Repair plan for misfiled or incomplete uploads (move vs reprocess, with the reason)."""
+    return classification_repair_plan(c)
