@@ -325,3 +325,88 @@ def q_kpi_snapshot_append(c: Ctx):
     out = kpi_snapshot_append(c.spark, hist, c.snapshot, "1998-07-01 00:00:00", 1)
     return out.select("company_id", F.col("data_version").cast("int").alias("data_version"), "cash", "current_ratio",
                       "revenue_month", "open_invoice_total")
+
+
+# FIXED VALUES: decision definitions (decision id, label, required types, supporting types)
+DECISIONS = (
+    ("liquidity_cash", "Liquidity and cash", ("balance_sheet", "cash_flow_statement"),
+     ("bank_statements", "aged_debtors_creditors", "sales_invoices", "supplier_invoices")),
+    ("profit_margin", "Profit and margin", ("profit_loss",), ("sales_invoices", "supplier_invoices", "sales_forecast")),
+    ("tax_compliance", "Tax and compliance", ("chart_of_accounts",),
+     ("supplier_invoices", "sales_invoices", "payroll", "bank_statements", "historical_tax_returns")),
+    ("growth_marketing", "Growth and marketing", ("sales_invoices",),
+     ("supplier_invoices", "sales_forecast", "market_context", "business_requirements")),
+    ("competitor_market", "Competitor and market", ("market_context",),
+     ("balance_sheet", "profit_loss", "sales_forecast", "business_requirements", "material_contracts")),
+)
+
+
+def _decision_types(spark) -> DataFrame:
+    rows = [(d, t, "required") for d, _l, req, _s in DECISIONS for t in req] + \
+           [(d, t, "supporting") for d, _l, _r, sup in DECISIONS for t in sup]
+    return spark.createDataFrame(rows, "decision_id string, document_type string, connection_role string")
+
+
+def source_decision_links(c: Ctx) -> DataFrame:
+    """Each routed source linked to every decision whose required or supporting types include it
+    (the 30-row definition table is joined on document type; AQE broadcasts it)."""
+    src = routed_uploads(c).filter(F.col("document_type").isNotNull())
+    return src.join(_decision_types(c.spark), "document_type").select(
+        "company_id", "decision_id", F.col("upload_id").alias("source_key"), "connection_role")
+
+
+def decision_readiness(c: Ctx) -> DataFrame:
+    links = source_decision_links(c)
+    done = routed_uploads(c).filter(F.col("processing_status").isin(*R_COMPLETE)).select("company_id", "document_type").distinct()
+    required = F.array(*[F.struct(F.lit(d).alias("decision_id"), F.lit(t).alias("document_type"))
+                         for d, _l, req, _s in DECISIONS for t in req])
+    need = c.uploads.select("company_id").distinct().select("company_id", F.explode(required).alias("r")).select(
+        "company_id", "r.decision_id", "r.document_type")
+    have = need.join(done, ["company_id", "document_type"], "left_semi").groupBy("company_id", "decision_id") \
+        .agg(F.count("*").alias("present"))
+    missing = need.join(done, ["company_id", "document_type"], "left_anti").groupBy("company_id", "decision_id") \
+        .agg(F.array_join(F.array_sort(F.collect_list("document_type")), ",").alias("missing_required"))
+    conn = links.groupBy("company_id", "decision_id").agg(F.count("*").cast("bigint").alias("source_count"))
+    base = need.groupBy("company_id", "decision_id").agg(F.count("*").alias("required"))
+    j = base.join(have, ["company_id", "decision_id"], "left").join(missing, ["company_id", "decision_id"], "left") \
+        .join(conn, ["company_id", "decision_id"], "left")
+    present, cnt = F.coalesce("present", F.lit(0)), F.coalesce("source_count", F.lit(0)).cast("bigint")
+    readiness = F.when(present == F.col("required"), "ready").when((present > 0) | (cnt > 0), "provisional").otherwise("blocked")
+    return j.select("company_id", "decision_id", readiness.alias("readiness"), cnt.alias("source_count"),
+                    F.coalesce("missing_required", F.lit("")).alias("missing_required"))
+
+
+R_COMPLETE = ("complete",)
+
+DECISION_SQL = W("v_uploads") + ROUTED_SQL + """,
+dt AS (SELECT * FROM (VALUES """ + ", ".join(
+    [f"('{d}', '{t}', 'required')" for d, _l, req, _s in DECISIONS for t in req] +
+    [f"('{d}', '{t}', 'supporting')" for d, _l, _r, sup in DECISIONS for t in sup]) + """) t(decision_id, document_type, connection_role)),
+links AS (SELECT r.company_id, dt.decision_id, r.upload_id AS source_key, dt.connection_role
+          FROM routed r JOIN dt ON dt.document_type = r.document_type)"""
+
+
+@query("source_decision_links", DECISION_SQL + " SELECT * FROM links")
+def q_source_decision_links(c: Ctx):
+    """Sources connected to each decision as required or supporting evidence."""
+    return source_decision_links(c)
+
+
+@query("decision_readiness", DECISION_SQL + """,
+done AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+comp AS (SELECT DISTINCT company_id FROM v_uploads),
+need AS (SELECT comp.company_id, dt.decision_id, dt.document_type FROM comp, dt WHERE dt.connection_role = 'required'),
+agg AS (SELECT need.company_id, need.decision_id, count(*) AS required, count(done.document_type) AS present,
+               coalesce(string_agg(CASE WHEN done.document_type IS NULL THEN need.document_type END, ','
+                                   ORDER BY need.document_type), '') AS missing_required
+        FROM need LEFT JOIN done ON done.company_id = need.company_id AND done.document_type = need.document_type
+        GROUP BY 1, 2),
+conn AS (SELECT company_id, decision_id, count(*) AS n FROM links GROUP BY 1, 2)
+SELECT agg.company_id, agg.decision_id,
+       CASE WHEN present = required THEN 'ready' WHEN present > 0 OR coalesce(n, 0) > 0 THEN 'provisional' ELSE 'blocked' END AS readiness,
+       CAST(coalesce(n, 0) AS BIGINT) AS source_count, missing_required
+FROM agg LEFT JOIN conn ON conn.company_id = agg.company_id AND conn.decision_id = agg.decision_id""")
+def q_decision_readiness(c: Ctx):
+    """Decision readiness: ready when all required types are received, provisional with partial
+    or supporting evidence, else blocked."""
+    return decision_readiness(c)
