@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.expr import cents_of, idiv, money_from_cents
+from ..operators.partitioning import spread_for_cpu
 from .tables import Tables
 
 
@@ -64,7 +65,8 @@ def sales_invoices(t: Tables) -> DataFrame:
 
 
 def supplier_invoices(t: Tables) -> DataFrame:
-    li = lineitem_net(t)
+    li = spread_for_cpu(lineitem_net(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                               "l_linestatus", "l_shipdate", "price_cents", "net_cents"))
     s, p = t.supplier, t.part
     d = F.to_date("l_shipdate")
     return (li.join(s, li.l_suppkey == s.s_suppkey).join(p, li.l_partkey == p.p_partkey)
