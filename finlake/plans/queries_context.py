@@ -410,3 +410,104 @@ def q_decision_readiness(c: Ctx):
     """Decision readiness: ready when all required types are received, provisional with partial
     or supporting evidence, else blocked."""
     return decision_readiness(c)
+
+
+def page_readiness(c: Ctx) -> DataFrame:
+    """Five pages (overview, accounts, tax, marketing, data management): record counts and
+    ready / provisional / blocked from the products each page shows (one row per company each,
+    joined on company_id)."""
+    from ..operators import aggregates as AG
+    from ..operators import windows as WN
+    from .domains import bas_labels, channel_spend, tax_position
+    from .queries_catalog import set_coverage
+    from .queries_core import account_type_summary
+
+    s = c.snapshot
+    months = WN.last_n_months(AG.monthly_flow(c.transactions), 6).groupBy("company_id").agg(F.count("*").alias("months"))
+    missing = set_coverage(c).groupBy("company_id").agg(F.count(F.when(F.col("state") == "missing", 1)).alias("core_missing"))
+    tasks = c.classified.groupBy("company_id").agg(F.count(F.when(F.col("c_validation") != "approved", 1)).alias("open_tasks"))
+    accounts = c.trial_balance.groupBy("company_id").agg(F.count("*").alias("accounts"))
+    tax = tax_position(c).select("company_id", "accounting_profit", "estimated_taxable_income") \
+        .join(bas_labels(c).select("company_id", "net_gst"), "company_id")
+    obligations = tax_obligations(c).groupBy("company_id").agg(F.count("*").alias("obligations"))
+    ch = channel_spend(c).groupBy("company_id").agg(F.count("*").alias("channels"), F.sum("spend").alias("spend"))
+    revenue = account_type_summary(c).select(F.col("revenue").alias("ledger_revenue")).withColumn("company_id", F.lit("default"))
+    ups = c.uploads.groupBy("company_id").agg(F.count("*").alias("uploads"))
+    j = (s.join(months, "company_id", "left").join(missing, "company_id", "left").join(tasks, "company_id", "left")
+         .join(accounts, "company_id", "left").join(tax, "company_id", "left").join(obligations, "company_id", "left")
+         .join(ch, "company_id", "left").join(revenue, "company_id", "left").join(ups, "company_id", "left").na.fill(0))
+    over = (F.abs("total_assets") > 0) | (F.abs("total_liabilities") > 0) | (F.abs("revenue_month") > 0) | \
+        (F.abs("expenses_month") > 0) | (F.abs("cash") > 0)
+    tax_data = (F.abs("accounting_profit") > 0) | (F.abs("estimated_taxable_income") > 0) | (F.abs("net_gst") > 0)
+    mk_rev = F.when(F.col("ledger_revenue") != 0, F.col("ledger_revenue")).otherwise(F.col("revenue_month"))
+    mk_data = (F.abs(mk_rev) > 0) | (F.abs("spend") > 0)
+    actual = F.col("spend") > 0.01
+
+    def pg(pid, label, count, status):
+        return F.struct(F.lit(pid).alias("id"), F.lit(label).alias("label"), count.cast("bigint").alias("record_count"),
+                        status.alias("status"))
+
+    rows = F.array(
+        pg("overview", "Overview", F.col("months"),
+           F.when(over & (F.col("core_missing") == 0), "ready").when(over, "provisional").otherwise("blocked")),
+        pg("accounts", "Accounts", F.col("accounts"),
+           F.when((F.col("accounts") > 0) & (F.col("open_tasks") == 0), "ready").when(F.col("accounts") > 0, "provisional")
+           .otherwise("blocked")),
+        pg("tax", "Tax", F.col("obligations"),
+           F.when(tax_data & (F.col("open_tasks") == 0), "ready").when(tax_data, "provisional").otherwise("blocked")),
+        pg("marketing", "Marketing", F.col("channels"),
+           F.when(mk_data & actual, "ready").when(mk_data, "provisional").otherwise("blocked")),
+        pg("operations", "Data management", F.col("uploads"), F.when(F.col("uploads") > 0, "ready").otherwise("blocked")),
+    )
+    return j.select("company_id", F.explode(rows).alias("p")).select("company_id", "p.*")
+
+
+def _page_sql() -> str:
+    from .queries_catalog import COVERAGE_SQL
+    from .queries_domains import CHANNEL_SQL, TAX_POSITION_SQL
+
+    views = W("v_uploads", "o_snapshot", "o_classified", "v_payroll", "o_trial_balance", "v_statements", "o_monthly")
+    cov = COVERAGE_SQL[len(W("v_uploads") + ROUTED_SQL):]
+    return views + ROUTED_SQL + cov + TAX_POSITION_SQL + CHANNEL_SQL + f""",
+mo AS (SELECT company_id, count(*) AS months FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY month DESC) AS rn
+       FROM o_monthly) WHERE rn <= 6 GROUP BY 1),
+cm AS (SELECT company_id, count(CASE WHEN state = 'missing' THEN 1 END) AS core_missing FROM cov GROUP BY 1),
+tk AS (SELECT company_id, count(CASE WHEN c_validation <> 'approved' THEN 1 END) AS open_tasks FROM o_classified GROUP BY 1),
+ac AS (SELECT company_id, count(*) AS accounts FROM o_trial_balance GROUP BY 1),
+tq AS (SELECT company_id, profit AS accounting_profit, greatest(0.0, profit) AS taxable, net_gst, unresolved FROM tx),
+ob AS (SELECT tq.company_id, 3 + CASE WHEN pc.n > 0 THEN 3 ELSE 0 END AS obligations FROM tq
+       LEFT JOIN (SELECT company_id, count(*) AS n FROM v_payroll GROUP BY 1) pc USING (company_id)),
+chx AS (SELECT company_id, count(*) AS channels, sum(spend) AS spend FROM cs GROUP BY 1),
+lr AS (SELECT round(CAST(sum(CASE WHEN account_type = 'revenue' THEN balance ELSE 0 END) AS DOUBLE), 2) AS ledger_revenue FROM o_trial_balance),
+up AS (SELECT company_id, count(*) AS uploads FROM v_uploads GROUP BY 1),
+j AS (
+  SELECT s.company_id, s.total_assets, s.total_liabilities, s.revenue_month, s.expenses_month, s.cash,
+         coalesce(mo.months, 0) AS months, coalesce(cm.core_missing, 0) AS core_missing, coalesce(tk.open_tasks, 0) AS open_tasks,
+         coalesce(ac.accounts, 0) AS accounts, coalesce(tq.accounting_profit, 0) AS accounting_profit,
+         coalesce(tq.taxable, 0) AS taxable, coalesce(tq.net_gst, 0) AS net_gst, coalesce(ob.obligations, 0) AS obligations,
+         coalesce(chx.channels, 0) AS channels, coalesce(chx.spend, 0) AS spend, coalesce(lr.ledger_revenue, 0) AS ledger_revenue,
+         coalesce(up.uploads, 0) AS uploads
+  FROM o_snapshot s LEFT JOIN mo USING (company_id) LEFT JOIN cm USING (company_id) LEFT JOIN tk USING (company_id)
+  LEFT JOIN ac USING (company_id) LEFT JOIN tq USING (company_id) LEFT JOIN ob USING (company_id)
+  LEFT JOIN chx USING (company_id) CROSS JOIN lr LEFT JOIN up USING (company_id)),
+f AS (
+  SELECT *, abs(total_assets) > 0 OR abs(total_liabilities) > 0 OR abs(revenue_month) > 0 OR abs(expenses_month) > 0 OR abs(cash) > 0 AS over,
+         abs(accounting_profit) > 0 OR abs(taxable) > 0 OR abs(net_gst) > 0 AS tax_data,
+         abs(CASE WHEN ledger_revenue <> 0 THEN ledger_revenue ELSE revenue_month END) > 0 OR abs(spend) > 0 AS mk_data,
+         spend > 0.01 AS actual FROM j)
+SELECT company_id, 'overview' AS id, 'Overview' AS label, CAST(months AS BIGINT) AS record_count,
+       CASE WHEN over AND core_missing = 0 THEN 'ready' WHEN over THEN 'provisional' ELSE 'blocked' END AS status FROM f
+UNION ALL SELECT company_id, 'accounts', 'Accounts', CAST(accounts AS BIGINT),
+       CASE WHEN accounts > 0 AND open_tasks = 0 THEN 'ready' WHEN accounts > 0 THEN 'provisional' ELSE 'blocked' END FROM f
+UNION ALL SELECT company_id, 'tax', 'Tax', CAST(obligations AS BIGINT),
+       CASE WHEN tax_data AND open_tasks = 0 THEN 'ready' WHEN tax_data THEN 'provisional' ELSE 'blocked' END FROM f
+UNION ALL SELECT company_id, 'marketing', 'Marketing', CAST(channels AS BIGINT),
+       CASE WHEN mk_data AND actual THEN 'ready' WHEN mk_data THEN 'provisional' ELSE 'blocked' END FROM f
+UNION ALL SELECT company_id, 'operations', 'Data management', CAST(uploads AS BIGINT),
+       CASE WHEN uploads > 0 THEN 'ready' ELSE 'blocked' END FROM f"""
+
+
+@query("page_readiness", _page_sql())
+def q_page_readiness(c: Ctx):
+    """Readiness of the five user-facing pages from the data behind each of them."""
+    return page_readiness(c)
