@@ -197,8 +197,11 @@ def stock_state(quantity: Column, reorder_point: Column) -> Column:
             .otherwise("healthy"))
 
 
-def freshness_state(kind: Column, age_days: Column) -> Column:
-    """market sources 31/62 days, recurring 45/90 days, everything else is reference data."""
-    return (F.when(kind == "market", F.when(age_days <= 31, "fresh").when(age_days <= 62, "ageing").otherwise("stale"))
-            .when(kind == "recurring", F.when(age_days <= 45, "fresh").when(age_days <= 90, "ageing").otherwise("stale"))
+def freshness_state(document_type: Column, intake_category: Column, age_days: Column) -> Column:
+    """Market context: fresh <= 31 days, watch <= 62, else stale; other recurring sources: 45 / 90;
+    everything else is reference data."""
+    return (F.when(document_type == "market_context",
+                   F.when(age_days <= 31, "fresh").when(age_days <= 62, "watch").otherwise("stale"))
+            .when(intake_category == "recurring",
+                  F.when(age_days <= 45, "fresh").when(age_days <= 90, "watch").otherwise("stale"))
             .otherwise("reference"))

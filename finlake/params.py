@@ -43,3 +43,6 @@ UPLOAD_STATUSES = ("complete", "complete", "failed", "awaiting_mapping", "stale"
 DEPARTMENTS = ("Operations", "Sales", "Finance", "People")
 SIGNAL_TYPES = ("competitor liquidity", "gross margin", "revenue growth", "cash runway")
 STOCK_COUNT_FILE = "stock_count_31Dec1997.xlsx"
+
+# Evaluation date for the upload registry (its files are dated during 2024)
+REGISTRY_AS_OF = "2025-01-01"

@@ -511,3 +511,32 @@ UNION ALL SELECT company_id, 'operations', 'Data management', CAST(uploads AS BI
 def q_page_readiness(c: Ctx):
     """Readiness of the five user-facing pages from the data behind each of them."""
     return page_readiness(c)
+
+
+def freshness_counts(c: Ctx, as_of: str | None = None) -> DataFrame:
+    """Sources per freshness state at ``as_of`` and the data cut-off (latest processed source)."""
+    from .. import params as P
+    from ..functions.expr import freshness_state
+
+    as_of = as_of or P.REGISTRY_AS_OF
+    src = routed_uploads(c)
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("created_at"))
+    state = freshness_state(F.col("document_type"), F.col("intake_category"), age)
+    cutoff = src.groupBy("company_id").agg(F.max("created_at").alias("data_cutoff"))
+    return (src.groupBy("company_id", state.alias("freshness_state")).agg(F.count("*").cast("bigint").alias("sources"))
+            .join(cutoff, "company_id"))
+
+
+@query("freshness_counts", W("v_uploads") + ROUTED_SQL + """
+, st AS (SELECT company_id, created_at, CASE
+      WHEN document_type = 'market_context' THEN CASE WHEN date_diff('day', created_at, DATE '2025-01-01') <= 31 THEN 'fresh'
+           WHEN date_diff('day', created_at, DATE '2025-01-01') <= 62 THEN 'watch' ELSE 'stale' END
+      WHEN intake_category = 'recurring' THEN CASE WHEN date_diff('day', created_at, DATE '2025-01-01') <= 45 THEN 'fresh'
+           WHEN date_diff('day', created_at, DATE '2025-01-01') <= 90 THEN 'watch' ELSE 'stale' END
+      ELSE 'reference' END AS freshness_state FROM routed),
+cut AS (SELECT company_id, max(created_at) AS data_cutoff FROM routed GROUP BY 1)
+SELECT st.company_id, freshness_state, CAST(count(*) AS BIGINT) AS sources, any_value(cut.data_cutoff) AS data_cutoff
+FROM st JOIN cut USING (company_id) GROUP BY 1, 2""")
+def q_freshness_counts(c: Ctx):
+    """Uploaded sources per freshness state (market 31/62 days, recurring 45/90, else reference)."""
+    return freshness_counts(c)
