@@ -373,3 +373,25 @@ FROM y WHERE tm OR cm OR fs"""
 def q_classification_repair_plan(c: Ctx):
     """Repair plan for misfiled or incomplete uploads (move vs reprocess, with the reason)."""
     return classification_repair_plan(c)
+
+
+def source_discovery_counts(c: Ctx) -> "DataFrame":
+    """Supported (.csv/.xlsx/.xlsm/.pdf), non-hidden files per intake root, and how many are still
+    pending (not completed)."""
+    name = F.regexp_extract(F.col("filename"), r"([^/]*)$", 1)
+    ok = F.lower(name).rlike(r"\.(csv|xlsx|xlsm|pdf)$") & ~name.rlike(r"^(\.|~\$)")
+    return (c.uploads.filter(ok).groupBy("company_id", F.col("intake_category").alias("root"))
+            .agg(F.count("*").cast("bigint").alias("files"),
+                 F.count(F.when(~F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES), 1)).cast("bigint").alias("pending")))
+
+
+@query("source_discovery_counts", W("v_uploads") + """
+SELECT company_id, intake_category AS root, CAST(count(*) AS BIGINT) AS files,
+       CAST(count(CASE WHEN processing_status <> 'complete' THEN 1 END) AS BIGINT) AS pending
+FROM v_uploads
+WHERE regexp_matches(lower(regexp_extract(filename, '([^/]*)$', 1)), '\\.(csv|xlsx|xlsm|pdf)$')
+  AND NOT regexp_matches(regexp_extract(filename, '([^/]*)$', 1), '^(\\.|~\\$)')
+GROUP BY 1, 2""")
+def q_source_discovery_counts(c: Ctx):
+    """Discovered source files per intake root and the pending total."""
+    return source_discovery_counts(c)
