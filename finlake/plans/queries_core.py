@@ -29,8 +29,9 @@ SELECT id, c_rule_id AS rule_id, c_keyword AS keyword, c_account_code AS account
        CAST(c_confidence AS DOUBLE) AS confidence, c_status AS status
 FROM o_classified WHERE invoice_kind <> 'sales'""")
 def q_rule_first_match(c: Ctx):
-    """First categorisation rule per supplier invoice (priority desc, keyword length desc)."""
-    df = L.classify_invoices(c.supplier_invoices)
+    """First categorisation rule per supplier invoice (priority desc, keyword length desc), as
+    stored on the invoices Gold table (built by ``ledger.rule_first_match``)."""
+    df = c.classified.filter(F.col("invoice_kind") != "sales")
     return df.select("id", "rule_id", "keyword", F.col("c_account_code").alias("account_code"),
                      F.col("c_account_name").alias("account_name"), F.col("c_account_type").alias("account_type"),
                      F.col("c_tax_code").alias("tax_code"), F.col("c_confidence").cast("double").alias("confidence"),
