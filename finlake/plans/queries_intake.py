@@ -395,3 +395,23 @@ GROUP BY 1, 2""")
 def q_source_discovery_counts(c: Ctx):
     """Discovered source files per intake root and the pending total."""
     return source_discovery_counts(c)
+
+
+def context_only_gate(c: Ctx) -> "DataFrame":
+    """Per intake batch (the uploads of one day): True when every dataset in it is context-only
+    (market context, requirements, contracts, use cases, generic), so the financial Gold refresh is
+    skipped for that batch."""
+    u = routed_uploads(c).withColumn("dataset", F.coalesce("document_type", F.lit("generic")))
+    ctx_only = F.col("dataset").isin(*R.CONTEXT_ONLY_DATASETS)
+    return u.groupBy("company_id", F.col("created_at").alias("batch_date")).agg(
+        F.countDistinct("dataset").cast("bigint").alias("datasets"),
+        F.bool_and(ctx_only).alias("context_only"))
+
+
+@query("context_only_gate", W("v_uploads") + ROUTED_SQL + """
+SELECT company_id, created_at AS batch_date, CAST(count(DISTINCT coalesce(document_type, 'generic')) AS BIGINT) AS datasets,
+       bool_and(coalesce(document_type, 'generic') IN (""" + ", ".join(f"'{d}'" for d in R.CONTEXT_ONLY_DATASETS) + """)) AS context_only
+FROM routed GROUP BY 1, 2""")
+def q_context_only_gate(c: Ctx):
+    """Whether each day's intake batch holds only context datasets (skip financial refresh)."""
+    return context_only_gate(c)
