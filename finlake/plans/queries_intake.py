@@ -415,3 +415,20 @@ FROM routed GROUP BY 1, 2""")
 def q_context_only_gate(c: Ctx):
     """Whether each day's intake batch holds only context datasets (skip financial refresh)."""
     return context_only_gate(c)
+
+
+def filename_type_hint(filename: F.Column) -> F.Column:
+    """Looser filename hint (coverage intent): first rule whose token occurs in the lower-cased
+    name with non-alphanumeric runs turned into '_'; '' when none matches."""
+    signal = F.regexp_replace(F.lower(F.coalesce(filename, F.lit(""))), "[^a-z0-9]+", "_")
+    return first_keyword_class(signal, R.FILENAME_HINT_RULES, "")
+
+
+@query("filename_type_hint", W("v_uploads") + """
+SELECT upload_id, filename, CASE """ + " ".join(
+    "WHEN " + " OR ".join(f"contains(sig, '{t}')" for t in toks) + f" THEN '{ty}'" for ty, toks in R.FILENAME_HINT_RULES)
+    + """ ELSE '' END AS document_type_hint
+FROM (SELECT *, regexp_replace(lower(coalesce(filename, '')), '[^a-z0-9]+', '_', 'g') AS sig FROM v_uploads)""")
+def q_filename_type_hint(c: Ctx):
+    """Coverage-intent document type hint from each uploaded file name."""
+    return c.uploads.select("upload_id", "filename", filename_type_hint(F.col("filename")).alias("document_type_hint"))
