@@ -432,3 +432,41 @@ FROM (SELECT *, regexp_replace(lower(coalesce(filename, '')), '[^a-z0-9]+', '_',
 def q_filename_type_hint(c: Ctx):
     """Coverage-intent document type hint from each uploaded file name."""
     return c.uploads.select("upload_id", "filename", filename_type_hint(F.col("filename")).alias("document_type_hint"))
+
+
+def upload_lifecycle(c: Ctx) -> "DataFrame":
+    """Lifecycle label per upload: category_corrected (duplicate moved to the other library),
+    duplicate_ignored, awaiting_mapping, else initial_setup when no completed upload precedes it
+    (order: created date, upload number) or incremental_update. "Precedes a completed upload" is a
+    comparison with the company's first completed upload (one aggregate), not a running window."""
+    num = F.regexp_replace("upload_id", "[^0-9]", "").cast("bigint")
+    u = c.uploads.withColumn("o", F.struct(F.col("created_at"), num.alias("n")))
+    first_done = (u.filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES))
+                  .groupBy("company_id").agg(F.min("o").alias("fd")))
+    d = INC.file_dedupe_decision(c.uploads).select("upload_id", "decision")
+    j = u.join(d, "upload_id").join(first_done, "company_id", "left")
+    initial = F.col("fd").isNull() | (F.col("o") <= F.col("fd"))
+    life = (F.when(F.col("decision") == "moved", "category_corrected")
+            .when(F.col("decision") == "duplicate", "duplicate_ignored")
+            .when(F.col("processing_status") == "awaiting_mapping", "awaiting_mapping")
+            .when(initial, "initial_setup").otherwise("incremental_update"))
+    return j.select("upload_id", "decision", life.alias("lifecycle"))
+
+
+@query("upload_lifecycle", W("v_uploads") + """
+, f AS (SELECT company_id, sha256, arg_min(upload_id, upload_id) AS fid, arg_min(processing_status, upload_id) AS fst,
+               arg_min(intake_category, upload_id) AS fcat FROM v_uploads GROUP BY 1, 2),
+d AS (SELECT u.*, CASE WHEN u.upload_id = f.fid THEN 'new'
+                       WHEN f.fst NOT IN ('complete') AND f.fst <> 'processing' THEN 'reprocess'
+                       WHEN u.intake_category <> f.fcat THEN 'moved' ELSE 'duplicate' END AS decision,
+             CAST(regexp_replace(u.upload_id, '[^0-9]', '', 'g') AS BIGINT) AS n
+      FROM v_uploads u JOIN f ON f.company_id = u.company_id AND f.sha256 = u.sha256),
+fd AS (SELECT company_id, min((created_at, n)) AS fd FROM d WHERE processing_status = 'complete' GROUP BY 1)
+SELECT upload_id, decision, CASE WHEN decision = 'moved' THEN 'category_corrected'
+         WHEN decision = 'duplicate' THEN 'duplicate_ignored'
+         WHEN processing_status = 'awaiting_mapping' THEN 'awaiting_mapping'
+         WHEN fd.fd IS NULL OR (created_at, n) <= fd.fd THEN 'initial_setup' ELSE 'incremental_update' END AS lifecycle
+FROM d LEFT JOIN fd USING (company_id)""")
+def q_upload_lifecycle(c: Ctx):
+    """Lifecycle label of every upload (duplicate / moved / awaiting mapping / initial / incremental)."""
+    return upload_lifecycle(c)
