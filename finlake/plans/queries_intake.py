@@ -470,3 +470,24 @@ FROM d LEFT JOIN fd USING (company_id)""")
 def q_upload_lifecycle(c: Ctx):
     """Lifecycle label of every upload (duplicate / moved / awaiting mapping / initial / incremental)."""
     return upload_lifecycle(c)
+
+
+@query("schema_signature", W("v_statements") + """
+, h AS (SELECT DISTINCT company_id, period_end FROM v_statements WHERE statement_type = 'balance_sheet'),
+cols AS (SELECT company_id, 'line_item' AS name FROM (SELECT DISTINCT company_id FROM h)
+         UNION ALL SELECT company_id, strftime(period_end, '%Y_%m_%d') FROM h)
+SELECT 'balance_sheet_' || company_id || '.xlsx' AS file_id, 'Balance Sheet' AS sheet,
+       sha256(string_agg(name, '|' ORDER BY name)) AS schema_signature, CAST(count(*) AS BIGINT) AS columns
+FROM cols GROUP BY company_id""")
+def q_schema_signature(c: Ctx):
+    """Schema signature of each rendered sheet: sha256 of its sorted normalised column names (the
+    key for reusing an approved column mapping)."""
+    from ..functions.expr import schema_signature
+    from ..operators.recognition import column_name_normalise, sheet_header_detect
+    from ..sources.adapters import balance_sheet_cells
+
+    cells = balance_sheet_cells(c.t)
+    hdr = sheet_header_detect(cells)
+    names = column_name_normalise(cells.join(hdr, ["file_id", "sheet"]).filter(F.col("row") == F.col("header_row")))
+    return names.groupBy("file_id", "sheet").agg(schema_signature(F.collect_list("name")).alias("schema_signature"),
+                                                 F.count("*").cast("bigint").alias("columns"))
