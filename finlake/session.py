@@ -27,9 +27,19 @@ def configure(spark: SparkSession) -> SparkSession:
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
     conf.set("spark.sql.session.timeZone", "UTC")
+    _share_package_path(spark)
     return spark
 
 
+def _share_package_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it. On a cluster the package
+    is installed or passed with ``--py-files``; a path that does not exist there is ignored."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
