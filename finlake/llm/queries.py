@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import simhash
+from . import bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op(name: str, sql: str | None = None):
 def op1(docs: DataFrame) -> DataFrame:
     """Four-word shingles, XXH64 with seed 42, links at 4 or fewer differing bits."""
     return simhash.groups(docs, words=4, budget=4).select("doc_id", "fingerprint", "component_id")
+
+
+@op("op4_bpe")
+def op4(docs: DataFrame) -> DataFrame:
+    """Ids and decoded text of the public word vocabulary, as digests."""
+    return bpe.encode(docs, digests=True)
