@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, simhash
+from . import bpe, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +37,19 @@ def op1(docs: DataFrame) -> DataFrame:
     return simhash.groups(docs, words=4, budget=4).select("doc_id", "fingerprint", "component_id")
 
 
+@op("op2_mixing", mixing.SQL)
+def op2(docs: DataFrame) -> DataFrame:
+    """Weights 3, 1, 2; 150 % of all sizes; targets of at most twice a source's size."""
+    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @op("op4_bpe")
 def op4(docs: DataFrame) -> DataFrame:
     """Ids and decoded text of the public word vocabulary, as digests."""
     return bpe.encode(docs, digests=True)
+
+
+@op("op6_langid")
+def op6(docs: DataFrame) -> DataFrame:
+    """Train on rows that are not held out, predict for every row."""
+    return langid.predict(docs, langid.train(docs))
