@@ -147,7 +147,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     back = np.full(n, _INVERSE, np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    value = (sums[ends] - sums[starts]) * back[starts]
+    value = (sums[ends] - sums[starts]) * back[np.minimum(starts, n - 1)]
     return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, langid, mixing, simhash
+from . import bpe, chunks, langid, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,10 +17,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-def op(name: str, sql: str | None = None):
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
+def op(name: str, sql: str | None = None, labels: bool = False):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(_documents(configure(spark), sf_dir))
+            tables = [_documents(configure(spark), sf_dir)] + [_labels(spark, sf_dir)] * labels
+            return fn(*tables)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -49,7 +54,20 @@ def op4(docs: DataFrame) -> DataFrame:
     return bpe.encode(docs, digests=True)
 
 
+@op("op5_quality", labels=True)
+def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rules and line labels; the field is fitted on the labelled texts."""
+    found = quality.judge(docs, quality.train(docs, labels))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 @op("op6_langid")
 def op6(docs: DataFrame) -> DataFrame:
     """Train on rows that are not held out, predict for every row."""
     return langid.predict(docs, langid.train(docs))
+
+
+@op("op7_chunks")
+def op7(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return chunks.compare_with_edits(docs)
