@@ -102,13 +102,14 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of all words ``[^\\x20\\x09-\\x0D]+`` and, for each text, how many words
-    came before it (n + 1 values). No UTF-8 continuation byte is white space, so bytes suffice."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, other: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of all words (runs of bytes not in ``other``, by default
+    ``[^\\x20\\x09-\\x0D]+``) and, for each text, how many words came before it (n + 1 values). Only
+    ASCII bytes are in ``other``, and no byte of a longer UTF-8 character is one, so bytes suffice."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~other[data]
     first = np.ones(n, bool)
     first[1:] = ~inside[:-1]
     first[offsets[:-1][offsets[:-1] < n]] = True

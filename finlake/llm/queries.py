@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, chunks, langid, mixing, quality, simhash
+from . import bpe, chunks, langid, licenses, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,9 @@ def op6(docs: DataFrame) -> DataFrame:
 def op7(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     return chunks.compare_with_edits(docs)
+
+
+@op("op9_licenses")
+def op9(docs: DataFrame) -> DataFrame:
+    """Phrases and template blocks of every text."""
+    return licenses.summary(licenses.scan(docs))
