@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, chunks, langid, licenses, mixing, quality, simhash
+from . import bpe, chunks, langid, licenses, mixing, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op2(docs: DataFrame) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@op("op3_pii")
+def op3(docs: DataFrame) -> DataFrame:
+    """Fixed patterns and bootstrapped contexts."""
+    return pii.summary(docs)
+
+
 @op("op4_bpe")
 def op4(docs: DataFrame) -> DataFrame:
     """Ids and decoded text of the public word vocabulary, as digests."""
@@ -77,3 +83,9 @@ def op7(docs: DataFrame) -> DataFrame:
 def op9(docs: DataFrame) -> DataFrame:
     """Phrases and template blocks of every text."""
     return licenses.summary(licenses.scan(docs))
+
+
+@op("op10_secrets")
+def op10(docs: DataFrame) -> DataFrame:
+    """Fixed patterns and linked weak candidates."""
+    return secrets.summary(docs)
