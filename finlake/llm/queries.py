@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, chunks, langid, licenses, mixing, pii, quality, secrets, simhash
+from . import bpe, chunks, langid, licenses, linededup, mixing, pii, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,6 +79,12 @@ def op7(docs: DataFrame) -> DataFrame:
     return chunks.compare_with_edits(docs)
 
 
+@op("op8_linededup")
+def op8(docs: DataFrame) -> DataFrame:
+    """Texts without lines that match an earlier line of any text at Jaccard 0.8 or more."""
+    return linededup.dedup(docs.select("doc_id", "text"), counts=True)
+
+
 @op("op9_licenses")
 def op9(docs: DataFrame) -> DataFrame:
     """Phrases and template blocks of every text."""
