@@ -359,12 +359,12 @@ class WordCodec:
     def decode(self, ids) -> str:
         return self.automaton.decode(ids)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of tokens, SHA-256 of the ids and of the decoded text, for each text."""
+    def written(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of tokens, the decimal ids joined by one blank, and the decoded text."""
         out = []
         for own in self._all(texts):
             own = [r for r in own if r[0]]
-            out.append((sum([r[0] for r in own]), _sha(" ".join([r[1] for r in own])), _sha(" ".join([r[2] for r in own]))))
+            out.append((sum([r[0] for r in own]), " ".join([r[1] for r in own]), " ".join([r[2] for r in own])))
         return out
 
 
@@ -394,10 +394,14 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_tokens`` and either the real outputs ``ids``
-    (array of int) and ``decoded`` (text), or with ``digests`` their SHA-256 in hex, ``ids_sha256``
-    (decimal ids joined by one blank) and ``decoded_sha256``.
+#: What ``encode`` can return besides doc_id and n_tokens.
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_tokens`` and the wanted ones of ``ids`` (array of int),
+    ``decoded`` (text), and their SHA-256 in hex, ``ids_sha256`` (of the decimal ids joined by one blank)
+    and ``decoded_sha256``.
 
     Null and blank texts have no tokens, an empty id list and an empty decoded text. Words of any
     length are encoded whole. Other columns are not looked at; an empty table gives an empty table."""
@@ -405,13 +409,14 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        use = codec(spec)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        if digests:
-            n, ids, decoded = zip(*use.digests(texts), strict=True)
-            return record(doc_id=batch.column("doc_id"), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()), decoded_sha256=pa.array(decoded, pa.string()))
-        ids = use.encode(texts)
-        return record(doc_id=batch.column("doc_id"), n_tokens=pa.array(map(len, ids), pa.int64()), ids=pa.array(ids, pa.list_(pa.int32())), decoded=pa.array(map(use.decode, ids), pa.string()))
-
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long, {rest}")
+        n, ids, decoded = zip(*codec(spec).written([t or "" for t in batch.column("text").to_pylist()]), strict=True)
+        make = {
+            "ids": lambda: pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())),
+            "decoded": lambda: pa.array(decoded, pa.string()),
+            "ids_sha256": lambda: pa.array(map(_sha, ids), pa.string()),
+            "decoded_sha256": lambda: pa.array(map(_sha, decoded), pa.string()),
+        }
+        return record(doc_id=batch.column("doc_id"), n_tokens=pa.array(n, pa.int64()), **{c: make[c]() for c in outputs})
+
+    rest = "".join(f", {c} {OUTPUTS[c]}" for c in outputs)
+    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long{rest}")

@@ -57,7 +57,7 @@ def op3(docs: DataFrame) -> DataFrame:
 @op("op4_bpe")
 def op4(docs: DataFrame) -> DataFrame:
     """Ids and decoded text of the public word vocabulary, as digests."""
-    return bpe.encode(docs, digests=True)
+    return bpe.encode(docs, outputs=("ids_sha256", "decoded_sha256"))
 
 
 @op("op5_quality", labels=True)
