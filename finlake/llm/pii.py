@@ -3,9 +3,8 @@ functions only.
 
 Seeds are the values that the fixed patterns find at the start of a word. The words before a seed are its
 lexical pattern. In each round Spark scores the bipartite graph of patterns and the words that follow
-them: a pattern's confidence for a kind is the score of the known instances of that kind that follow it
-over the number of distinct words that do; a word's score is one minus the product of what its patterns
-leave in doubt. Words that look like identifiers and score enough become instances of the next round.
+them: a pattern's confidence for a kind is the share of its occurrences that a known instance of that kind
+follows, weighted by score; a word's score is one minus the product of what its patterns leave in doubt. Words that look like identifiers and score enough become instances of the next round.
 """
 
 from __future__ import annotations
@@ -69,12 +68,13 @@ def _shaped(word: Column) -> Column:
 
 
 def _seeds(spans: DataFrame) -> DataFrame:
-    """``(pattern, kind, value)`` of spans that begin a word, by the words before them."""
+    """``(pattern, kind, value, n)``: how often spans that begin a word stand behind the words before them."""
     words = F.regexp_extract_all("left", F.lit(WORD), F.lit(0))
     whole = (F.col("start") == F.length("left")) | F.col("left").rlike(r"^[\x20\x09-\x0D]")  # else the first word may be cut
     at = spans.filter(F.col("left").rlike(r"[\x20\x09-\x0D]$")).withColumn("before", F.when(whole, words).otherwise(F.slice(words, F.lit(2), F.size(words))))
     one, two = F.try_element_at("before", F.lit(-1)), F.try_element_at("before", F.lit(-2))
-    return at.select(F.explode(_two(_shaped(one), _shaped(two))).alias("pattern"), "kind", F.lower("value").alias("value")).distinct()
+    each = at.select(F.explode(_two(_shaped(one), _shaped(two))).alias("pattern"), "kind", F.lower("value").alias("value"))
+    return each.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _words(bodies: DataFrame) -> DataFrame:
@@ -98,16 +98,18 @@ def _learned(bodies: DataFrame, base: DataFrame) -> DataFrame:
     if able.isEmpty():
         return empty
     follow = _words(bodies).select("key", "value", "start", "end", F.explode(_two(F.col("one"), F.col("two"))).alias("pattern"))
-    follow = cut(follow.join(broadcast_if_small(able, 64), "pattern").withColumn("core", F.regexp_extract("value", _CORE, 0)).withColumn("odd", F.col("core").rlike("[0-9@]")))
-    edges = follow.select("pattern", F.lower(F.when(F.col("odd"), F.col("core")).otherwise(F.col("value"))).alias("value"), "odd").distinct()
-    degree = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
+    follow = follow.join(broadcast_if_small(able, 64), "pattern").withColumn("core", F.regexp_extract("value", _CORE, 0))
+    degree = cut(follow.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree")))
+    odd_words = cut(follow.filter(F.col("core").rlike("[0-9@]")))
     known = seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0))
-    graph = cut(edges.filter("odd").select("pattern", "value").union(seeds.join(broadcast_if_small(able, 64), "pattern").select("pattern", "value")).distinct())
-    degree = cut(degree)
+    odd = odd_words.groupBy("pattern", F.lower("core").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sown = seeds.join(broadcast_if_small(able, 64), "pattern").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+    # a seed's word is also a word that looks like an identifier: each edge counts once
+    graph = cut(odd.union(sown).groupBy("pattern", "value").agg(F.max("n").alias("n")))
     accepted, size = None, -1
     for _ in range(ROUNDS):
-        sums = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
-        accepted = cut(sums.join(degree, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / F.greatest("degree", "n"))).filter((F.col("n") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence"))
+        sums = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("sum"), F.count(F.lit(1)).alias("support"))
+        accepted = cut(sums.join(degree, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / F.col("degree"))).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence"))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
         scored = graph.join(accepted, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= SCORE)
         best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
@@ -119,7 +121,7 @@ def _learned(bodies: DataFrame, base: DataFrame) -> DataFrame:
             break
         size = n
     names = known.select(F.col("kind").alias("known_kind"), F.col("value").alias("known_value"))
-    found = follow.filter("odd").join(accepted, "pattern").join(names, (F.lower("core") == F.col("known_value")) & (F.col("kind") == F.col("known_kind")))
+    found = odd_words.join(accepted, "pattern").join(names, (F.lower("core") == F.col("known_value")) & (F.col("kind") == F.col("known_kind")))
     at = F.col("start") + F.instr("value", F.col("core")) - 1
     spans = found.select("key", "kind", F.col("core").alias("value"), at.alias("start"), (at + F.length("core")).alias("end")).distinct()
     return outside(spans, base)
