@@ -36,6 +36,12 @@ class Ctx:
             ctx = cls._instances[key] = cls(spark, sf_dir, as_of)
         return ctx
 
+    @classmethod
+    def forget(cls, spark: SparkSession) -> None:
+        """Drop all contexts and what they persisted, so that new data under the same path is read."""
+        cls._instances.clear()
+        spark.catalog.clearCache()
+
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = P.AS_OF):
         self.spark = spark
         self.sf_dir = sf_dir

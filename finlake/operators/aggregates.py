@@ -43,7 +43,7 @@ def ledger_values(tb: DataFrame) -> DataFrame:
     return tb.groupBy("company_id").agg(
         F.sum("posted_lines").alias("posted_lines"),
         sum_when((t == "asset") & s.contains("current") & ~s.contains("non-current"), b).alias("current_assets"),
-        sum_when((t == "liability") & s.contains("current"), b).alias("current_liabilities"),
+        sum_when((t == "liability") & s.contains("current") & ~s.contains("non-current"), b).alias("current_liabilities"),
         sum_when((t == "asset") & n.contains("inventory"), b).alias("inventory"),
         sum_when((t == "asset") & (n.contains("cash") | n.contains("bank")), b).alias("cash"),
         sum_when(t == "asset", b).alias("total_assets"),
@@ -58,7 +58,7 @@ def invoice_exposure(inv: DataFrame, as_of: str) -> DataFrame:
     open_ = ~F.col("status").isin(*CLOSED_STATUSES)
     overdue = open_ & (F.col("due_date") < F.lit(as_of).cast("date"))
     label = F.when(F.col("invoice_kind") == "sales", "Receivables").otherwise("Payables")
-    return (inv.groupBy(label.alias("label"))
+    return (inv.groupBy("company_id", label.alias("label"))
             .agg(out_money(F.abs(sum_when(open_, F.col("amount")))).alias("open"),
                  out_money(F.abs(sum_when(overdue, F.col("amount")))).alias("overdue")))
 
@@ -91,10 +91,10 @@ def profit_structure(stm: DataFrame) -> DataFrame:
 
 def duplicate_invoice_numbers(inv: DataFrame) -> DataFrame:
     """Invoice numbers used more than once: count, total, last record id (max id)."""
-    return (inv.groupBy("invoice_number")
+    return (inv.groupBy("company_id", "invoice_number")
             .agg(F.count("*").alias("count"), F.sum("amount").alias("total"), F.max("id").alias("target_id"))
             .filter(F.col("count") > 1)
-            .select("invoice_number", F.col("count").cast("bigint").alias("count"), out_money("total").alias("total"),
+            .select("company_id", "invoice_number", F.col("count").cast("bigint").alias("count"), out_money("total").alias("total"),
                     "target_id"))
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import money_from_cents, out_money, reference_key
-from .partitioning import spread_for_cpu
 
 
 def _cents(amount: str) -> F.Column:
@@ -83,22 +82,8 @@ def _dyadic_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return both.filter(F.col("b.ok")).select(*df.columns, F.col("j").alias("level"), F.col("b.block").alias("block"))
 
 
-def _pairs_small_keys(t: DataFrame, p: int, q: int, ratio: float) -> DataFrame:
-    """Keys with few payments: band join on (key, log-amount bucket +-1) against the distinct
-    amounts of the key (pairs per payment bounded by the key's size), exact integer ratio check."""
-    width = -math.log(ratio)
-    t = t.withColumn("b", F.floor(F.log(F.col("c") / 100.0) / width).cast("bigint"))
-    firsts = (t.groupBy("company_id", "k", "c", "b").agg(F.min(F.struct("d", "id")).alias("f"))
-              .select("company_id", "k", F.col("c").alias("ec"), F.col("b").alias("pb"), "f"))
-    probes = t.withColumn("pb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    j = probes.join(firsts, ["company_id", "k", "pb"])
-    lo, hi = F.least(F.col("c"), F.col("ec")), F.greatest(F.col("c"), F.col("ec"), F.lit(100))
-    return (j.filter(lo * q >= hi * p).groupBy("company_id", "k", "id", "d", "c")
-            .agg(F.min(F.struct("f", "ec")).alias("m")))
-
-
-def _pairs_large_keys(t: DataFrame, p: int, q: int) -> DataFrame:
-    """Keys with many payments: exact range minimum over aligned power-of-two amount blocks."""
+def _first_in_range(t: DataFrame, p: int, q: int) -> DataFrame:
+    """Exact range minimum over aligned power-of-two amount blocks."""
     k_factor = (q / p) * (q / p - p / q)  # a block a query can use has 2^j <= K * amount + 1
     firsts = t.groupBy("company_id", "k", "c").agg(F.min(F.struct("d", "id")).alias("f"))
     levels = F.expr(f"sequence(0, {_floor_log2(f'CAST(floor({k_factor!r} * c) AS BIGINT) + 1')} + 1)")
@@ -113,30 +98,23 @@ def _pairs_large_keys(t: DataFrame, p: int, q: int) -> DataFrame:
             .groupBy("company_id", "k", "id", "d", "c").agg(F.min("m").alias("m")))
 
 
-def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool = False,
-                            small_key_rows: int = 64) -> DataFrame:
+def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool = False) -> DataFrame:
     """For each transaction with a positive amount, the earliest earlier transaction (order:
     date, id) with the same reference key and min / max(amounts, 1.00) >= ratio.
 
     Exact and skew-safe. In integer cents the comparable amounts of ``a`` form the interval
     [ceil(max(a, 100) p / q), floor(a q / p)] (ratio = p / q); the answer is the range minimum of
-    "first occurrence" over the key's distinct amounts, compared with the transaction itself.
-    Keys with at most ``small_key_rows`` payments (the common case) use a bucketed band join whose
-    pairs are bounded by the key size; larger keys use aligned power-of-two blocks: each distinct
-    amount feeds the blocks containing it, each interval splits into O(log width) blocks, and an
-    equi-join on (company, key, level, block) gives the minimum -- O(n log range) even when one key
-    holds a third of all rows, and no pair of its transactions is materialised."""
+    "first occurrence" over the key's distinct amounts, compared with the transaction itself. Each
+    distinct amount feeds the aligned power-of-two blocks that contain it, each interval splits into
+    O(log width) blocks, and an equi-join on (company, key, level, block) gives the minimum --
+    O(n log range) whatever a key's share of the rows, and no pair of its transactions is made."""
     frac = Fraction(ratio).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
-    t = (spread_for_cpu(txn.select("company_id", "id", "transaction_date", "description", "amount"))
+    t = (txn.select("company_id", "id", "transaction_date", "description", "amount")
          .select("company_id", "id", F.col("transaction_date").alias("d"),
                  reference_key(F.col("description"), compat_key).alias("k"), _cents("amount").alias("c"))
          .filter((F.col("k") != "") & (F.col("c") > 0)))
-    sizes = t.groupBy("company_id", "k").agg(F.count("*").alias("n"))
-    t = t.join(sizes, ["company_id", "k"])
-    small = _pairs_small_keys(t.filter(F.col("n") <= small_key_rows).drop("n"), p, q, ratio)
-    large = _pairs_large_keys(t.filter(F.col("n") > small_key_rows).drop("n"), p, q)
-    best = small.unionByName(large)
+    best = _first_in_range(t, p, q)
     out = best.filter(F.col("m.f") < F.struct(F.col("d"), F.col("id")))
     return out.select("company_id", F.col("k").alias("reference_key"), F.col("m.f.id").alias("earlier_id"),
                       out_money(money_from_cents(F.col("m.ec"))).alias("earlier_amount"), F.col("id").alias("current_id"),

@@ -237,6 +237,15 @@ def _rules_values() -> str:
     return ",\n  ".join(rows)
 
 
+def _rule_case() -> str:
+    """Number of the first rule that fits an invoice, as one CASE over its normalised texts."""
+    field = {"supplier_exact": "supplier_norm = {k}", "supplier_contains": "contains(supplier_norm, {k})",
+             "description_contains": "contains(description_norm, {k})"}
+    whens = [f"WHEN {field.get(r['match_type'], 'contains(haystack, {k})').format(k=_q(r['keyword_norm']))} THEN {i}"
+             for i, r in enumerate(R.rule_rows())]
+    return "CASE WHEN invoice_kind = 'sales' THEN NULL " + " ".join(whens) + " END"
+
+
 def _coa_values() -> str:
     return ",\n  ".join(
         f"({_q(c)}, {_q(n)}, {_q(t)}, {_q(s)}, {_q(x)}, {str(a).upper()}, {_q(src)})"
@@ -255,15 +264,8 @@ _view("o_classified", ("v_invoices", "o_rules", "o_coa"), f"""
 WITH n AS (
   SELECT *, {_norm('supplier')} AS supplier_norm, {_norm('description')} AS description_norm FROM v_invoices),
 h AS (SELECT *, trim(supplier_norm || ' ' || description_norm) AS haystack FROM n),
-m AS (
-  SELECT h.id, r.*, row_number() OVER (PARTITION BY h.id ORDER BY r.eval_order) AS rn
-  FROM h JOIN o_rules r ON CASE r.match_type
-      WHEN 'supplier_exact' THEN h.supplier_norm = r.keyword_norm
-      WHEN 'supplier_contains' THEN contains(h.supplier_norm, r.keyword_norm)
-      WHEN 'description_contains' THEN contains(h.description_norm, r.keyword_norm)
-      ELSE contains(h.haystack, r.keyword_norm) END
-  WHERE h.invoice_kind <> 'sales'),
-f AS (SELECT * FROM m WHERE rn = 1),
+m AS (SELECT h.id, {_rule_case()} AS n FROM h),
+f AS (SELECT m.id, r.* FROM m JOIN o_rules r ON r.eval_order = m.n),
 c AS (
   SELECT h.*,
     CASE WHEN h.invoice_kind = 'sales' THEN '4000' WHEN f.id IS NOT NULL THEN f.account_code ELSE '6999' END AS c_account_code,
@@ -350,14 +352,15 @@ _view("o_lines", ("o_invoice_lines", "o_opening_lines"), """
 SELECT * FROM o_invoice_lines UNION ALL SELECT * FROM o_opening_lines""")
 
 _view("o_trial_balance", ("o_lines", "o_coa"), f"""
-SELECT {_q(P.COMPANY)} AS company_id, c.code, c.name, c.account_type, c.subtype, c.default_tax_code AS tax_code,
+SELECT k.company_id, c.code, c.name, c.account_type, c.subtype, c.default_tax_code AS tax_code,
        coalesce(sum(l.debit), 0) AS debits, coalesce(sum(l.credit), 0) AS credits,
        CASE WHEN c.account_type IN ('asset', 'expense') THEN coalesce(sum(l.debit - l.credit), 0)
             ELSE coalesce(sum(l.credit - l.debit), 0) END AS balance,
        count(l.id) AS posted_lines
-FROM o_coa c LEFT JOIN (SELECT * FROM o_lines WHERE entry_status = 'posted') l ON l.account_code = c.code
+FROM o_coa c CROSS JOIN (SELECT DISTINCT company_id FROM o_lines) k
+LEFT JOIN (SELECT * FROM o_lines WHERE entry_status = 'posted') l ON l.account_code = c.code AND l.company_id = k.company_id
 WHERE c.active
-GROUP BY c.code, c.name, c.account_type, c.subtype, c.default_tax_code""")
+GROUP BY k.company_id, c.code, c.name, c.account_type, c.subtype, c.default_tax_code""")
 
 
 _view("o_monthly", ("v_transactions",), """
@@ -380,7 +383,7 @@ tb AS (SELECT *, CAST(round(CAST(balance AS DOUBLE), 2) AS DECIMAL(18,2)) AS b F
 lg AS (
   SELECT company_id, sum(posted_lines) AS l_posted_lines,
     sum(CASE WHEN account_type = 'asset' AND contains(lower(subtype), 'current') AND NOT contains(lower(subtype), 'non-current') THEN b ELSE 0 END) AS l_current_assets,
-    sum(CASE WHEN account_type = 'liability' AND contains(lower(subtype), 'current') THEN b ELSE 0 END) AS l_current_liabilities,
+    sum(CASE WHEN account_type = 'liability' AND contains(lower(subtype), 'current') AND NOT contains(lower(subtype), 'non-current') THEN b ELSE 0 END) AS l_current_liabilities,
     sum(CASE WHEN account_type = 'asset' AND contains(lower(name), 'inventory') THEN b ELSE 0 END) AS l_inventory,
     sum(CASE WHEN account_type = 'asset' AND (contains(lower(name), 'cash') OR contains(lower(name), 'bank')) THEN b ELSE 0 END) AS l_cash,
     sum(CASE WHEN account_type = 'asset' THEN b ELSE 0 END) AS l_total_assets,

@@ -38,7 +38,7 @@ UPLOAD_FILE_STEMS = (
     "user_stories", "tax_returns", "market_context", "bank_statement", "payroll_report", "sales_invoices",
     "supplier_invoices",
 )
-UPLOAD_STATUSES = ("complete", "complete", "failed", "awaiting_mapping", "stale")
+UPLOAD_STATUSES = ("committed", "stored_source", "failed", "pending_mapping", "stale")
 
 DEPARTMENTS = ("Operations", "Sales", "Finance", "People")
 SIGNAL_TYPES = ("competitor liquidity", "gross margin", "revenue growth", "cash runway")

@@ -234,7 +234,7 @@ def tax_position(c: Ctx, rate: float = P.INCOME_TAX_RATE) -> DataFrame:
     estimated tax, confidence and the GST control reconciliation difference."""
     from .queries_core import account_type_summary
 
-    acc = account_type_summary(c).select(
+    acc = account_type_summary(c).select("company_id", 
         F.col("profit").alias("acct_profit"), F.abs("revenue").alias("posted_revenue"),
         (F.col("gst_payable") - F.col("gst_receivable")).alias("gst_control"))
     pl = AG.latest_period(c.statements.filter(F.col("statement_type") == "profit_loss"), "period_end").groupBy("company_id").agg(
@@ -244,7 +244,7 @@ def tax_position(c: Ctx, rate: float = P.INCOME_TAX_RATE) -> DataFrame:
     bas = bas_labels(c).select("company_id", "net_gst")
     rc = tax_review_counts(c).select("company_id", "unresolved")
     j = (pl.join(bas, "company_id").join(rc, "company_id")
-         .join(acc.withColumn("company_id", F.lit(P.COMPANY)), "company_id"))
+         .join(acc, "company_id"))
     partial = (F.col("statement_revenue") > 0.005) & (F.col("posted_revenue") < F.col("statement_revenue") * 0.75)
     use_stmt = (F.abs("statement_profit") > 0.005) & ((F.abs("acct_profit") < 0.005) | partial)
     profit = F.when(use_stmt, F.col("statement_profit")).otherwise(F.col("acct_profit"))

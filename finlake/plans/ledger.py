@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from .. import params as P
 from ..functions import rules as R
 from ..functions.expr import MONEY, first_keyword_class, normalise_text, out_money
-from ..operators.partitioning import spread_for_cpu
 
 COA_SCHEMA = "code string, name string, account_type string, subtype string, default_tax_code string, active boolean, source string"
 
@@ -82,7 +81,7 @@ def rule_first_match(df: DataFrame, rules: list[dict] | None = None, supplier: s
     reason = F.when(hit.isNull(), F.lit("No approved supplier or keyword rule matched this invoice.")).otherwise(
         F.concat(F.lit("Matched the saved keyword '"), hit.keyword, F.lit("'."),
                  F.when(capital, F.lit(" Capital treatment and depreciation require review.")).otherwise(F.lit(""))))
-    staged = (spread_for_cpu(df).withColumns({"_sn": normalise_text(F.col(supplier)), "_dn": normalise_text(F.col(description))})
+    staged = (df.withColumns({"_sn": normalise_text(F.col(supplier)), "_dn": normalise_text(F.col(description))})
               .withColumn("_hay", F.trim(F.concat_ws(" ", sn, dn)))
               .withColumn("_hit", F.get(table, evaluate_once(idx))))
     return staged.withColumns({
@@ -244,22 +243,24 @@ def posted_lines(lines: DataFrame, entries: DataFrame | None = None) -> DataFram
     return lines.filter(F.col("entry_status") == "posted")
 
 
-def trial_balance(coa: DataFrame, lines: DataFrame, entries: DataFrame | None = None,
-                  company_id: str = P.COMPANY) -> DataFrame:
-    """Active accounts LEFT JOIN posted-line totals; balance signed by account type.
+def trial_balance(coa: DataFrame, lines: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Per company that has journal lines: active accounts LEFT JOIN posted-line totals; balance signed
+    by account type.
 
     Lines are aggregated to (company, account) first -- map-side partial aggregation -- so the
     join sees at most |accounts| x |companies| rows, and AQE chooses the join strategy at runtime.
     """
-    agg = (posted_lines(lines, entries).groupBy("account_code")
+    agg = (posted_lines(lines, entries).groupBy("company_id", "account_code")
            .agg(F.sum("debit").alias("debits"), F.sum("credit").alias("credits"), F.count("id").alias("posted_lines")))
-    a = coa.filter(F.col("active"))
-    j = a.join(agg, a.code == agg.account_code, "left")
+    every = F.lit(1)  # each company has the whole chart, a fixed list of accounts
+    a = coa.filter(F.col("active")).withColumn("every", every)
+    a = lines.select("company_id").distinct().withColumn("every", every).join(a, "every").drop("every")
+    j = a.join(agg.withColumnRenamed("account_code", "code"), ["company_id", "code"], "left")
     debits = F.coalesce(F.col("debits"), F.lit(0))
     credits = F.coalesce(F.col("credits"), F.lit(0))
     bal = F.when(F.col("account_type").isin("asset", "expense"), debits - credits).otherwise(credits - debits)
     return j.select(
-        F.lit(company_id).alias("company_id"), "code", "name", "account_type", "subtype",
+        "company_id", "code", "name", "account_type", "subtype",
         F.col("default_tax_code").alias("tax_code"),
         out_money(debits).alias("debits"), out_money(credits).alias("credits"), out_money(bal).alias("balance"),
         F.coalesce(F.col("posted_lines"), F.lit(0)).cast("bigint").alias("posted_lines"))

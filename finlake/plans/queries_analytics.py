@@ -197,19 +197,19 @@ def q_position_totals(c: Ctx):
     return p.select("company_id", *[out_money(x).alias(x) for x in p.columns if x != "company_id"])
 
 
-@query("position_series", W("v_assets_liabilities") + f"""SELECT label, round(abs(CAST(sum(amount) AS DOUBLE)), 2) AS value,
+@query("position_series", W("v_assets_liabilities") + f"""SELECT company_id, label, round(abs(CAST(sum(amount) AS DOUBLE)), 2) AS value,
 CASE label WHEN 'Cash' THEN 1 WHEN 'Receivables' THEN 2 WHEN 'Inventory' THEN 3 WHEN 'Other current assets' THEN 4
 WHEN 'Non-current assets' THEN 5 WHEN 'Current liabilities' THEN 6 WHEN 'Non-current liabilities' THEN 7 ELSE 8 END AS sort_order
-FROM (SELECT {_BUCKET_SQL} AS label, amount FROM v_assets_liabilities) GROUP BY label HAVING abs(sum(amount)) > 0.005""")
+FROM (SELECT company_id, {_BUCKET_SQL} AS label, amount FROM v_assets_liabilities) GROUP BY company_id, label HAVING abs(sum(amount)) > 0.005""")
 def q_position_series(c: Ctx):
     """Position chart: bucket sums with a fixed display order, near-zero buckets dropped."""
     return SN.position_series(c)
 
 
-@query("invoice_exposure", W("v_invoices") + f"""SELECT CASE WHEN invoice_kind = 'sales' THEN 'Receivables' ELSE 'Payables' END AS label,
+@query("invoice_exposure", W("v_invoices") + f"""SELECT company_id, CASE WHEN invoice_kind = 'sales' THEN 'Receivables' ELSE 'Payables' END AS label,
 round(abs(CAST(sum(CASE WHEN status NOT IN ('paid', 'cancelled') THEN amount ELSE 0 END) AS DOUBLE)), 2) AS open,
 round(abs(CAST(sum(CASE WHEN status NOT IN ('paid', 'cancelled') AND due_date < DATE '{AS_OF}' THEN amount ELSE 0 END) AS DOUBLE)), 2) AS overdue
-FROM v_invoices GROUP BY 1""")
+FROM v_invoices GROUP BY 1, 2""")
 def q_invoice_exposure(c: Ctx):
     """Receivables and payables: open and overdue totals."""
     return AG.invoice_exposure(c.invoices, AS_OF)
@@ -235,8 +235,8 @@ def q_profit_structure(c: Ctx):
     return AG.profit_structure(c.statements)
 
 
-@query("duplicate_invoice_numbers", W("v_invoices") + """SELECT invoice_number, CAST(count(*) AS BIGINT) AS count,
-round(CAST(sum(amount) AS DOUBLE), 2) AS total, max(id) AS target_id FROM v_invoices GROUP BY invoice_number HAVING count(*) > 1""")
+@query("duplicate_invoice_numbers", W("v_invoices") + """SELECT company_id, invoice_number, CAST(count(*) AS BIGINT) AS count,
+round(CAST(sum(amount) AS DOUBLE), 2) AS total, max(id) AS target_id FROM v_invoices GROUP BY company_id, invoice_number HAVING count(*) > 1""")
 def q_duplicate_invoice_numbers(c: Ctx):
     """Invoice numbers used more than once, with count, total and the last record id."""
     return AG.duplicate_invoice_numbers(c.invoices)

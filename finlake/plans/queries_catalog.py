@@ -115,7 +115,7 @@ def received_types(c: Ctx) -> DataFrame:
 
 CORE_SQL = "(" + ", ".join(f"'{t}'" for t in R.CORE_SETUP_TYPES) + ")"
 COVERAGE_SQL = W("v_uploads") + ROUTED_SQL + f""",
-rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') AND document_type IS NOT NULL),
 core AS (SELECT unnest([{", ".join(f"'{t}'" for t in R.CORE_SETUP_TYPES)}]) AS document_type),
 comp AS (SELECT DISTINCT company_id FROM v_uploads),
 cov AS (SELECT comp.company_id, core.document_type,
@@ -152,7 +152,7 @@ def q_lifecycle_phase(c: Ctx):
         F.array_join(F.array_sort(F.collect_list(miss)), ",").alias("missing"))
 
 
-STAGED_STATUS = ("CASE processing_status WHEN 'complete' THEN 'processed_source' WHEN 'awaiting_mapping' THEN 'staged_source' "
+STAGED_STATUS = ("CASE WHEN processing_status = 'pending_mapping' THEN 'staged_source' WHEN processing_status IN ('committed', 'stored_source') THEN 'processed_source' "
                  "ELSE 'archived_source' END")
 
 
@@ -165,8 +165,8 @@ SELECT fingerprint, arg_max(upload_id, CAST(rnk AS BIGINT) * 1000000000 - CAST(r
 def q_staged_file_dedupe(c: Ctx):
     """One source per (visible name, size): the best-ranked status (staged > archived > processed),
     first upload on ties."""
-    st = F.when(F.col("processing_status") == "complete", "processed_source") \
-        .when(F.col("processing_status") == "awaiting_mapping", "staged_source").otherwise("archived_source")
+    st = F.when(F.col("processing_status") == "pending_mapping", "staged_source") \
+        .when(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES), "processed_source").otherwise("archived_source")
     rank = F.create_map(*[x for k, v in R.STAGED_STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])[st]
     num = F.regexp_replace("upload_id", "[^0-9]", "").cast("bigint")
     u = c.uploads.select("upload_id", rank.alias("rnk"), num.alias("n"), F.concat(
@@ -186,7 +186,7 @@ def q_upload_history_window(c: Ctx):
 
 
 @query("completed_upload_count", W("v_uploads") + """
-SELECT company_id, CAST(count(*) AS BIGINT) AS completed_uploads FROM v_uploads WHERE processing_status = 'complete' GROUP BY 1""")
+SELECT company_id, CAST(count(*) AS BIGINT) AS completed_uploads FROM v_uploads WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') GROUP BY 1""")
 def q_completed_upload_count(c: Ctx):
     """Uploads in a complete status."""
     return (c.uploads.filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES))

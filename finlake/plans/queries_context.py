@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..context import Ctx
+from ..functions import rules as R
 from ..oracle.views import with_views as W
 from ..registry import query
 from .queries_catalog import received_types
@@ -52,7 +53,7 @@ def metric_readiness(c: Ctx) -> DataFrame:
 
 
 METRIC_SQL = W("v_uploads", "o_classified", "v_payroll", "o_trial_balance", "v_statements") + ROUTED_SQL + """
-, rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+, rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') AND document_type IS NOT NULL),
 defs AS (SELECT * FROM (VALUES """ + ", ".join(
     f"('{m}', [{', '.join(repr(d) for d in req)}]::VARCHAR[])" for m, req in METRIC_REQUIREMENTS) + """) t(metric_id, req)),
 comp AS (SELECT DISTINCT company_id FROM v_uploads),
@@ -184,7 +185,7 @@ def information_requests(c: Ctx, objective_given: bool = False) -> DataFrame:
 
 
 @query("information_requests", W("v_uploads") + ROUTED_SQL + """
-, rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+, rec AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') AND document_type IS NOT NULL),
 defs AS (SELECT * FROM (VALUES """ + ", ".join(
     f"('{k}', '{i}', '{p}', [{', '.join(repr(d) for d in s)}]::VARCHAR[])" for k, i, p, s in INFORMATION_REQUESTS) + """)
          t(request_key, information, priority, sat)),
@@ -300,29 +301,31 @@ def q_top_contributors(c: Ctx):
 
 @query("unreconciled_staged_files", W("v_uploads") + """
 SELECT upload_id, filename FROM v_uploads s WHERE lower(trim(regexp_replace(filename, '^.*?__', ''))) NOT IN (
-  SELECT lower(trim(regexp_replace(filename, '^.*?__', ''))) FROM v_uploads WHERE processing_status = 'complete')""")
+  SELECT lower(trim(regexp_replace(filename, '^.*?__', ''))) FROM v_uploads WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping'))""")
 def q_unreconciled_staged_files(c: Ctx):
     """Staged files whose visible name is not among the completed uploads (anti-join)."""
     from ..functions.expr import visible_name
 
     key = F.lower(F.trim(visible_name(F.col("filename"))))
     staged = c.uploads.select("upload_id", "filename", key.alias("k"))
-    done = c.uploads.filter(F.col("processing_status") == "complete").select(key.alias("k")).distinct()
+    done = c.uploads.filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES)).select(key.alias("k")).distinct()
     return staged.join(done, "k", "left_anti").select("upload_id", "filename")
 
 
 @query("kpi_snapshot_append", W("o_snapshot") + """
-SELECT company_id, 1 AS data_version, cash, current_ratio, revenue_month, open_invoice_total FROM o_snapshot""")
+SELECT company_id, v AS data_version, cash, current_ratio, revenue_month, open_invoice_total
+FROM o_snapshot, (VALUES (1), (2)) t(v)""")
 def q_kpi_snapshot_append(c: Ctx):
-    """The snapshot appended to the KPI history (schema-relaxed, newest 5000 per company kept),
-    read back from shared storage."""
+    """The snapshot appended twice to the KPI history (schema-relaxed, newest 5000 per company shown),
+    read back from shared storage: both versions are there."""
     import uuid
 
     from ..session import checkpoint_dir
     from ..sources.sinks import kpi_snapshot_append
 
     hist = f"{checkpoint_dir(c.spark).rstrip('/')}/finlake-kpi/{uuid.uuid4().hex}"
-    out = kpi_snapshot_append(c.spark, hist, c.snapshot, "1998-07-01 00:00:00", 1)
+    kpi_snapshot_append(c.spark, hist, c.snapshot, "1998-06-30 00:00:00", 1)
+    out = kpi_snapshot_append(c.spark, hist, c.snapshot, "1998-07-01 00:00:00", 2)
     return out.select("company_id", F.col("data_version").cast("int").alias("data_version"), "cash", "current_ratio",
                       "revenue_month", "open_invoice_total")
 
@@ -357,7 +360,7 @@ def source_decision_links(c: Ctx) -> DataFrame:
 
 def decision_readiness(c: Ctx) -> DataFrame:
     links = source_decision_links(c)
-    done = routed_uploads(c).filter(F.col("processing_status").isin(*R_COMPLETE)).select("company_id", "document_type").distinct()
+    done = routed_uploads(c).filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES)).select("company_id", "document_type").distinct()
     required = F.array(*[F.struct(F.lit(d).alias("decision_id"), F.lit(t).alias("document_type"))
                          for d, _l, req, _s in DECISIONS for t in req])
     need = c.uploads.select("company_id").distinct().select("company_id", F.explode(required).alias("r")).select(
@@ -376,8 +379,6 @@ def decision_readiness(c: Ctx) -> DataFrame:
                     F.coalesce("missing_required", F.lit("")).alias("missing_required"))
 
 
-R_COMPLETE = ("complete",)
-
 DECISION_SQL = W("v_uploads") + ROUTED_SQL + """,
 dt AS (SELECT * FROM (VALUES """ + ", ".join(
     [f"('{d}', '{t}', 'required')" for d, _l, req, _s in DECISIONS for t in req] +
@@ -393,7 +394,7 @@ def q_source_decision_links(c: Ctx):
 
 
 @query("decision_readiness", DECISION_SQL + """,
-done AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status = 'complete' AND document_type IS NOT NULL),
+done AS (SELECT DISTINCT company_id, document_type FROM routed WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') AND document_type IS NOT NULL),
 comp AS (SELECT DISTINCT company_id FROM v_uploads),
 need AS (SELECT comp.company_id, dt.decision_id, dt.document_type FROM comp, dt WHERE dt.connection_role = 'required'),
 agg AS (SELECT need.company_id, need.decision_id, count(*) AS required, count(done.document_type) AS present,
@@ -431,7 +432,7 @@ def page_readiness(c: Ctx) -> DataFrame:
         .join(bas_labels(c).select("company_id", "net_gst"), "company_id")
     obligations = tax_obligations(c).groupBy("company_id").agg(F.count("*").alias("obligations"))
     ch = channel_spend(c).groupBy("company_id").agg(F.count("*").alias("channels"), F.sum("spend").alias("spend"))
-    revenue = account_type_summary(c).select(F.col("revenue").alias("ledger_revenue")).withColumn("company_id", F.lit("default"))
+    revenue = account_type_summary(c).select("company_id", F.col("revenue").alias("ledger_revenue"))
     ups = c.uploads.groupBy("company_id").agg(F.count("*").alias("uploads"))
     j = (s.join(months, "company_id", "left").join(missing, "company_id", "left").join(tasks, "company_id", "left")
          .join(accounts, "company_id", "left").join(tax, "company_id", "left").join(obligations, "company_id", "left")

@@ -83,7 +83,7 @@ def q_journal_status_counts(c: Ctx):
 
 
 @query("account_type_summary", W("o_trial_balance") + """
-SELECT round(CAST(sum(CASE WHEN account_type = 'asset' THEN balance ELSE 0 END) AS DOUBLE), 2) AS assets,
+SELECT company_id, round(CAST(sum(CASE WHEN account_type = 'asset' THEN balance ELSE 0 END) AS DOUBLE), 2) AS assets,
        round(CAST(sum(CASE WHEN account_type = 'liability' THEN balance ELSE 0 END) AS DOUBLE), 2) AS liabilities,
        round(CAST(sum(CASE WHEN account_type = 'equity' THEN balance ELSE 0 END) AS DOUBLE), 2) AS equity,
        round(CAST(sum(CASE WHEN account_type = 'revenue' THEN balance ELSE 0 END) AS DOUBLE), 2) AS revenue,
@@ -94,7 +94,7 @@ SELECT round(CAST(sum(CASE WHEN account_type = 'asset' THEN balance ELSE 0 END)
        round(CAST(sum(CASE WHEN code = '1300' THEN balance ELSE 0 END) AS DOUBLE), 2) AS gst_receivable,
        round(CAST(sum(CASE WHEN code = '2100' THEN balance ELSE 0 END) AS DOUBLE), 2) AS gst_payable,
        round(CAST(sum(CASE WHEN code = '2100' THEN balance WHEN code = '1300' THEN -balance ELSE 0 END) AS DOUBLE), 2) AS net_gst
-FROM o_trial_balance""")
+FROM o_trial_balance GROUP BY company_id""")
 def q_account_type_summary(c: Ctx):
     """Asset/liability/equity/revenue/expense totals, profit, AR, AP and GST control balances."""
     return account_type_summary(c)
@@ -107,7 +107,7 @@ def account_type_summary(c: Ctx):
     def s(cond, val=b):
         return out_money(F.sum(F.when(cond, val).otherwise(F.lit(0))))
 
-    return tb.agg(
+    return tb.groupBy("company_id").agg(
         s(t == "asset").alias("assets"), s(t == "liability").alias("liabilities"), s(t == "equity").alias("equity"),
         s(t == "revenue").alias("revenue"), s(t == "expense").alias("expenses"),
         out_money(F.sum(F.when(t == "revenue", b).when(t == "expense", -b).otherwise(F.lit(0)))).alias("profit"),
@@ -186,31 +186,31 @@ def q_opening_journal(c: Ctx):
 
 
 @query("ledger_account_balance", W("o_lines") + """
-SELECT account_code, round(CAST(sum(CASE WHEN account_code = '2300' THEN credit - debit ELSE debit - credit END) AS DOUBLE), 2) AS net
+SELECT company_id, account_code, round(CAST(sum(CASE WHEN account_code = '2300' THEN credit - debit ELSE debit - credit END) AS DOUBLE), 2) AS net
 FROM o_lines WHERE entry_status = 'posted' AND account_code IN ('6220', '2300', '1300', '2100')
-GROUP BY account_code""")
+GROUP BY company_id, account_code""")
 def q_ledger_account_balance(c: Ctx):
     """Posted net movement for selected control accounts (wages, PAYG, GST)."""
     ln = L.posted_lines(c.lines).filter(F.col("account_code").isin("6220", "2300", "1300", "2100"))
     net = F.when(F.col("account_code") == "2300", F.col("credit") - F.col("debit")).otherwise(F.col("debit") - F.col("credit"))
-    return ln.groupBy("account_code").agg(out_money(F.sum(net)).alias("net"))
+    return ln.groupBy("company_id", "account_code").agg(out_money(F.sum(net)).alias("net"))
 
 
 @query("position_from_ledger", W("o_lines", "o_coa") + """
 , b AS (
-  SELECT CASE
+  SELECT l.company_id, CASE
       WHEN c.account_type = 'asset' AND (lower(c.name) LIKE '%cash%' OR lower(c.name) LIKE '%bank%') THEN 'Cash'
       WHEN c.account_type = 'asset' AND lower(c.name) LIKE '%receivable%' THEN 'Receivables'
       WHEN c.account_type = 'asset' AND lower(c.name) LIKE '%inventory%' THEN 'Inventory'
       WHEN c.account_type = 'asset' AND lower(c.subtype) LIKE '%current%' AND lower(c.subtype) NOT LIKE '%non-current%' THEN 'Other current assets'
       WHEN c.account_type = 'asset' THEN 'Non-current assets'
-      WHEN c.account_type = 'liability' AND lower(c.subtype) LIKE '%current%' THEN 'Current liabilities'
+      WHEN c.account_type = 'liability' AND lower(c.subtype) LIKE '%current%' AND lower(c.subtype) NOT LIKE '%non-current%' THEN 'Current liabilities'
       WHEN c.account_type = 'liability' THEN 'Non-current liabilities'
       ELSE 'Other' END AS label,
     CASE WHEN c.account_type IN ('asset', 'expense') THEN l.debit - l.credit ELSE l.credit - l.debit END AS v
   FROM o_lines l JOIN o_coa c ON c.code = l.account_code
   WHERE l.entry_status = 'posted' AND c.account_type IN ('asset', 'liability'))
-SELECT label, round(abs(CAST(sum(v) AS DOUBLE)), 2) AS value FROM b GROUP BY label HAVING abs(sum(v)) > 0.005""")
+SELECT company_id, label, round(abs(CAST(sum(v) AS DOUBLE)), 2) AS value FROM b GROUP BY company_id, label HAVING abs(sum(v)) > 0.005""")
 def q_position_from_ledger(c: Ctx):
     """Financial position buckets from posted ledger lines (3-way join collapsed to a map lookup)."""
     return position_from_ledger(c)
@@ -223,17 +223,17 @@ def ledger_bucket(account_type, name, subtype):
             .when((account_type == "asset") & n.contains("inventory"), "Inventory")
             .when((account_type == "asset") & s.contains("current") & ~s.contains("non-current"), "Other current assets")
             .when(account_type == "asset", "Non-current assets")
-            .when((account_type == "liability") & s.contains("current"), "Current liabilities")
+            .when((account_type == "liability") & s.contains("current") & ~s.contains("non-current"), "Current liabilities")
             .when(account_type == "liability", "Non-current liabilities")
             .otherwise("Other"))
 
 
 def position_from_ledger(c: Ctx):
-    agg = (L.posted_lines(c.lines).groupBy("account_code")
+    agg = (L.posted_lines(c.lines).groupBy("company_id", "account_code")
            .agg(F.sum(F.col("debit") - F.col("credit")).alias("dc")))
     coa = c.coa.filter(F.col("account_type").isin("asset", "liability"))
     j = agg.join(coa, agg.account_code == coa.code)
     v = F.when(F.col("account_type").isin("asset", "expense"), F.col("dc")).otherwise(-F.col("dc"))
-    return (j.groupBy(ledger_bucket(F.col("account_type"), F.col("name"), F.col("subtype")).alias("label"))
+    return (j.groupBy("company_id", ledger_bucket(F.col("account_type"), F.col("name"), F.col("subtype")).alias("label"))
             .agg(F.sum(v).alias("v")).filter(F.abs("v") > 0.005)
-            .select("label", F.round(F.abs(F.col("v").cast("double")), 2).alias("value")))
+            .select("company_id", "label", F.round(F.abs(F.col("v").cast("double")), 2).alias("value")))

@@ -96,7 +96,7 @@ def q_latest_wins(c: Ctx):
                arg_min(intake_category, upload_id) AS fcat FROM v_uploads GROUP BY 1, 2)
 SELECT u.company_id, u.upload_id, u.sha256, f.fid AS first_upload_id, CASE
     WHEN u.upload_id = f.fid THEN 'new'
-    WHEN f.fst NOT IN ('complete') AND f.fst <> 'processing' THEN 'reprocess'
+    WHEN f.fst NOT IN ('committed', 'stored_source', 'pending_mapping') AND f.fst <> 'processing' THEN 'reprocess'
     WHEN u.intake_category <> f.fcat THEN 'moved' ELSE 'duplicate' END AS decision
 FROM v_uploads u JOIN f ON f.company_id = u.company_id AND f.sha256 = u.sha256""")
 def q_file_dedupe_decision(c: Ctx):
@@ -142,18 +142,18 @@ def q_document_coverage(c: Ctx):
 
 @query("upload_totals", W("v_uploads") + """
 SELECT company_id, CAST(count(*) AS BIGINT) AS uploads,
-       CAST(count(CASE WHEN processing_status = 'complete' THEN 1 END) AS BIGINT) AS completed,
+       CAST(count(CASE WHEN processing_status IN ('committed', 'stored_source', 'pending_mapping') THEN 1 END) AS BIGINT) AS completed,
        CAST(count(CASE WHEN processing_status IN ('failed', 'stale') THEN 1 END) AS BIGINT) AS needs_retry,
-       CAST(count(CASE WHEN processing_status = 'awaiting_mapping' THEN 1 END) AS BIGINT) AS awaiting_mapping,
+       CAST(count(CASE WHEN processing_status = 'pending_mapping' THEN 1 END) AS BIGINT) AS awaiting_mapping,
        CAST(count(DISTINCT sha256) AS BIGINT) AS distinct_contents
 FROM v_uploads GROUP BY 1""")
 def q_upload_totals(c: Ctx):
     """Upload counts by lifecycle status and distinct contents."""
     s = F.col("processing_status")
     return c.uploads.groupBy("company_id").agg(
-        F.count("*").cast("bigint").alias("uploads"), F.count(F.when(s == "complete", 1)).cast("bigint").alias("completed"),
+        F.count("*").cast("bigint").alias("uploads"), F.count(F.when(s.isin(*R.COMPLETE_UPLOAD_STATUSES), 1)).cast("bigint").alias("completed"),
         F.count(F.when(s.isin("failed", "stale"), 1)).cast("bigint").alias("needs_retry"),
-        F.count(F.when(s == "awaiting_mapping", 1)).cast("bigint").alias("awaiting_mapping"),
+        F.count(F.when(s == "pending_mapping", 1)).cast("bigint").alias("awaiting_mapping"),
         F.countDistinct("sha256").cast("bigint").alias("distinct_contents"))
 
 
@@ -204,41 +204,65 @@ def q_token_estimate(c: Ctx):
     return c.t.documents.select("doc_id", token_estimate(F.col("text")).cast("bigint").alias("tokens"))
 
 
-@query("memory_compaction", """
-WITH n AS (SELECT conv_id, count(*) AS cnt FROM conversations GROUP BY 1),
-r AS (SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn DESC) AS rd FROM conversations c),
-last30 AS (SELECT r.* FROM r JOIN n USING (conv_id) WHERE n.cnt >= 4 AND rd <= 30),
-u AS (SELECT conv_id, substr(text, 1, 180) AS t, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k
-      FROM last30 WHERE role = 'user'),
-a AS (SELECT conv_id, substr(text, 1, 220) AS t, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k
-      FROM last30 WHERE role = 'assistant'),
-us AS (SELECT conv_id, string_agg(t, ' | ' ORDER BY turn) AS s FROM u WHERE k <= 8 GROUP BY 1),
-asx AS (SELECT conv_id, string_agg(t, ' | ' ORDER BY turn) AS s FROM a WHERE k <= 6 GROUP BY 1)
-SELECT n.conv_id, CAST(n.cnt AS BIGINT) AS message_count,
-       substr('Recent user objectives: ' || coalesce(us.s, '') || chr(10) || 'Recent assistant findings: ' || coalesce(asx.s, ''), 1, 5000) AS summary
-FROM n LEFT JOIN us USING (conv_id) LEFT JOIN asx USING (conv_id) WHERE n.cnt >= 4""")
-def q_memory_compaction(c: Ctx):
-    """Per conversation with >= 4 messages: summary of the last 8 user and 6 assistant messages among
-    the last 30 (the reference's compaction; threshold lowered to fit the short test conversations)."""
-    return memory_compaction(c.t.conversations, threshold=4)
+SESSION_CONVERSATIONS = 20  # a chat session of the adapter: that many consecutive conversations
+LATEST = 20  # messages since the session's stored summary
+
 
+def _compaction_sql(name: str, source: str, threshold: int = 40) -> str:
+    return f"""
+{name}_n AS (SELECT s, count(*) AS cnt FROM {source} GROUP BY 1),
+{name}_r AS (SELECT m.*, row_number() OVER (PARTITION BY s ORDER BY o DESC) AS rd FROM {source} m),
+{name}_l AS (SELECT r.* FROM {name}_r r JOIN {name}_n n USING (s) WHERE n.cnt >= {threshold} AND rd <= 30),
+{name}_u AS (SELECT s, substr(text, 1, 180) AS t, o, row_number() OVER (PARTITION BY s ORDER BY o DESC) AS k FROM {name}_l WHERE role = 'user'),
+{name}_a AS (SELECT s, substr(text, 1, 220) AS t, o, row_number() OVER (PARTITION BY s ORDER BY o DESC) AS k FROM {name}_l WHERE role = 'assistant'),
+{name}_us AS (SELECT s, string_agg(t, ' | ' ORDER BY o) AS x FROM {name}_u WHERE k <= 8 GROUP BY 1),
+{name}_as AS (SELECT s, string_agg(t, ' | ' ORDER BY o) AS x FROM {name}_a WHERE k <= 6 GROUP BY 1),
+{name} AS (
+  SELECT n.s, n.cnt, substr('Recent user objectives: ' || coalesce(u.x, '') || chr(10) || 'Recent assistant findings: ' || coalesce(a.x, ''), 1, 5000) AS summary
+  FROM {name}_n n LEFT JOIN {name}_us u USING (s) LEFT JOIN {name}_as a USING (s) WHERE n.cnt >= {threshold})"""
 
-def memory_compaction(conv, threshold: int = 40, last: int = 30, users: int = 8, assistants: int = 6, max_chars: int = 5000):
-    """Windows keep only the last ``last`` messages per conversation, so each collected list is
-    bounded (<= 30 entries) whatever the conversation length."""
-    n = conv.groupBy("conv_id").agg(F.count("*").alias("cnt")).filter(F.col("cnt") >= threshold)
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    recent = conv.join(n.select("conv_id"), "conv_id", "left_semi").withColumn("rd", F.row_number().over(w)).filter(F.col("rd") <= last)
+
+@query("memory_compaction", f"""
+WITH m AS (SELECT conv_id // {SESSION_CONVERSATIONS} AS s, conv_id * 1000000 + turn AS o, role, text FROM conversations),
+old AS (SELECT s, o, role, text FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o DESC) AS back FROM m) WHERE back > {LATEST}),
+{_compaction_sql('p', 'old')}, {_compaction_sql('c', 'm')}
+SELECT c.s AS session_id, CAST(c.cnt AS BIGINT) AS message_count,
+       CASE WHEN p.summary IS NULL THEN c.summary ELSE right(right(p.summary, 2500) || chr(10) || c.summary, 5000) END AS summary
+FROM c LEFT JOIN p USING (s)""")
+def q_memory_compaction(c: Ctx):
+    """Sessions with 40 or more messages: the last 8 user and 6 assistant messages among the last 30,
+    after the end of the summary stored before the latest messages."""
+    m = c.t.conversations.select(F.expr(f"conv_id div {SESSION_CONVERSATIONS}").alias("session_id"),
+                                 (F.col("conv_id") * 1000000 + F.col("turn")).alias("o"), "role", "text")
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("o").desc()))
+    stored = memory_compaction(m.withColumn("back", back).filter(F.col("back") > LATEST).drop("back"))
+    return memory_compaction(m, stored)
+
+
+def memory_compaction(messages, previous=None, threshold: int = 40, last: int = 30, users: int = 8, assistants: int = 6,
+                      user_chars: int = 180, assistant_chars: int = 220, kept_chars: int = 2500, max_chars: int = 5000):
+    """Summary per session_id of messages (session_id, o, role, text). ``previous`` (session_id, summary)
+    is carried: its last ``kept_chars`` characters come first, and the whole keeps its last ``max_chars``.
+    The windows keep at most ``last`` messages of a session, so each collected list is bounded."""
+    n = messages.groupBy("session_id").agg(F.count("*").alias("cnt")).filter(F.col("cnt") >= threshold)
+    w = Window.partitionBy("session_id").orderBy(F.col("o").desc())
+    recent = (messages.join(n.select("session_id"), "session_id", "left_semi").withColumn("rd", F.row_number().over(w))
+              .filter(F.col("rd") <= last))
 
     def side(role, width, keep):
         r = recent.filter(F.col("role") == role).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= keep)
-        return r.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, width).alias("t"))))
-                                        .alias("xs")).select("conv_id", F.array_join(F.col("xs.t"), " | ").alias(role))
+        return r.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("o", F.substring("text", 1, width).alias("t"))))
+                                           .alias("xs")).select("session_id", F.array_join(F.col("xs.t"), " | ").alias(role))
 
-    j = n.join(side("user", 180, users), "conv_id", "left").join(side("assistant", 220, assistants), "conv_id", "left")
-    summary = F.concat(F.lit("Recent user objectives: "), F.coalesce("user", F.lit("")), F.lit("\n"),
-                       F.lit("Recent assistant findings: "), F.coalesce("assistant", F.lit("")))
-    return j.select("conv_id", F.col("cnt").cast("bigint").alias("message_count"), F.substring(summary, 1, max_chars).alias("summary"))
+    j = (n.join(side("user", user_chars, users), "session_id", "left")
+         .join(side("assistant", assistant_chars, assistants), "session_id", "left"))
+    summary = F.substring(F.concat(F.lit("Recent user objectives: "), F.coalesce("user", F.lit("")), F.lit("\n"),
+                                   F.lit("Recent assistant findings: "), F.coalesce("assistant", F.lit(""))), 1, max_chars)
+    if previous is not None:
+        j = j.join(previous.select("session_id", F.col("summary").alias("stored")), "session_id", "left")
+        summary = F.when(F.col("stored").isNull(), summary).otherwise(
+            F.right(F.concat(F.right("stored", F.lit(kept_chars)), F.lit("\n"), summary), F.lit(max_chars)))
+    return j.select("session_id", F.col("cnt").cast("bigint").alias("message_count"), summary.alias("summary"))
 
 
 @query("text_invoice_extract", W("v_sales_invoices") + """
@@ -359,7 +383,7 @@ x AS (
   FROM routed WHERE document_type IS NOT NULL),
 y AS (
   SELECT *, NOT list_contains(coalesce(CASE document_type {compat} END, [document_type]), stored_type) AS tm,
-         intake_category <> ec AS cm, processing_status NOT IN ('complete') AS fs FROM x)
+         intake_category <> ec AS cm, processing_status NOT IN ('committed', 'stored_source', 'pending_mapping') AS fs FROM x)
 SELECT upload_id, filename, stored_type AS current_document_type, document_type AS expected_document_type,
        intake_category AS current_intake_category, ec AS expected_intake_category, processing_status,
        CASE WHEN cm AND NOT tm AND NOT fs THEN 'move' ELSE 'reprocess' END AS action,
@@ -387,7 +411,7 @@ def source_discovery_counts(c: Ctx) -> "DataFrame":
 
 @query("source_discovery_counts", W("v_uploads") + """
 SELECT company_id, intake_category AS root, CAST(count(*) AS BIGINT) AS files,
-       CAST(count(CASE WHEN processing_status <> 'complete' THEN 1 END) AS BIGINT) AS pending
+       CAST(count(CASE WHEN processing_status NOT IN ('committed', 'stored_source', 'pending_mapping') THEN 1 END) AS BIGINT) AS pending
 FROM v_uploads
 WHERE regexp_matches(lower(regexp_extract(filename, '([^/]*)$', 1)), '\\.(csv|xlsx|xlsm|pdf)$')
   AND NOT regexp_matches(regexp_extract(filename, '([^/]*)$', 1), '^(\\.|~\\$)')
@@ -448,7 +472,7 @@ def upload_lifecycle(c: Ctx) -> "DataFrame":
     initial = F.col("fd").isNull() | (F.col("o") <= F.col("fd"))
     life = (F.when(F.col("decision") == "moved", "category_corrected")
             .when(F.col("decision") == "duplicate", "duplicate_ignored")
-            .when(F.col("processing_status") == "awaiting_mapping", "awaiting_mapping")
+            .when(F.col("processing_status") == "pending_mapping", "awaiting_mapping")
             .when(initial, "initial_setup").otherwise("incremental_update"))
     return j.select("upload_id", "decision", life.alias("lifecycle"))
 
@@ -457,14 +481,14 @@ def upload_lifecycle(c: Ctx) -> "DataFrame":
 , f AS (SELECT company_id, sha256, arg_min(upload_id, upload_id) AS fid, arg_min(processing_status, upload_id) AS fst,
                arg_min(intake_category, upload_id) AS fcat FROM v_uploads GROUP BY 1, 2),
 d AS (SELECT u.*, CASE WHEN u.upload_id = f.fid THEN 'new'
-                       WHEN f.fst NOT IN ('complete') AND f.fst <> 'processing' THEN 'reprocess'
+                       WHEN f.fst NOT IN ('committed', 'stored_source', 'pending_mapping') AND f.fst <> 'processing' THEN 'reprocess'
                        WHEN u.intake_category <> f.fcat THEN 'moved' ELSE 'duplicate' END AS decision,
              CAST(regexp_replace(u.upload_id, '[^0-9]', '', 'g') AS BIGINT) AS n
       FROM v_uploads u JOIN f ON f.company_id = u.company_id AND f.sha256 = u.sha256),
-fd AS (SELECT company_id, min((created_at, n)) AS fd FROM d WHERE processing_status = 'complete' GROUP BY 1)
+fd AS (SELECT company_id, min((created_at, n)) AS fd FROM d WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping') GROUP BY 1)
 SELECT upload_id, decision, CASE WHEN decision = 'moved' THEN 'category_corrected'
          WHEN decision = 'duplicate' THEN 'duplicate_ignored'
-         WHEN processing_status = 'awaiting_mapping' THEN 'awaiting_mapping'
+         WHEN processing_status = 'pending_mapping' THEN 'awaiting_mapping'
          WHEN fd.fd IS NULL OR (created_at, n) <= fd.fd THEN 'initial_setup' ELSE 'incremental_update' END AS lifecycle
 FROM d LEFT JOIN fd USING (company_id)""")
 def q_upload_lifecycle(c: Ctx):

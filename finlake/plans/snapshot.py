@@ -134,5 +134,5 @@ def forecast_summary(c: Ctx, as_of: str = P.AS_OF, days: int = P.FORECAST_DAYS)
 def position_series(c: Ctx) -> DataFrame:
     b = FL.position_bucket(c.assets_liabilities)
     order = F.create_map(*[x for i, lab in enumerate(FL.POSITION_ORDER) for x in (F.lit(lab), F.lit(i + 1))])
-    return (b.groupBy("label").agg(F.sum("amount").alias("v")).filter(F.abs("v") > 0.005)
-            .select("label", F.round(F.abs(_d("v")), 2).alias("value"), order[F.col("label")].alias("sort_order")))
+    return (b.groupBy("company_id", "label").agg(F.sum("amount").alias("v")).filter(F.abs("v") > 0.005)
+            .select("company_id", "label", F.round(F.abs(_d("v")), 2).alias("value"), order[F.col("label")].alias("sort_order")))

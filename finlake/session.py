@@ -43,7 +43,8 @@ def _share_package_path(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when it is unset (local tests) a private scratch folder is created and registered.
+    Only when it is unset and the master is local (tests) a private scratch folder is created and
+    registered; on a cluster executors would not see each other's files there, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="finlake-ckpt-", dir=os.environ.get("FINLAKE_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     try:

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions.expr import cents_of, idiv, money_from_cents
-from ..operators.partitioning import spread_for_cpu
 from .tables import Tables
 
 
@@ -65,7 +64,7 @@ def sales_invoices(t: Tables) -> DataFrame:
 
 
 def supplier_invoices(t: Tables) -> DataFrame:
-    li = spread_for_cpu(lineitem_net(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+    li = (lineitem_net(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                                "l_linestatus", "l_shipdate", "price_cents", "net_cents"))
     s, p = t.supplier, t.part
     d = F.to_date("l_shipdate")

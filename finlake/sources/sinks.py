@@ -38,17 +38,13 @@ def report_rows_export(df: DataFrame, path: str) -> None:
 
 def kpi_snapshot_append(spark: SparkSession, history_path: str, snapshot: DataFrame, snapshot_time: str,
                         data_version: int, keep: int = 5000) -> DataFrame:
-    """Append one KPI row per company (schema-relaxed union) and keep the newest ``keep`` per company.
-    The trimmed history is written to a new version directory, so readers never see a partial file."""
+    """Append one KPI row per company as the partition of its ``data_version`` and return the history:
+    all versions, with the columns of any of them, the newest ``keep`` per company. Writing a version
+    again replaces its own partition only."""
     new = snapshot.withColumn("snapshot_time", F.lit(snapshot_time).cast("timestamp")).withColumn(
         "data_version", F.lit(data_version))
-    try:
-        old = spark.read.parquet(history_path + "/current")
-        allrows = old.unionByName(new, allowMissingColumns=True)
-    except Exception:  # noqa: BLE001 - first snapshot
-        allrows = new
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_version")
+     .parquet(history_path))
+    history = spark.read.option("mergeSchema", "true").parquet(history_path)
     w = Window.partitionBy("company_id").orderBy(F.col("snapshot_time").desc(), F.col("data_version").desc())
-    kept = allrows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")
-    target = f"{history_path}/v{data_version}"
-    kept.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    return history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")

@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..session import checkpoint_dir
 
@@ -61,7 +62,9 @@ def _register_batch(spark: SparkSession, batch: DataFrame, registry: str, batch_
     try:
         known = spark.read.parquet(registry).filter(F.col("batch_id") != batch_id) \
             .filter(F.col("decision") == "new").select("sha256", F.col(id_col).alias("known_id"))
-    except Exception:  # noqa: BLE001 - first batch: no registry yet
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":  # only the first batch has no registry yet
+            raise
         known = None
     b = batch.join(first_in_batch, "sha256")
     if known is not None:
