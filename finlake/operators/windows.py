@@ -41,21 +41,15 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.sum(value).over(w))
-
-
-def latest_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key: the newest by ``order`` (INSERT OR REPLACE semantics) via max_by on a
-    struct, so each key is reduced by partial aggregation instead of a full sort."""
-    cols = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*order)
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), ordering).alias("_r"))
-    return agg.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
-
-
-def section_forward_fill(cells: DataFrame, keys: Sequence[str], order: str, section_col: str, out: str = "section") -> DataFrame:
-    """Carry the last non-null section header down to the detail rows."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cells.withColumn(out, F.last(section_col, ignorenulls=True).over(w))
+def ordinal(df: DataFrame, by: Sequence[str], key: str, name: str, prefix: int = 8) -> DataFrame:
+    """``df`` with the place (from 1) of each row in ``key`` order within ``by``, without one task that
+    holds a whole group: rows are numbered within buckets of keys that share their first ``prefix``
+    characters, and the sizes of the buckets before are added. Equal prefixes keep the order of the
+    keys, so the numbers are those of one window over the group."""
+    b = df.withColumn("_b", F.substring(F.col(key), 1, prefix))
+    sizes = b.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*by, "_b").orderBy(key)
+    return (b.join(sizes, [*by, "_b"]).withColumn(name, F.col("_before") + F.row_number().over(within))
+            .drop("_b", "_before"))

@@ -67,9 +67,8 @@ def employee_profile_fill(pay: DataFrame, profiles: DataFrame) -> DataFrame:
     missing = pay.select("company_id", "employee").distinct().join(profiles.select("company_id", "employee"),
                                                                    ["company_id", "employee"], "left_anti")
     base = profiles.groupBy("company_id").agg(F.count("*").alias("n_existing"))
-    w = Window.partitionBy("company_id").orderBy("employee")
-    return (missing.join(base, "company_id", "left")
-            .withColumn("seq", F.coalesce("n_existing", F.lit(0)) + F.row_number().over(w))
+    return (WN.ordinal(missing, ["company_id"], "employee", "_i").join(base, "company_id", "left")
+            .withColumn("seq", F.coalesce("n_existing", F.lit(0)) + F.col("_i"))
             .select("company_id", "employee", F.concat(F.lit("EMP-"), F.lpad(F.col("seq").cast("string"), 3, "0")).alias("employee_code"),
                     F.lit("Unassigned").alias("department"), F.lit("payroll_only").alias("evidence_mode")))
 
@@ -85,10 +84,9 @@ def filename_snapshot_date(source_file: F.Column) -> F.Column:
 def reorder_defaults(inventory: DataFrame) -> DataFrame:
     """Default reorder settings by position in SKU order within the company: reorder point =
     qty x (1.12 every 7th item, else 0.28), target = max(1.35 qty, 1.8 reorder), lead 14/21/30."""
-    w = Window.partitionBy("company_id").orderBy("sku")
-    idx = F.row_number().over(w) - 1
     q = F.col("quantity")
-    inv = inventory.filter(F.coalesce(F.col("sku"), F.lit("")) != "").withColumn("_i", idx)
+    inv = WN.ordinal(inventory.filter(F.coalesce(F.col("sku"), F.lit("")) != ""), ["company_id"], "sku", "_p")
+    inv = inv.withColumn("_i", F.col("_p") - 1)
     rp = F.round(q * F.when(F.pmod("_i", F.lit(7)) == 0, 1.12).otherwise(0.28), 2)
     return inv.select(
         "company_id", "sku", rp.alias("reorder_point"),

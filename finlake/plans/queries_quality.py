@@ -14,7 +14,9 @@ from ..operators.filters import marketing_invoices
 from ..oracle.views import with_views as W
 from ..registry import query
 from . import ledger as L
+from .queries_catalog import COVERAGE_SQL, set_coverage
 from .queries_domains import CHANNEL_SQL
+from .queries_intake import _repair_sql, classification_repair_plan
 from .queries_matching import VALIDATIONS_SQL, validations_run
 
 SEVERITY_WEIGHT = {"critical": 28, "high": 16, "medium": 8, "low": 3, "info": 0}
@@ -36,7 +38,10 @@ def quality_checks(c: Ctx) -> DataFrame:
     mk = marketing_invoices(cl).groupBy("company_id").agg(F.sum(F.abs("amount")).cast("double").alias("inv_spend"))
     val = validations_run(c).groupBy("company_id").agg(
         F.count("*").alias("open_validations"), F.count(F.when(F.col("severity") == "critical", 1)).alias("critical"))
-    base = (review.join(drafts, "company_id", "left").join(snap, "company_id", "left")
+    missing = set_coverage(c).groupBy("company_id").agg(F.count(F.when(F.col("state") == "missing", 1)).alias("core_missing"))
+    repairs = (classification_repair_plan(c).select("upload_id").join(c.uploads.select("company_id", "upload_id"), "upload_id")
+               .groupBy("company_id").agg(F.count("*").alias("repairs")))
+    base = (review.join(missing, "company_id", "left").join(repairs, "company_id", "left").join(drafts, "company_id", "left").join(snap, "company_id", "left")
             .join(_tb_code(c, "1000", "ledger_cash"), "company_id", "left")
             .join(_tb_code(c, "1100", "ledger_ar"), "company_id", "left")
             .join(_tb_code(c, "6150", "ledger_mk"), "company_id", "left")
@@ -50,6 +55,12 @@ def quality_checks(c: Ctx) -> DataFrame:
     actual = (F.col("ledger_mk") > 0.01) | (F.col("inv_spend") > 0.01)
     nv = F.col("open_validations")
     checks = F.array(
+        F.struct(F.lit("core-document-coverage").alias("id"), F.lit("Core document coverage").alias("label"),
+                 F.when(F.col("core_missing") == 0, "pass").otherwise("fail").alias("status"),
+                 F.when(F.col("core_missing") > 0, "critical").otherwise("info").alias("severity")),
+        F.struct(F.lit("classification-integrity").alias("id"), F.lit("Classification integrity").alias("label"),
+                 F.when(F.col("repairs") == 0, "pass").otherwise("fail").alias("status"),
+                 F.when(F.col("repairs") > 0, "high").otherwise("info").alias("severity")),
         F.struct(F.lit("account-review-queue").alias("id"), F.lit("Account review queue").alias("label"),
                  F.when((ot == 0) & (dj == 0), "pass").otherwise("warning").alias("status"),
                  F.when(ot >= 5, "high").when((ot > 0) | (dj > 0), "medium").otherwise("info").alias("severity")),
@@ -96,15 +107,24 @@ ars AS (SELECT company_id, CAST(sum(CASE WHEN category = 'asset' AND contains(lo
         FROM v_assets_liabilities GROUP BY 1),
 mks AS (SELECT company_id, CAST(sum(abs(amount)) AS DOUBLE) AS inv_spend FROM mkq GROUP BY 1),
 vv AS (SELECT company_id, count(*) AS nv, count(CASE WHEN severity = 'critical' THEN 1 END) AS crit FROM vi GROUP BY 1),
-b AS (SELECT rv.company_id, open_tasks, drafts, coalesce(s.cash, 0) AS cash, coalesce(ledger_cash, 0) AS ledger_cash,
+cmv AS (SELECT company_id, count(CASE WHEN state = 'missing' THEN 1 END) AS core_missing FROM (""" + COVERAGE_SQL + """
+        SELECT * FROM cov) GROUP BY 1),
+rpv AS (SELECT u.company_id, count(*) AS repairs FROM (""" + _repair_sql() + """) r JOIN v_uploads u USING (upload_id) GROUP BY 1),
+b AS (SELECT rv.company_id, open_tasks, drafts, coalesce(core_missing, 0) AS core_missing, coalesce(repairs, 0) AS repairs, coalesce(s.cash, 0) AS cash, coalesce(ledger_cash, 0) AS ledger_cash,
              coalesce(ledger_ar, 0) AS ledger_ar, coalesce(ledger_mk, 0) AS ledger_mk, coalesce(stmt_ar, 0) AS stmt_ar,
              coalesce(inv_spend, 0) AS inv_spend, coalesce(nv, 0) AS nv, coalesce(crit, 0) AS crit,
              round(coalesce(ledger_cash, 0) - coalesce(s.cash, 0), 2) AS cash_difference,
              round(coalesce(ledger_ar, 0) - coalesce(stmt_ar, 0), 2) AS receivables_difference
       FROM rv LEFT JOIN o_snapshot s USING (company_id) CROSS JOIN tbv LEFT JOIN ars USING (company_id)
-      LEFT JOIN mks USING (company_id) LEFT JOIN vv USING (company_id)),
+      LEFT JOIN mks USING (company_id) LEFT JOIN vv USING (company_id) LEFT JOIN cmv USING (company_id) LEFT JOIN rpv USING (company_id)),
 qc AS (
-  SELECT company_id, 'account-review-queue' AS id, 'Account review queue' AS label,
+  SELECT company_id, 'core-document-coverage' AS id, 'Core document coverage' AS label,
+         CASE WHEN core_missing = 0 THEN 'pass' ELSE 'fail' END AS status,
+         CASE WHEN core_missing > 0 THEN 'critical' ELSE 'info' END AS severity, cash_difference, receivables_difference FROM b
+  UNION ALL SELECT company_id, 'classification-integrity', 'Classification integrity',
+         CASE WHEN repairs = 0 THEN 'pass' ELSE 'fail' END,
+         CASE WHEN repairs > 0 THEN 'high' ELSE 'info' END, cash_difference, receivables_difference FROM b
+  UNION ALL SELECT company_id, 'account-review-queue' AS id, 'Account review queue' AS label,
          CASE WHEN open_tasks = 0 AND drafts = 0 THEN 'pass' ELSE 'warning' END AS status,
          CASE WHEN open_tasks >= 5 THEN 'high' WHEN open_tasks > 0 OR drafts > 0 THEN 'medium' ELSE 'info' END AS severity,
          cash_difference, receivables_difference FROM b
@@ -124,12 +144,12 @@ qc AS (
   UNION ALL SELECT company_id, 'business-validation-queue', 'Business validation queue', CASE WHEN nv = 0 THEN 'pass' ELSE 'warning' END,
          CASE WHEN crit > 0 THEN 'high' WHEN nv > 0 THEN 'medium' ELSE 'info' END, cash_difference, receivables_difference FROM b)"""
 
-QUALITY_VIEWS = W("o_snapshot", "v_invoices", "v_transactions", "o_classified", "o_trial_balance", "v_assets_liabilities")
+QUALITY_VIEWS = W("v_uploads", "o_snapshot", "v_invoices", "v_transactions", "o_classified", "o_trial_balance", "v_assets_liabilities")
 
 
 @query("data_quality_checks", QUALITY_VIEWS + QUALITY_SQL[QUALITY_SQL.index("\n, t AS"):] + " SELECT * FROM qc")
 def q_data_quality_checks(c: Ctx):
-    """Data-trust checks: review queue, cash and receivables reconciliation (tolerances max(1, 0.5 %)
+    """Data-trust checks: core documents, classification, review queue, cash and receivables reconciliation (tolerances max(1, 0.5 %)
     and max(1, 1 %)), tax readiness, marketing evidence mode and the validation queue."""
     return quality_checks(c)
 
@@ -151,42 +171,68 @@ def q_data_quality_score(c: Ctx):
     return quality_score(quality_checks(c))
 
 
-@query("dashboard_integrity", W("o_trial_balance", "o_lines") + """
-, rec AS (SELECT account_code, round(CAST(sum(debit - credit) AS DOUBLE), 2) AS dc FROM o_lines WHERE entry_status = 'posted' GROUP BY 1),
-disp AS (SELECT code, account_type, round(CAST(balance AS DOUBLE), 2) AS balance FROM o_trial_balance),
+INTEGRITY_TOLERANCE = 0.02
+
+
+@query("dashboard_integrity", W("o_snapshot", "o_trial_balance", "o_lines", "o_coa") + f"""
+, led AS (
+  SELECT k.company_id, c.name, c.account_type AS t, lower(c.subtype) AS s, lower(c.name) AS n,
+         CAST(coalesce(sum(CASE WHEN c.account_type IN ('asset', 'expense') THEN l.debit - l.credit ELSE l.credit - l.debit END), 0) AS DOUBLE) AS b
+  FROM o_coa c CROSS JOIN (SELECT DISTINCT company_id FROM o_lines) k
+  LEFT JOIN o_lines l ON l.company_id = k.company_id AND l.account_code = c.code AND l.entry_status = 'posted'
+  WHERE c.active GROUP BY k.company_id, c.code, c.name, c.account_type, c.subtype),
+v AS (
+  SELECT company_id,
+    sum(CASE WHEN t = 'asset' AND (contains(n, 'cash') OR contains(n, 'bank')) THEN b ELSE 0 END) AS cash,
+    sum(CASE WHEN t = 'asset' AND contains(s, 'current') AND NOT contains(s, 'non-current') THEN b ELSE 0 END) AS ca,
+    sum(CASE WHEN t = 'liability' AND contains(s, 'current') AND NOT contains(s, 'non-current') THEN b ELSE 0 END) AS cl,
+    sum(abs(b)) AS accounts, abs(sum(CASE WHEN t = 'asset' THEN b ELSE 0 END)) + abs(sum(CASE WHEN t = 'liability' THEN b ELSE 0 END)) AS position
+  FROM led GROUP BY 1),
+shown AS (SELECT company_id, sum(abs(round(CAST(balance AS DOUBLE), 2))) AS accounts FROM o_trial_balance GROUP BY 1),
 m AS (
-  SELECT 'total_debits' AS metric, (SELECT round(sum(debits), 2) FROM o_trial_balance) AS displayed_value,
-         (SELECT round(CAST(sum(debit) AS DOUBLE), 2) FROM o_lines WHERE entry_status = 'posted') AS database_value
-  UNION ALL SELECT 'total_credits', (SELECT round(sum(credits), 2) FROM o_trial_balance),
-         (SELECT round(CAST(sum(credit) AS DOUBLE), 2) FROM o_lines WHERE entry_status = 'posted')
-  UNION ALL SELECT 'accounts_receivable', (SELECT balance FROM disp WHERE code = '1100'), (SELECT coalesce(dc, 0) FROM rec WHERE account_code = '1100')
-  UNION ALL SELECT 'accounts_payable', (SELECT balance FROM disp WHERE code = '2000'), (SELECT coalesce(-dc, 0) FROM rec WHERE account_code = '2000')
-  UNION ALL SELECT 'gst_receivable', (SELECT balance FROM disp WHERE code = '1300'), (SELECT coalesce(dc, 0) FROM rec WHERE account_code = '1300')
-  UNION ALL SELECT 'gst_payable', (SELECT balance FROM disp WHERE code = '2100'), (SELECT coalesce(-dc, 0) FROM rec WHERE account_code = '2100'))
-SELECT metric, displayed_value, database_value, round(displayed_value - database_value, 2) AS difference,
-       CASE WHEN abs(displayed_value - database_value) <= 0.02 THEN 'match' ELSE 'mismatch' END AS status FROM m""")
+  SELECT company_id, 'Cash' AS metric, o.cash AS d, v.cash AS x FROM v JOIN o_snapshot o USING (company_id)
+  UNION ALL SELECT company_id, 'Current assets', o.current_assets, v.ca FROM v JOIN o_snapshot o USING (company_id)
+  UNION ALL SELECT company_id, 'Current liabilities', o.current_liabilities, v.cl FROM v JOIN o_snapshot o USING (company_id)
+  UNION ALL SELECT company_id, 'Current ratio', o.current_ratio, CASE WHEN v.cl <> 0 THEN v.ca / v.cl END FROM v JOIN o_snapshot o USING (company_id)
+  UNION ALL SELECT company_id, 'Account register', shown.accounts, v.accounts FROM v JOIN shown USING (company_id)
+  UNION ALL SELECT company_id, 'Financial-position chart', abs(o.total_assets) + abs(o.total_liabilities), v.position
+            FROM v JOIN o_snapshot o USING (company_id))
+SELECT company_id, metric, round(coalesce(d, 0), 2) AS displayed_value, round(coalesce(x, 0), 2) AS database_value,
+       round(coalesce(d, 0) - coalesce(x, 0), 2) + 0.0 AS difference,
+       CASE WHEN abs(coalesce(d, 0) - coalesce(x, 0)) <= {INTEGRITY_TOLERANCE} THEN 'reconciled' ELSE 'mismatch' END AS status FROM m""")
 def q_dashboard_integrity(c: Ctx):
-    """Displayed trial-balance figures vs an independent recomputation from posted lines (tolerance 0.02)."""
-    tb = c.trial_balance
-    posted = L.posted_lines(c.lines)
-    rec = posted.groupBy("company_id", "account_code").agg(F.sum(F.col("debit") - F.col("credit")).cast("double").alias("dc"))
-    tot = posted.groupBy("company_id").agg(F.round(F.sum("debit").cast("double"), 2).alias("d"),
-                                          F.round(F.sum("credit").cast("double"), 2).alias("cr"))
-    disp = tb.groupBy("company_id").agg(
-        F.round(F.sum("debits"), 2).alias("dd"), F.round(F.sum("credits"), 2).alias("dcr"),
-        *[F.max(F.when(F.col("code") == k, F.col("balance"))).alias(f"b{k}") for k in ("1100", "2000", "1300", "2100")])
-    r = rec.groupBy("company_id").agg(*[F.round(F.max(F.when(F.col("account_code") == k, F.col("dc") * s)), 2).alias(f"r{k}")
-                                        for k, s in (("1100", 1), ("2000", -1), ("1300", 1), ("2100", -1))])
-    j = disp.join(tot, "company_id").join(r, "company_id")
-
-    def m(name, shown, recomputed):
-        return F.struct(F.lit(name).alias("metric"), F.col(shown).alias("displayed_value"), F.col(recomputed).alias("database_value"))
-
-    rows = j.select(F.explode(F.array(
-        m("total_debits", "dd", "d"), m("total_credits", "dcr", "cr"), m("accounts_receivable", "b1100", "r1100"),
-        m("accounts_payable", "b2000", "r2000"), m("gst_receivable", "b1300", "r1300"), m("gst_payable", "b2100", "r2100"),
-    )).alias("m")).select("m.*")
-    diff = F.round(F.col("displayed_value") - F.col("database_value"), 2)
-    return rows.select("metric", "displayed_value", "database_value", diff.alias("difference"),
-                       F.when(F.abs(F.col("displayed_value") - F.col("database_value")) <= 0.02, "match")
-                       .otherwise("mismatch").alias("status"))
+    """What the dashboard shows (snapshot, account register, position chart) against balances recomputed
+    from the posted journal lines."""
+    return dashboard_integrity(c.snapshot, c.trial_balance, c.coa, c.lines)
+
+
+def dashboard_integrity(snapshot: DataFrame, register: DataFrame, coa: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per company and metric: displayed value, value from the journal, difference, status."""
+    led = L.trial_balance(coa, lines).select("company_id", F.col("account_type").alias("t"), F.lower("subtype").alias("s"),
+                                             F.lower("name").alias("n"), F.col("balance").cast("double").alias("b"))
+    current = F.col("s").contains("current") & ~F.col("s").contains("non-current")
+
+    def total(cond):
+        return F.sum(F.when(cond, F.col("b")).otherwise(F.lit(0.0)))
+
+    asset, liability = F.col("t") == "asset", F.col("t") == "liability"
+    v = led.groupBy("company_id").agg(
+        total(asset & (F.col("n").contains("cash") | F.col("n").contains("bank"))).alias("x_cash"),
+        total(asset & current).alias("x_ca"), total(liability & current).alias("x_cl"),
+        F.sum(F.abs("b")).alias("x_accounts"), (F.abs(total(asset)) + F.abs(total(liability))).alias("x_position"))
+    shown = register.groupBy("company_id").agg(F.sum(F.abs(F.col("balance").cast("double"))).alias("accounts"))
+    j = v.join(snapshot, "company_id").join(shown, "company_id")
+
+    def row(name, displayed, database):
+        return F.struct(F.lit(name).alias("metric"), displayed.cast("double").alias("d"), database.alias("x"))
+
+    rows = j.select("company_id", F.explode(F.array(
+        row("Cash", F.col("cash"), F.col("x_cash")), row("Current assets", F.col("current_assets"), F.col("x_ca")),
+        row("Current liabilities", F.col("current_liabilities"), F.col("x_cl")),
+        row("Current ratio", F.col("current_ratio"), F.try_divide("x_ca", "x_cl")),
+        row("Account register", F.col("accounts"), F.col("x_accounts")),
+        row("Financial-position chart", F.abs("total_assets") + F.abs("total_liabilities"), F.col("x_position")),
+    )).alias("m")).select("company_id", "m.*").na.fill(0.0, ["d", "x"])
+    return rows.select("company_id", "metric", F.round("d", 2).alias("displayed_value"), F.round("x", 2).alias("database_value"),
+                       (F.round(F.col("d") - F.col("x"), 2) + F.lit(0.0)).alias("difference"),
+                       F.when(F.abs(F.col("d") - F.col("x")) <= INTEGRITY_TOLERANCE, "reconciled").otherwise("mismatch").alias("status"))
