@@ -252,9 +252,8 @@ def trial_balance(coa: DataFrame, lines: DataFrame, entries: DataFrame | None =
     """
     agg = (posted_lines(lines, entries).groupBy("company_id", "account_code")
            .agg(F.sum("debit").alias("debits"), F.sum("credit").alias("credits"), F.count("id").alias("posted_lines")))
-    every = F.lit(1)  # each company has the whole chart, a fixed list of accounts
-    a = coa.filter(F.col("active")).withColumn("every", every)
-    a = lines.select("company_id").distinct().withColumn("every", every).join(a, "every").drop("every")
+    a = coa.filter(F.col("active"))  # each company has the whole chart: a reference table of accounts
+    a = lines.select("company_id").distinct().join(F.broadcast(a))
     j = a.join(agg.withColumnRenamed("account_code", "code"), ["company_id", "code"], "left")
     debits = F.coalesce(F.col("debits"), F.lit(0))
     credits = F.coalesce(F.col("credits"), F.lit(0))
