@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_small, cut, fresh, map_texts, mixed, pieces, record, utf8, word_bounds, word_hashes
+from .common import BROADCAST_BYTES, LOWER, broadcast_if_small, cut, fresh, map_texts, mixed, pieces, record, text_of, utf8, word_bounds, word_hashes
 
 #: Jaccard similarity of the sets of words from which two lines match, and the fewest distinct words of a
 #: line that can be removed or match.
@@ -28,35 +28,50 @@ LEAST_WORDS = 4
 TABLE_BITS = 20
 BLOCKS = 64
 #: Lines that one task compares under one word; commoner first words are dealt out in parts.
-CELL_ROWS = 16_384
-#: Candidates of a line that are verified in the first round; lines that none of them settles are
-#: looked at again with many more.
-FIRST_CANDIDATES = 3
-MORE = 16
+CELL_ROWS = 8192
+#: In the first round a line's closest candidate is verified, of at most LOOK that it meets under one
+#: word; lines that it does not settle are looked at again with MORE times as many, and so on.
+LOOK = 64
+MORE = 32
 #: Lines looked at to find common first words.
-SAMPLE_LINES = 400_000
+SAMPLE_LINES = 60_000
+#: Entries that a task packs together, and that it unpacks at once, about.
+PACKED = 250_000
+
+#: Bytes of text handled at once.
+PIECE = 2 << 20
 
 _NO_ID = (1 << 63) - 1
-_ENTRY = np.dtype([("doc", "<i8"), ("h", "<u4"), ("line", "<u4"), ("hi", "<u8"), ("lo", "<u8"), ("size", "<u4"), ("pos", "<u4"), ("side", "u1"), ("kind", "u1")])
-_PREFIX, _EXACT, _DONE = 0, 1, 2
+_LINE = [("doc", "<i8"), ("h", "<u4"), ("line", "<u4")]
+#: A line under one of its first words (a sketch of 96 bits, a digest of its set of words, its size, the
+#: word's place) and a line under its whole set of words.
+_PREFIX = np.dtype([("key", "<u4"), *_LINE, ("hi", "<u4"), ("lo", "<u8"), ("own", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("side", "u1")])
+_EXACT = np.dtype([("key", "<u8"), *_LINE])
+_KINDS = (_PREFIX, _EXACT)
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(x - 1e-9).astype(np.int64)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """What the passes read: the text, and a document's key (doc_id, hash of the text)."""
-    text = F.col("text").cast("string")
-    return docs.select(_doc().alias("doc"), _hash(text).alias("h"), text.alias("text"))
+def _rows(docs: DataFrame, keyed: bool) -> DataFrame:
+    """What the passes read: the text, and a document's key: doc_id, and a hash of the text where
+    ``keyed``, that is where one doc_id has several texts."""
+    return docs.select(_doc().alias("doc"), _hash(keyed).alias("h"), F.col("text").cast("string").alias("text"))
+
+
+def _keyed(docs: DataFrame) -> bool:
+    """Whether some doc_id has several texts. If none has, doc_id alone is the key, which is less to move."""
+    rows = _rows(docs, True).groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    return not rows.filter("a <> b").isEmpty()
 
 
 def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
 
-def _hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0xFFFFFFFF)
+def _hash(keyed: bool) -> Column:
+    return F.xxhash64(text_of()).bitwiseAND(0xFFFFFFFF) if keyed else F.lit(0).cast("long")
 
 
 class Lines:
@@ -92,46 +107,72 @@ class Lines:
             yield np.arange(a, b), first, key & np.uint64((1 << 43) - 1)
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Levels (twice the binary logarithm) of hashed word counts over all texts, and the number of lines.
+def _pack(rows: np.ndarray) -> bytes:
+    """An array, or a structured one column by column, compressed."""
+    if rows.dtype.names:
+        raw = b"".join([np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names])
+    else:
+        raw = rows.tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, kind: np.dtype, n: int) -> np.ndarray:
+    raw = pa.decompress(blob, n * kind.itemsize, codec="zstd", asbytes=True)
+    if not kind.names:
+        return np.frombuffer(raw, kind)
+    out, at = np.empty(n, kind), 0
+    for c in kind.names:
+        width = kind[c].itemsize * n
+        out[c] = np.frombuffer(raw[at : at + width], kind[c])
+        at += width
+    return out
+
+
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Levels (twice the binary logarithm) of hashed word counts over all texts, and how many lines and words there are.
     Counts are summed in Spark; the driver gets one table of fixed size."""
     size = 1 << (TABLE_BITS - 6)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = Lines(batch.column("text"))
-        n = np.bincount((x.words >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS).astype(np.int32)
-        return record(block=np.arange(BLOCKS, dtype=np.int32), n=pa.array([v.tobytes() for v in n.reshape(BLOCKS, size)], pa.binary()), lines=np.where(np.arange(BLOCKS) == 0, len(x.doc), 0).astype(np.int64))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lines, words = np.zeros(1 << TABLE_BITS, np.int64), 0, 0
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                x = Lines(piece.column("text"))
+                n += np.bincount((x.words >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(n))
+                lines += len(x.doc)
+        if lines:
+            own = np.where(np.arange(BLOCKS) == 0, lines, 0).astype(np.int64)
+            yield record(block=np.arange(BLOCKS, dtype=np.int32), n=pa.array([_pack(v) for v in n.reshape(BLOCKS, size)], pa.binary()), lines=own)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lines = {}, {}
         for batch in batches:
             for block, n, k in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("lines").to_pylist(), strict=True):
-                v = np.frombuffer(n, np.int64 if len(n) == 8 * size else np.int32)
-                total[block] = total.get(block, 0) + v.astype(np.int64)
+                total[block] = total.get(block, 0) + _unpack(n, np.dtype(np.int64), size)
                 lines[block] = lines.get(block, 0) + k
         if total:
-            yield record(block=pa.array(list(total), pa.int32()), n=pa.array([v.tobytes() for v in total.values()], pa.binary()), lines=pa.array(list(lines.values()), pa.int64()))
+            yield record(block=pa.array(list(total), pa.int32()), n=pa.array([_pack(v) for v in total.values()], pa.binary()), lines=pa.array(list(lines.values()), pa.int64()))
 
     schema = "block int, n binary, lines long"
-    # pieces are summed within each task, then blocks meet
-    own = map_texts(_rows(docs).select("text"), work, schema, most=64 << 20).mapInArrow(add, schema)
+    own = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
     got = own.repartition(BLOCKS, "block").mapInArrow(add, schema).collect()
     table, lines = np.zeros((BLOCKS, size)), 0
     for r in got:
-        table[r["block"]] = np.frombuffer(r["n"], np.int64)
+        table[r["block"]] = _unpack(r["n"], np.dtype(np.int64), size)
         lines += r["lines"]
-    return np.minimum(63, 2 * np.log2(1 + table.reshape(-1))).astype(np.uint8), lines
+    return np.minimum(63, 2 * np.log2(1 + table.reshape(-1))).astype(np.uint8), lines, int(table.sum())
 
 
 def _prefixes(x: Lines, levels: np.ndarray, similar: float, least: int):
-    """For runs of lines with ``least`` or more distinct words: their indices, sizes, set hashes, sketches
-    (two 64-bit halves), and for all prefix words their line (index into these), place and token."""
+    """For runs of lines with ``least`` or more distinct words: their indices, sizes, set hashes, parity
+    sketches (32 and 64 bits), and for all prefix words their line (index into these), place and token."""
     for lines, first, tokens in x.sets(levels):
         size = np.diff(np.r_[first, len(tokens)])
         spread = mixed(tokens)
         own = np.add.reduceat(spread, first) if len(first) else spread
-        bit = np.uint64(1) << (spread & np.uint64(63))
-        high = (spread >> np.uint64(6)) & np.uint64(1)
+        place = (spread >> np.uint64(8)) % np.uint64(96)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        high = place >> np.uint64(6)
         hi = np.bitwise_xor.reduceat(bit * high, first) if len(first) else bit
         lo = np.bitwise_xor.reduceat(bit * (np.uint64(1) - high), first) if len(first) else bit
         big = np.flatnonzero(size >= least)
@@ -143,7 +184,7 @@ def _prefixes(x: Lines, levels: np.ndarray, similar: float, least: int):
 
 def common_first_words(docs: DataFrame, levels: np.ndarray, lines: int, similar: float, least: int, cell_rows: int) -> dict[int, int]:
     """Prefix words that many lines share, with the number of parts they are dealt out in, estimated on a
-    hash sample of the texts. The estimate only balances work: any number of parts gives the same pairs."""
+    sample of the texts. The estimate only balances work: any number of parts gives the same pairs."""
     every = max(1, lines // SAMPLE_LINES)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,65 +192,93 @@ def common_first_words(docs: DataFrame, levels: np.ndarray, lines: int, similar:
         token, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         return record(token=token.astype(np.int64), n=n.astype(np.int64))
 
-    rows = _rows(docs)
-    rows = rows.filter(F.pmod(F.xxhash64("doc", "h"), F.lit(every)) == 0) if every > 1 else rows
-    counts = map_texts(rows.select("text"), work, "token long, n long").groupBy("token").agg((F.sum("n") * every).alias("n"))
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    rows = rows.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0) if every > 1 else rows
+    counts = map_texts(rows.select("text"), work, "token long, n long", most=PIECE).groupBy("token").agg((F.sum("n") * every).alias("n"))
     return {r["token"]: -(-r["n"] // cell_rows) for r in counts.filter(F.col("n") > cell_rows).collect()}
 
 
-def entries(docs: DataFrame, levels: np.ndarray, parts: dict[int, int], similar: float, least: int) -> DataFrame:
-    """``(key, entry)``: rows under which lines meet. Of lines with one set of words in a piece, the first
-    enters; the others are done."""
+def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar: float, least: int, n_parts: int, only: np.ndarray | None = None) -> DataFrame:
+    """``(part, kind, n, rows)``: packed entries of the lines, dealt out by the keys under which lines
+    meet: kind 0 by first words, kind 1 by the whole set of words, and kind -1 of lines that are settled: of
+    lines with one set of words in a piece only the first enters. With ``only`` (sorted tokens) lines enter
+    by these first words alone."""
     hot = np.array(sorted(parts), np.uint64)
-    n_parts = np.array([parts[int(t)] for t in hot], np.int64)
+    n_cells = np.array([parts[int(t)] for t in hot], np.int64)
+
+    def dealt(e: np.ndarray, key: np.ndarray, kind: int) -> pa.RecordBatch:
+        part = (mixed(key + np.uint64(0x9E37)) % np.uint64(n_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        e, part = e[order], part[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        stop = np.r_[first[1:], len(e)]
+        return record(part=part[first], kind=np.full(len(first), kind, np.int32), n=(stop - first).astype(np.int32), rows=pa.array([_pack(e[i:j]) for i, j in zip(first, stop, strict=True)], pa.binary()))
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def enter(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         x = Lines(batch.column("text"))
         docs_, hashes = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
         for lines, size, own, hi, lo, of, place, token in _prefixes(x, levels, similar, least):
-            e = np.zeros(len(lines), _ENTRY)
+            e = np.zeros(len(lines), _PREFIX)
             e["doc"], e["h"], e["line"] = docs_[x.doc[lines]], hashes[x.doc[lines]], x.number[lines]
-            e["hi"], e["lo"], e["size"] = hi, lo, size
+            e["hi"], e["lo"], e["size"], e["own"] = hi, lo, size, own & np.uint64(0xFFFFFFFF)
             order = np.lexsort((e["line"], e["h"], e["doc"], own))
-            same = own[order][1:] == own[order][:-1]
-            stays = np.ones(len(lines), bool)
+            a, b = e[order][:-1], e[order][1:]
+            same = own[order][:-1] == own[order][1:]
+            stays, twin = np.ones(len(lines), bool), np.zeros(len(lines), bool)
             stays[order[1:][same]] = False
-            # one document in two rows is one document
-            twin = np.zeros(len(lines), bool)
-            twin[order[1:][same & (e[order][1:][["doc", "h", "line"]] == e[order][:-1][["doc", "h", "line"]])]] = True
-            done = e[~stays & ~twin]
-            done["kind"] = _DONE
-            exact = e[stays]
-            exact["kind"] = _EXACT
-            # a line whose only equals before it are its twins has none before it
+            # a document in two rows is one document: a line does not come after itself
+            twin[order[1:][same & (a["doc"] == b["doc"]) & (a["h"] == b["h"]) & (a["line"] == b["line"])]] = True
+            exact = np.zeros(len(lines), _EXACT)
+            exact["key"] = own
+            for c in ("doc", "h", "line"):
+                exact[c] = e[c]
             keep = stays[of]
-            of, place, token = of[keep], place[keep], token[keep]
-            p = e[of]
-            p["pos"] = place
-            key = mixed(token) << np.uint64(1)
+            if only is not None:
+                at = np.minimum(np.searchsorted(only, token), len(only) - 1)
+                keep &= only[at] == token
+            p, place, token = e[of[keep]], place[keep], token[keep]
+            p["pos"], key = place, mixed(token)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                 split = hot[at] == token
-                n = np.where(split, n_parts[at], 1)
+                n = np.where(split, n_cells[at], 1)
                 k = np.repeat(np.arange(len(p)), n)
                 other = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
                 part = (mixed(p["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p["line"] + (p["h"].astype(np.uint64) << np.uint64(20))) % n.astype(np.uint64)).astype(np.int64)[k]
-                p, key = p[k], key[k]
+                p, split, key = p[k], split[k], key[k]
                 low, high = np.minimum(part, other), np.maximum(part, other)
-                cell = mixed(key + mixed(low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64))) << np.uint64(1)
-                key = np.where(split[k], cell, key)
-                p["side"] = np.where(split[k] & (part != other), np.where(part < other, 1, 2), 0)
-            yield _binary(key, p)
-            yield _binary(own[stays] | np.uint64(1), exact)
-            yield _binary(mixed(done["doc"].astype(np.uint64) + done["line"]) | np.uint64(1), done)
+                key = np.where(split, mixed(key + mixed(low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64))), key)
+                p["side"] = np.where(split & (part != other), np.where(part < other, 1, 2), 0)
+            p["key"] = key >> np.uint64(32)
+            if only is None:
+                yield (p, key), (exact[stays], own[stays]), (exact[~stays & ~twin], own[~stays & ~twin])
+            else:
+                yield (p, key), (exact[:0], own[:0]), (exact[:0], own[:0])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        size = 0
 
-    return map_texts(_rows(docs), work, "key long, entry binary")
+        def packed() -> Iterator[pa.RecordBatch]:
+            for rows, kind in zip(held, (0, 1, -1), strict=True):
+                e, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+                if len(e):
+                    yield dealt(e, key, kind)
+                rows.clear()
 
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                for found in enter(piece):
+                    for rows, e in zip(held, found, strict=True):
+                        rows.append(e)
+                    size += len(found[0][0])
+                if size > PACKED:
+                    yield from packed()
+                    size = 0
+        if held[0]:
+            yield from packed()
 
-def _binary(key: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    n = len(e)
-    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * _ENTRY.itemsize).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(e.tobytes())])], ["key", "entry"])
+    return rows.mapInArrow(work, "part int, kind int, n int, rows binary")
 
 
 def _later(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -218,21 +287,47 @@ def _later(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (b["doc"] > a["doc"]) | (b["doc"] == a["doc"]) & ((b["h"] > a["h"]) | (b["h"] == a["h"]) & (b["line"] > a["line"]))
 
 
-def candidates(key: np.ndarray, e: np.ndarray, similar: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(later, earlier, more)``: pairs of entries under one key that may reach the similarity, up to
-    ``most`` for each later line and key, and for which entries there may be more.
+def _first_of_equals(key: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Entries without those that repeat the set of words of an earlier one under the same key: these are
+    settled where whole sets meet."""
+    with np.errstate(over="ignore"):
+        same = mixed((key.astype(np.uint64) << np.uint64(32) | e["own"]) + mixed(e["lo"] + (e["hi"].astype(np.uint64) << np.uint64(21)) + e["size"]) + e["side"])
+    order = np.argsort(same)
+    repeats = same[order][1:] == same[order][:-1]
+    among = order[np.r_[False, repeats] | np.r_[repeats, False]] if len(order) else order
+    among = among[np.lexsort((e["line"][among], e["h"][among], e["doc"][among], same[among]))]
+    again = among[1:][same[among][1:] == same[among][:-1]]
+    keep = np.ones(len(e), bool)
+    keep[again] = False
+    return np.flatnonzero(keep)
+
+
+def candidates(key: np.ndarray, e: np.ndarray, similar: float, most: int, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """``(later, earlier, differ, more)``: pairs of entries under one key that may reach the similarity:
+    for each later entry its closest by sketch (``most`` 1) or up to ``most``; by how many bits they
+    differ; and whether the later entry has others. ``only`` (sorted digests of sets) names the later
+    lines that matter.
 
     Entries are sorted by size under each key and compared with the next, the one after it, and so on,
     until sizes differ too much."""
-    n = len(e)
-    order = np.lexsort((e["size"], key))
-    key, e = key[order], e[order]
+    order = _first_of_equals(key, e)
+    order = order[np.lexsort((e["size"][order], key[order]))]
+    n, key, e = len(order), key[order], e[order]
     size, pos = e["size"].astype(np.int64), e["pos"].astype(np.int64)
     indexed = size - _ceil(2 * similar / (1 + similar) * size) + 1  # prefix that suffices for the smaller line
+    by_place = np.lexsort((e["line"], e["h"], e["doc"]))
+    place = np.empty(n, np.int64)
+    place[by_place] = np.arange(n)
+    mine = np.ones(n, bool)
+    if only is not None:
+        at = np.minimum(np.searchsorted(only, e["own"]), len(only) - 1)
+        mine = only[at] == e["own"]
+    limit = LOOK if most == 1 else most
     had = np.zeros(n, np.int64)
-    more = np.zeros(n, bool)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    best = np.full(n, 1 << 62)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     i, d = np.flatnonzero(pos < indexed), 1
+    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if n else np.zeros(0, np.int64)
     while True:
         i = i[i + d < n]
         i = i[(key[i + d] == key[i]) & (size[i] >= similar * size[i + d] - 1e-9)]
@@ -240,95 +335,80 @@ def candidates(key: np.ndarray, e: np.ndarray, similar: float, most: int) -> tup
             break
         j = i + d
         need = _ceil(similar / (1 + similar) * (size[i] + size[j]))
-        ok = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need
+        ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
         ok &= (e["side"][i] == 0) | (e["side"][i] != e["side"][j])
         a, b = i[ok], j[ok]
         differ = np.bitwise_count(e["hi"][a] ^ e["hi"][b]).astype(np.int64) + np.bitwise_count(e["lo"][a] ^ e["lo"][b])
         close = differ <= size[a] + size[b] - 2 * need[ok]
-        a, b = a[close], b[close]
+        a, b, differ = a[close], b[close], differ[close]
         if len(a):
             after, before = _later(e, a, b), _later(e, b, a)
             late, early = np.where(after, b, a), np.where(after, a, b)
-            late, early = late[after | before], early[after | before]
-            full = had[late] >= most
-            more[late[full]] = True
-            late, early = late[~full], early[~full]
+            use = (after | before) & mine[late] & (had[late] <= limit)
+            late, early, differ = late[use], early[use], differ[use]
             np.add.at(had, late, 1)
-            out.append((late, early))
+            if most == 1:
+                np.minimum.at(best, late, differ << 40 | place[early])
+            else:
+                out.append((late, early, differ))
         d += 1
-        if d % 64 == 0:  # keys where every line but one has its candidates are finished
-            group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-            waiting = np.bincount(group, had < most)
-            finished = waiting[group[i]] <= 1
-            more |= (had >= most) & (waiting[group] <= 1)
-            i = i[~finished]
+        if d % 64 == 0:  # keys where every line but one has met enough are finished
+            waiting = np.bincount(group, mine & (had <= limit))
+            i = i[waiting[group[i]] > 1]
+    if most == 1:
+        late = np.flatnonzero(had)
+        early, differ = by_place[best[late] & ((1 << 40) - 1)], best[late] >> 40
+        return order[late], order[early], differ, had[late] > 1
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    late, early = (np.concatenate(x) for x in zip(*out, strict=True))
-    return order[late], order[early], order[np.flatnonzero(more)]
+        return none, none, none, none.astype(bool)
+    late, early, differ = (np.concatenate(x) for x in zip(*out, strict=True))
+    return order[late], order[early], differ, had[late] > limit
 
 
-def _pairs(found: DataFrame, similar: float, most: int) -> DataFrame:
-    """``(doc, h, line, doc2, h2, line2, more)``: lines that are settled as equal to an earlier one (doc2
-    null), and lines with a candidate before them."""
-    spark = found.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _pairs(found: DataFrame, similar: float, most: int, tasks: int, only: np.ndarray | None = None) -> DataFrame:
+    """``(doc, h, line, doc2, h2, line2, differ, more)``: lines that are settled as equal to an earlier one
+    (doc2 null), and lines with a candidate before them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, _ENTRY)
+        held: dict[int, list[tuple[int, int, bytes]]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.r_[held_key, batch.column("key").to_numpy()]
-            e = np.concatenate([held, _read(batch.column("entry"))])
-            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            held_key, held = key[whole:], e[whole:]
-            if whole:
-                yield from meet(key[:whole], e[:whole])
-        if len(held):
-            yield from meet(held_key, held)
-
-    def meet(key: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield _out(e[e["kind"] == _DONE], None, False)
-        exact = e["kind"] == _EXACT
-        x, k = e[exact], key[exact]
-        order = np.lexsort((x["line"], x["h"], x["doc"], k))
-        x, k = x[order], k[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        of = np.repeat(first, np.diff(np.r_[first, len(k)]))
-        yield _out(x[_later(x, of, np.arange(len(x)))] if len(x) else x, None, False)
-        prefix = e["kind"] == _PREFIX
-        p, k = e[prefix], key[prefix]
-        late, early, more = candidates(k, p, similar, most)
-        flag = np.zeros(len(p), bool)
-        flag[more] = True
-        yield _out(p[late], p[early], flag[late])
-
-    return found.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(work, "doc long, h long, line long, doc2 long, h2 long, line2 long, more boolean")
-
-
-def _read(entry: pa.Array) -> np.ndarray:
-    _, _, data = entry.buffers()
-    start = entry.offset * _ENTRY.itemsize
-    offsets = np.frombuffer(entry.buffers()[1], np.int32 if entry.type == pa.binary() else np.int64)
-    start = int(offsets[entry.offset])
-    return np.frombuffer(data, np.uint8)[start : start + len(entry) * _ENTRY.itemsize].view(_ENTRY)
-
-
-def _out(late: np.ndarray, early: np.ndarray | None, more) -> pa.RecordBatch:
+            for part, kind, n, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "n", "rows")), strict=True):
+                held.setdefault(part, []).append((kind, n, rows))
+        while held:  # packed entries of a part are few bytes; they are unpacked part by part
+            _, blobs = held.popitem()
+            own = {k: [_unpack(rows, _KINDS[abs(k)], n) for kind, n, rows in blobs if kind == k] for k in (0, 1, -1)}
+            prefix, exact, done = (np.concatenate([np.zeros(0, _KINDS[abs(k)]), *own[k]]) for k in (0, 1, -1))
+            yield _out(done, None, False)
+            x = exact[np.lexsort((exact["line"], exact["h"], exact["doc"], exact["key"]))]
+            if len(x):
+                first = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
+                of = np.repeat(first, np.diff(np.r_[first, len(x)]))
+                yield _out(x[_later(x, of, np.arange(len(x)))], None, False)
+            late, early, differ, more = candidates(prefix["key"], prefix, similar, most, only)
+            for at in range(0, len(late), 100_000):
+                to = slice(at, at + 100_000)
+                yield _out(prefix[late[to]], prefix[early[to]], more[to], differ[to])
+
+    return found.repartition(tasks, "part").mapInArrow(work, "doc long, h long, line long, doc2 long, h2 long, line2 long, differ long, more boolean")
+
+
+def _out(late: np.ndarray, early: np.ndarray | None, more, differ=0) -> pa.RecordBatch:
     def place(e: np.ndarray | None, mark: str) -> dict:
         if e is None:
             return {c + mark: pa.nulls(len(late), pa.int64()) for c in ("doc", "h", "line")}
         return {c + mark: e[c].astype(np.int64) for c in ("doc", "h", "line")}
 
-    return record(**place(late, ""), **place(early, "2"), more=np.broadcast_to(np.asarray(more, bool), (len(late),)).copy())
+    def column(v, kind) -> np.ndarray:
+        return np.broadcast_to(np.asarray(v, kind), (len(late),)).copy()
+
+    return record(**place(late, ""), **place(early, "2"), differ=column(differ, np.int64), more=column(more, bool))
 
 
-def _line_words(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc, h, line, words)`` of the wanted lines: the sorted hashes of their distinct words."""
     by_doc = cut(wanted.groupBy("doc", "h").agg(F.collect_set("line").alias("lines")))
-    rows = _rows(docs).withColumnRenamed("doc", "d").withColumnRenamed("h", "dh")
+    rows = rows.withColumnRenamed("doc", "d").withColumnRenamed("h", "dh")
     side = broadcast_if_small(by_doc, 64)
     rows = rows.join(side, (F.col("d") == F.col("doc")) & (F.col("dh") == F.col("h"))).select("doc", "h", "lines", "text").dropDuplicates(["doc", "h"])
 
@@ -348,13 +428,13 @@ def _line_words(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             words.append(np.unique(x.words[edge[k] : edge[k + 1]]).tobytes())
         return record(doc=pa.array(doc, pa.int64()), h=pa.array(h, pa.int64()), line=pa.array(line, pa.int64()), words=pa.array(words, pa.binary()))
 
-    return map_texts(rows, work, "doc long, h long, line long, words binary")
+    return map_texts(rows, work, "doc long, h long, line long, words binary", most=PIECE)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similar: float, least: int) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """``(doc, h, line)`` of later lines with a pair that reaches the similarity."""
     lines = pairs.select("doc", "h", "line").union(pairs.select("doc2", "h2", "line2")).distinct()
-    words = cut(_line_words(docs, lines, least))
+    words = cut(_line_words(rows, lines))
     second = words.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["doc", "h", "line"]).join(second, ["doc2", "h2", "line2"]).select("doc", "h", "line", "words", "words2")
 
@@ -370,31 +450,62 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float, least: int) ->
     return both.mapInArrow(work, "doc long, h long, line long").distinct()
 
 
+def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar: float) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Sorted first words and set digests of the wanted lines, for the driver to hand out; none if there
+    are too many."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for raw in batch.column("words").to_pylist():
+                words = np.frombuffer(raw, np.uint64)
+                level = levels[words >> np.uint64(64 - TABLE_BITS)].astype(np.uint64)
+                tokens = np.unique(level << np.uint64(37) | words & np.uint64((1 << 37) - 1))
+                n = np.uint64(len(tokens))
+                sets.append(mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + n])) & np.uint64(0xFFFFFFFF))
+                first.append(tokens[: len(tokens) - int(np.ceil(similar * len(tokens) - 1e-9)) + 1] & np.uint64((1 << 37) - 1))
+            for kind, found in enumerate((first, sets)):
+                found = np.unique(np.concatenate(found)).astype(np.int64)
+                yield record(kind=np.full(len(found), kind, np.int32), v=found)
+
+    found = cut(_line_words(rows, wanted).select("words").mapInArrow(work, "kind int, v long").distinct())
+    if found.count() * 8 > BROADCAST_BYTES:
+        return None, None
+    got = found.collect()
+    first, sets = (np.sort(np.array([r["v"] for r in got if r["kind"] == k], np.uint64)) for k in (0, 1))
+    return first, sets.astype(np.uint32)
+
+
 def later_matches(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(doc, h, line)`` of all lines that match an earlier one; ``doc`` is the doc_id (null: the largest
-    long), ``h`` a hash of the text."""
-    levels, lines = rarity(docs)
+    long), ``h`` a hash of the text, or 0 if doc_id alone tells all texts apart."""
+    levels, lines, words = rarity(docs)
     parts = common_first_words(docs, levels, lines, similar, least, cell_rows)
-    found = entries(docs, levels, parts, similar, least)
-    settled, most, open_lines = None, FIRST_CANDIDATES, None
-    while True:
-        pairs = cut(_pairs(found, similar, most))
-        if settled is None:
-            settled = cut(pairs.filter("doc2 is null").select("doc", "h", "line").distinct())
-        near = pairs.filter("doc2 is not null").join(settled, ["doc", "h", "line"], "left_anti")
-        if open_lines is not None:
-            near = near.join(open_lines, ["doc", "h", "line"], "left_semi")
-        by_line = near.groupBy("doc", "h", "line").agg(F.array_sort(F.collect_set(F.struct("doc2", "h2", "line2"))).alias("c"), F.max("more").alias("more"))
-        by_line = cut(by_line.withColumn("more", F.col("more") | (F.size("c") > most)).withColumn("c", F.slice("c", 1, most)))
-        if by_line.isEmpty():
-            return settled
-        each = by_line.select("doc", "h", "line", F.explode("c").alias("c")).select("doc", "h", "line", "c.*")
-        matched = cut(_verified(docs, cut(each), similar, least))
-        settled = cut(settled.union(matched))
-        open_lines = cut(by_line.filter("more").select("doc", "h", "line").join(matched, ["doc", "h", "line"], "left_anti"))
+    rows = _rows(docs, _keyed(docs))
+    # first words are about one word in five; four parts for each task even out their sizes
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // 5 // (4 * PACKED))
+    key = ["doc", "h", "line"]
+    pairs = cut(_pairs(entries(rows, levels, parts, similar, least, 4 * tasks), similar, 1, tasks))
+    settled = cut(pairs.filter("doc2 is null").select(key).distinct())
+    # the closest candidate over all words that a line shares with any other
+    earlier = F.struct("doc2", "h2", "line2")
+    near = pairs.filter("doc2 is not null").groupBy(key).agg(
+        F.min(F.struct("differ", "doc2", "h2", "line2")).alias("c"), (F.max("more") | (F.min(earlier) != F.max(earlier))).alias("more")
+    )
+    near = cut(near.join(settled, key, "left_anti"))
+    most = 1
+    while not near.isEmpty():
+        settled = cut(settled.union(_verified(rows, cut(near.select(*key, "c.doc2", "c.h2", "c.line2")), similar)))
+        open_lines = cut(near.filter("more").select(key).distinct().join(settled, key, "left_anti"))
         if open_lines.isEmpty():
-            return settled
+            break
+        # lines with other candidates: the same again with more of them, by these lines' first words alone
         most *= MORE
+        first, sets = _first_words(rows, open_lines, levels, similar)
+        pairs = _pairs(entries(rows, levels, parts, similar, least, 4 * tasks, first), similar, most, tasks, sets)
+        near = pairs.filter("doc2 is not null").select(*key, F.struct("doc2", "h2", "line2").alias("c"), "more").distinct()
+        near = cut(near.join(open_lines, key, "left_semi"))
+    return settled
 
 
 def dedup(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, cell_rows: int = CELL_ROWS, counts: bool = False) -> DataFrame:
@@ -408,7 +519,7 @@ def dedup(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, c
     by_doc = cut(flagged.groupBy("doc", "h").agg(F.collect_set("line").alias("lines")))
     doc, h, lines, removed, n_lines = fresh(docs, "doc", "h", "lines", "n_removed", "n_lines")
     side = broadcast_if_small(by_doc.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("lines").alias(lines)), 96)
-    on = (_doc() == F.col(doc)) & (_hash(F.col("text").cast("string")) == F.col(h))
+    on = (_doc() == F.col(doc)) & (_hash(_keyed(docs)) == F.col(h))
     plain = docs.join(side, on, "left_anti")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text").cast("string"), F.lit("\n")) + 1).cast("long")
     cutting = docs.join(side, on).drop(doc, h).withColumn(n_lines, n).withColumn(removed, F.size(lines).cast("long"))

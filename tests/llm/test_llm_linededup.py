@@ -22,10 +22,10 @@ def _rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize(("cell_rows", "first"), [(16_384, 3), (25, 1)])
-def test_equals_brute_force(spark, monkeypatch, cell_rows, first):
+@pytest.mark.parametrize(("cell_rows", "look"), [(8192, 64), (25, 1)])
+def test_equals_brute_force(spark, monkeypatch, cell_rows, look):
     """With small cells, common words are dealt out in parts; with one candidate at first, more rounds follow."""
-    monkeypatch.setattr(linededup, "FIRST_CANDIDATES", first)
+    monkeypatch.setattr(linededup, "LOOK", look)
     rows = _rows(350, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(r["doc"], r["line"]) for r in linededup.later_matches(docs, cell_rows=cell_rows).collect()}
