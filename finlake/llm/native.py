@@ -11,11 +11,13 @@ def matches(text: Column, pattern: str, guard: Column | None = None, left: int =
     """Array of (gap: length of what lies between the last match and this one; left: its last ``left``
     characters; value: the match), leftmost and non-overlapping. ``guard`` spares texts that cannot
     match. The pattern never matches the empty string."""
-    between = F.split(text, pattern, -1)
-    found = F.transform(
+    # gaps and matches side by side; the last gap has no match
+    pairs = F.zip_with(
+        F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda v, i: F.struct(F.length(between[i]).alias("gap"), (F.right(between[i], F.lit(left)) if left else F.lit("")).alias("left"), v.alias("value")),
+        lambda gap, value: F.struct(F.length(gap).alias("gap"), (F.right(gap, F.lit(left)) if left else F.lit("")).alias("left"), value.alias("value")),
     )
+    found = F.filter(pairs, lambda m: m["value"].isNotNull())
     if guard is None:
         return found
     return F.when(guard, found).otherwise(F.lit(None))
