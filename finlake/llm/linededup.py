@@ -198,11 +198,11 @@ def common_first_words(docs: DataFrame, levels: np.ndarray, lines: int, similar:
     return {r["token"]: -(-r["n"] // cell_rows) for r in counts.filter(F.col("n") > cell_rows).collect()}
 
 
-def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar: float, least: int, n_parts: int, only: np.ndarray | None = None) -> DataFrame:
+def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar: float, least: int, n_parts: int, only: dict[str, np.ndarray] | None = None) -> DataFrame:
     """``(part, kind, n, rows)``: packed entries of the lines, dealt out by the keys under which lines
     meet: kind 0 by first words, kind 1 by the whole set of words, and kind -1 of lines that are settled: of
-    lines with one set of words in a piece only the first enters. With ``only`` (sorted tokens) lines enter
-    by these first words alone."""
+    lines with one set of words in a piece only the first enters. With ``only`` (see ``_first_words``) lines
+    enter by these first words alone, if their size and place allow a match with a line that has them."""
     hot = np.array(sorted(parts), np.uint64)
     n_cells = np.array([parts[int(t)] for t in hot], np.int64)
 
@@ -234,8 +234,9 @@ def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar:
                 exact[c] = e[c]
             keep = stays[of]
             if only is not None:
-                at = np.minimum(np.searchsorted(only, token), len(only) - 1)
-                keep &= only[at] == token
+                at = np.minimum(np.searchsorted(only["token"], token), len(only["token"]) - 1)
+                keep &= (only["token"][at] == token) & (e["doc"][of] <= only["last"][at])
+                keep &= (size[of] >= similar * only["least"][at] - 1e-9) & (similar * size[of] <= only["most"][at] + 1e-9)
             p, place, token = e[of[keep]], place[keep], token[keep]
             p["pos"], key = place, mixed(token)
             if len(hot):
@@ -450,30 +451,32 @@ def _verified(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return both.mapInArrow(work, "doc long, h long, line long").distinct()
 
 
-def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar: float) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """Sorted first words and set digests of the wanted lines, for the driver to hand out; none if there
+def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar: float) -> tuple[dict[str, np.ndarray] | None, np.ndarray | None]:
+    """First words of the wanted lines (sorted tokens, with the least and most size and the last doc of the
+    lines that have them) and the sorted digests of their sets, for the driver to hand out; none if there
     are too many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for raw in batch.column("words").to_pylist():
+            for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = np.frombuffer(raw, np.uint64)
                 level = levels[words >> np.uint64(64 - TABLE_BITS)].astype(np.uint64)
                 tokens = np.unique(level << np.uint64(37) | words & np.uint64((1 << 37) - 1))
-                n = np.uint64(len(tokens))
-                sets.append(mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + n])) & np.uint64(0xFFFFFFFF))
-                first.append(tokens[: len(tokens) - int(np.ceil(similar * len(tokens) - 1e-9)) + 1] & np.uint64((1 << 37) - 1))
-            for kind, found in enumerate((first, sets)):
-                found = np.unique(np.concatenate(found)).astype(np.int64)
-                yield record(kind=np.full(len(found), kind, np.int32), v=found)
-
-    found = cut(_line_words(rows, wanted).select("words").mapInArrow(work, "kind int, v long").distinct())
-    if found.count() * 8 > BROADCAST_BYTES:
+                n = len(tokens)
+                own = mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + np.uint64(n)])) & np.uint64(0xFFFFFFFF)
+                first = tokens[: n - int(np.ceil(similar * n - 1e-9)) + 1] & np.uint64((1 << 37) - 1)
+                v = np.concatenate([first, own]).astype(np.int64)
+                kind = np.r_[np.zeros(len(first), np.int32), np.ones(1, np.int32)]
+                yield record(kind=kind, v=v, size=np.full(len(v), n, np.int64), doc=np.full(len(v), doc, np.int64))
+
+    found = _line_words(rows, wanted).select("doc", "words").mapInArrow(work, "kind int, v long, size long, doc long")
+    found = cut(found.groupBy("kind", "v").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("doc").alias("last")))
+    if found.count() * 32 > BROADCAST_BYTES:
         return None, None
-    got = found.collect()
-    first, sets = (np.sort(np.array([r["v"] for r in got if r["kind"] == k], np.uint64)) for k in (0, 1))
-    return first, sets.astype(np.uint32)
+    got = found.toArrow().to_pandas().sort_values("v")
+    first = got[got.kind == 0]
+    words = {"token": first.v.to_numpy(np.uint64), **{c: first[c].to_numpy(np.int64) for c in ("least", "most", "last")}}
+    return words, got[got.kind == 1].v.to_numpy(np.uint32)
 
 
 def later_matches(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
