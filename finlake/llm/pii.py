@@ -80,7 +80,7 @@ def _seeds(spans: DataFrame) -> DataFrame:
 def _words(bodies: DataFrame) -> DataFrame:
     """``(key, value, start, end, one, two)``: every word of the bodies with the words before it."""
     words = placed(bodies.select("key", matches(F.col("body"), WORD).alias("w")), {"word": "w"})
-    turn = Window.partitionBy("key").orderBy("start")
+    turn = Window.partitionBy("key", "kind").orderBy("start")  # dealt out like the matches: no other shuffle
     return words.select("key", "value", "start", "end", _shaped(F.lag("value", 1).over(turn)).alias("one"), _shaped(F.lag("value", 2).over(turn)).alias("two"))
 
 
