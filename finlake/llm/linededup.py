@@ -327,13 +327,21 @@ def candidates(key: np.ndarray, e: np.ndarray, similar: float, most: int, only:
     had = np.zeros(n, np.int64)
     best = np.full(n, 1 << 62)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    i, d = np.flatnonzero(pos < indexed), 1
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if n else np.zeros(0, np.int64)
+    d, none = 1, np.zeros(0, np.int64)
+    # the smaller entries of the pairs, and with ``only`` the entries that matter, as the smaller and as the larger ones
+    up, down = (np.flatnonzero(pos < indexed), none) if only is None else (np.flatnonzero(mine), np.flatnonzero(mine))
+    looking = mine.copy()
+    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if n else none
     while True:
-        i = i[i + d < n]
-        i = i[(key[i + d] == key[i]) & (size[i] >= similar * size[i + d] - 1e-9)]
-        if not len(i):
+        up, down = up[up + d < n], down[down >= d]
+        up = up[(key[up + d] == key[up]) & (size[up] >= similar * size[up + d] - 1e-9)]
+        down = down[(key[down - d] == key[down]) & (size[down - d] >= similar * size[down] - 1e-9)]
+        if not len(up) and not len(down):
             break
+        i = up
+        if only is not None:
+            i = np.concatenate([up, (down - d)[~looking[down - d]]])
+            i = i[pos[i] < indexed[i]]
         j = i + d
         need = _ceil(similar / (1 + similar) * (size[i] + size[j]))
         ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
@@ -353,15 +361,18 @@ def candidates(key: np.ndarray, e: np.ndarray, similar: float, most: int, only:
             else:
                 out.append((late, early, differ))
         d += 1
-        if d % 64 == 0:  # keys where every line but one has met enough are finished
-            waiting = np.bincount(group, mine & (had <= limit))
-            i = i[waiting[group[i]] > 1]
+        if d % 64 == 0:
+            looking = mine & (had <= limit)
+            if only is None:  # keys where every line but the earliest, which none precedes, has met enough are finished
+                waiting = np.bincount(group, looking)
+                up = up[waiting[group[up]] > 1]
+            else:  # here the earliest need not be among the lines that matter: each stops for itself
+                up, down = up[looking[up]], down[looking[down]]
     if most == 1:
         late = np.flatnonzero(had)
         early, differ = by_place[best[late] & ((1 << 40) - 1)], best[late] >> 40
         return order[late], order[early], differ, had[late] > 1
     if not out:
-        none = np.zeros(0, np.int64)
         return none, none, none, none.astype(bool)
     late, early, differ = (np.concatenate(x) for x in zip(*out, strict=True))
     return order[late], order[early], differ, had[late] > limit

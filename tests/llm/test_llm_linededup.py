@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from llm_cases import docs_of, edge_docs, edge_rows, empty_docs, later_lines
@@ -75,3 +76,36 @@ def test_edges(spark):
 def test_lines_of_a_long_text():
     x = linededup.Lines(pa.array(["a b\n\nc", "", None, "\nd e f\n", "g"]))
     assert x.doc.tolist() == [0, 0, 3, 4] and x.number.tolist() == [0, 2, 1, 0]
+
+
+def test_a_lone_open_line_meets_its_whole_group():
+    """Of hundreds of lines under one word one is open, and its match lies over 64 places away in size order."""
+    n = 400
+    e = np.zeros(n, linededup._PREFIX)
+    e["doc"], e["own"], e["size"] = np.arange(n), np.arange(n), 20
+    e["lo"] = linededup.mixed(np.arange(1, n + 1, dtype=np.uint64))
+    for mine, match in ((350, 10), (10, 350)):
+        x = e.copy()
+        x["lo"][mine], x["lo"][match], x["size"][mine] = 3, 3, 20
+        x["doc"][mine], x["doc"][match] = 900, 800
+        late, early, _, more = linededup.candidates(x["key"], x, 0.8, linededup.MORE, np.array([mine], np.uint32))
+        assert (late.tolist(), early.tolist(), more.tolist()) == ([mine], [match], [False])
+
+
+def test_candidates_of_open_lines_equal_all_pairs():
+    """Every open line gets all earlier candidates, or more than the limit."""
+    rng = np.random.default_rng(3)
+    for n, limit in ((300, 10_000), (300, 5)):
+        e = np.zeros(n, linededup._PREFIX)
+        e["key"], e["doc"], e["own"] = rng.integers(0, 2, n), rng.permutation(n), np.arange(n)
+        e["size"], e["lo"] = rng.integers(4, 12, n), rng.integers(0, 16, n).astype(np.uint64)
+        only = np.sort(rng.choice(n, 12, replace=False)).astype(np.uint32)
+        got = linededup.candidates(e["key"], e, 0.8, limit, only)
+        pairs = list(zip(got[0].tolist(), got[1].tolist()))
+        assert len(set(pairs)) == len(pairs)
+        every = linededup.candidates(e["key"], e, 0.8, 10_000)
+        want = {(a, b) for a, b in zip(every[0].tolist(), every[1].tolist()) if a in set(only.tolist())}
+        assert set(pairs) <= want
+        for k in only.tolist():
+            have, need = sum(a == k for a, _ in pairs), sum(a == k for a, _ in want)
+            assert have == min(need, limit + 1)
