@@ -176,7 +176,8 @@ def _prefixes(x: Lines, levels: np.ndarray, similar: float, least: int):
         hi = np.bitwise_xor.reduceat(bit * high, first) if len(first) else bit
         lo = np.bitwise_xor.reduceat(bit * (np.uint64(1) - high), first) if len(first) else bit
         big = np.flatnonzero(size >= least)
-        n = size[big] - _ceil(similar * size[big]) + 1
+        # lines so short that only an equal set reaches the similarity meet by their whole sets alone
+        n = np.where(size[big] >= similar * (size[big] + 1) - 1e-9, size[big] - _ceil(similar * size[big]) + 1, 0)
         of = np.repeat(np.arange(len(big)), n)
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         yield lines[big], size[big], mixed(own[big] + size[big].astype(np.uint64)), hi[big], lo[big], of, place, tokens[first[big][of] + place] & np.uint64((1 << 37) - 1)

@@ -81,8 +81,8 @@ def op7(docs: DataFrame) -> DataFrame:
 
 @op("op8_linededup")
 def op8(docs: DataFrame) -> DataFrame:
-    """Texts without lines that match an earlier line of any text at Jaccard 0.8 or more."""
-    return linededup.dedup(docs.select("doc_id", "text"), counts=True)
+    """Texts without lines, of one word or more, that match an earlier line of any text at Jaccard 0.8 or more."""
+    return linededup.dedup(docs.select("doc_id", "text"), least=1, counts=True)
 
 
 @op("op9_licenses")

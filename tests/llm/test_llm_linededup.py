@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from llm_cases import docs_of, edge_docs, edge_rows, empty_docs, later_lines
 
-from finlake.llm import linededup
+from finlake.llm import linededup, queries
 
 
 def _rows(n, seed):
@@ -58,6 +58,23 @@ def test_real_texts(spark, sf_small):
     assert found == later_lines([tuple(r) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("similar", [0.6, 0.8])
+def test_short_lines(spark, similar):
+    """With ``least`` 1 lines of one to three words match too."""
+    rng = random.Random(7)
+    texts = ["\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))) for _ in range(4)) for _ in range(80)]
+    found = {(r["doc"], r["line"]) for r in linededup.later_matches(docs_of(spark, texts), similar, 1).collect()}
+    assert found == later_lines(list(enumerate(texts)), similar, 1)
+
+
+def test_query_takes_short_lines(spark, tmp_path):
+    texts = ["All rights reserved.\na first text", "all RIGHTS reserved.\n\nanother text", "one\none"]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in queries.QUERIES["op8_linededup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\nanother text", 1), 2: ("one", 1)}
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     out = linededup.dedup(docs)
