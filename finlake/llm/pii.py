@@ -73,8 +73,8 @@ def _seeds(spans: DataFrame) -> DataFrame:
     whole = (F.col("start") == F.length("left")) | F.col("left").rlike(r"^[\x20\x09-\x0D]")  # else the first word may be cut
     at = spans.filter(F.col("left").rlike(r"[\x20\x09-\x0D]$")).withColumn("before", F.when(whole, words).otherwise(F.slice(words, F.lit(2), F.size(words))))
     one, two = F.try_element_at("before", F.lit(-1)), F.try_element_at("before", F.lit(-2))
-    each = at.select(F.explode(_two(_shaped(one), _shaped(two))).alias("pattern"), "kind", F.lower("value").alias("value"))
-    return each.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    each = at.select(F.explode(_two(_shaped(one), _shaped(two))).alias("pattern"), "kind", F.lower("value").alias("value"), "copies")
+    return each.groupBy("pattern", "kind", "value").agg(F.sum("copies").alias("n"))
 
 
 def _words(bodies: DataFrame) -> DataFrame:
@@ -84,14 +84,30 @@ def _words(bodies: DataFrame) -> DataFrame:
     return words.select("key", "value", "start", "end", _shaped(F.lag("value", 1).over(turn)).alias("one"), _shaped(F.lag("value", 2).over(turn)).alias("two"))
 
 
+def _degrees(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """``(pattern, degree)``: how often a word follows each of the ``able`` patterns in all rows of ``docs``."""
+    words = docs.select(F.regexp_extract_all(_shaped(text_of()), F.lit(WORD), F.lit(0)).alias("w"))
+    upto = lambda first, less: F.slice("w", first, F.greatest(F.lit(0), F.size("w") - less))
+    two = F.zip_with(upto(1, 2), upto(2, 2), lambda a, b: F.concat_ws(" ", a, b))
+    each = words.select(F.explode(F.concat(upto(1, 1), two)).alias("pattern"))
+    return each.join(broadcast_if_small(able, 64), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def _weighted(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``rows`` with the number of ``copies`` of their text."""
+    return rows.join(broadcast_if_small(many, 64), "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+
+
 #: A word that looks like an identifier: five characters or more with a digit or an at sign, cut at
 #: quotes, brackets and closing punctuation.
 _CORE = r"[A-Za-z0-9+][A-Za-z0-9@._+/#-]{3,}[A-Za-z0-9]"
 
 
-def _learned(bodies: DataFrame, base: DataFrame) -> DataFrame:
-    """``(key, kind, value, start, end)`` of identifiers found by contexts, none of which overlaps a base span."""
-    seeds = cut(_seeds(base))
+def _learned(docs: DataFrame, bodies: DataFrame, many: DataFrame, base: DataFrame) -> DataFrame:
+    """``(key, kind, value, start, end)`` of identifiers found by contexts, none of which overlaps a base span.
+    Only ``bodies`` can hold one; how often a pattern stands is counted over all rows of ``docs``, and ``many``
+    has the copies of texts that stand in several."""
+    seeds = cut(_seeds(_weighted(base, many)))
     # only patterns that can reach the support need to be followed
     able = cut(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern"))
     empty = base.select("key", "kind", "value", "start", "end").limit(0)
@@ -99,10 +115,10 @@ def _learned(bodies: DataFrame, base: DataFrame) -> DataFrame:
         return empty
     follow = _words(bodies).select("key", "value", "start", "end", F.explode(_two(F.col("one"), F.col("two"))).alias("pattern"))
     follow = follow.join(broadcast_if_small(able, 64), "pattern").withColumn("core", F.regexp_extract("value", _CORE, 0))
-    degree = cut(follow.groupBy("pattern").agg(F.count(F.lit(1)).alias("degree")))
-    odd_words = cut(follow.filter(F.col("core").rlike("[0-9@]")))
+    degree = cut(_degrees(docs, able))
+    odd_words = cut(_weighted(follow.filter(F.col("core").rlike("[0-9@]")), many))
     known = seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0))
-    odd = odd_words.groupBy("pattern", F.lower("core").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    odd = odd_words.groupBy("pattern", F.lower("core").alias("value")).agg(F.sum("copies").alias("n"))
     sown = seeds.join(broadcast_if_small(able, 64), "pattern").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
     # a seed's word is also a word that looks like an identifier: each edge counts once
     graph = cut(odd.union(sown).groupBy("pattern", "value").agg(F.max("n").alias("n")))
@@ -133,7 +149,8 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     marked = cut(_marked(docs))
     texts = cut(marked.filter("body is not null").drop("doc_id").dropDuplicates(["key"]))
     base = cut(placed(texts, {k: k for k in KINDS}).filter(_holds(F.col("kind"), F.col("value"))))
-    more = cut(_learned(texts.select("key", "body"), base))
+    many = cut(marked.filter("body is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    more = cut(_learned(docs, texts.select("key", "body"), many, base))
     return marked.select("doc_id", "key"), base, more
 
 
