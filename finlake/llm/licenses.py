@@ -35,7 +35,8 @@ TEMPLATES = (
 )
 #: Share of a template's distinct words that a block must hold.
 CONTAINED = 0.8
-#: A block is a line; longer lines are blocks of this many words, each begun half-way through the one before.
+#: A block is a line; longer lines, and whole texts where blocks go ``across`` line ends, are blocks of this
+#: many words, each begun half-way through the one before.
 BLOCK_WORDS = 64
 
 
@@ -121,10 +122,11 @@ class Join:
         return out
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contained: float = CONTAINED, across: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, ``base`` (an array of label and start word for each
     place of a phrase) and ``blocks`` (label, first word, last word and contained share for each block
-    that holds a template).
+    that holds a template). With ``across`` windows of words over the whole text are blocks too, so that a
+    notice that is wrapped over several lines is found.
 
     Null texts and texts without words have no places; words are counted from 0 in the whole text;
     repeated rows give the same. Of equal texts each is scanned."""
@@ -155,18 +157,27 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contained: float
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
         hits = np.flatnonzero(join.prefix[ranks])
         edge = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        spans = set()
         for e in np.unique(np.searchsorted(edge, hits, side="right") - 1).tolist():
             a, b = int(edge[e]), int(edge[e + 1]) if e + 1 < len(edge) else total
             at = a
             while True:
                 stop = min(at + BLOCK_WORDS, b)
-                own = ranks[at:stop]
-                for k, share in join.matches(own[own >= 0].tolist(), len(np.unique(hashes[at:stop]))):
-                    first = int(before[doc[a]])
-                    blocks[doc[a]].append({"label": join.templates[k][0], "first": at - first, "last": stop - 1 - first, "share": share})
+                spans.add((at, stop))
                 if stop == b:
                     break
                 at += BLOCK_WORDS // 2
+        if across and len(hits):  # a window holds a template's first word, and each word stands in two at most
+            half, first = BLOCK_WORDS // 2, before[doc[hits]]
+            last = (hits - first) // half
+            for k in (last, last - 1):
+                at, end = first + k * half, before[doc[hits] + 1]
+                spans.update(zip(at[k >= 0].tolist(), np.minimum(at + BLOCK_WORDS, end)[k >= 0].tolist(), strict=True))
+        for at, stop in sorted(spans):
+            own = ranks[at:stop]
+            for k, share in join.matches(own[own >= 0].tolist(), len(np.unique(hashes[at:stop]))):
+                first = int(before[doc[at]])
+                blocks[doc[at]].append({"label": join.templates[k][0], "first": at - first, "last": stop - 1 - first, "share": share})
         return record(doc_id=batch.column("doc_id"), n_words=np.diff(before).astype(np.int64), base=pa.array(base, base_type), blocks=pa.array(blocks, block_type))
 
     schema = f"doc_id {kind}, n_words long, base array<struct<label:string,start:long>>, blocks array<struct<label:string,first:long,last:long,share:double>>"

@@ -87,8 +87,8 @@ def op8(docs: DataFrame) -> DataFrame:
 
 @op("op9_licenses")
 def op9(docs: DataFrame) -> DataFrame:
-    """Phrases and template blocks of every text."""
-    return licenses.summary(licenses.scan(docs))
+    """Phrases and template blocks of every text, within lines and across line ends."""
+    return licenses.summary(licenses.scan(docs, across=True))
 
 
 @op("op10_secrets")

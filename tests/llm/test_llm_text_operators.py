@@ -286,6 +286,29 @@ def test_licenses(spark):
         assert r["score"] == pytest.approx(score)
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    """Every template, wrapped at 72 columns (the short ones after every second word), wherever it begins in the text."""
+    import textwrap
+
+    from finlake.llm import queries
+
+    texts, want = [], []
+    for label, template in licenses.TEMPLATES:
+        for before in range(0, 70, 3):
+            words = template.split()
+            notice = textwrap.fill(template, 72) if len(template) > 72 else "\n".join(" ".join(words[i : i + 2]) for i in range(0, len(words), 2))
+            texts.append("filler " * before + "\n" + notice + "\nfiller" * 9)
+            want.append(label)
+    path = str(tmp_path)
+    docs_of(spark, texts).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long").write.parquet(f"{path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_licenses"](spark, path).collect()}
+    for i, label in enumerate(want):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0, texts[i]
+    plain = {r["doc_id"]: r["labels"] for r in licenses.summary(licenses.scan(docs_of(spark, texts))).collect()}
+    assert any(label not in plain[i].split(",") for i, label in enumerate(want))  # lines alone miss some
+
+
 def test_license_edges(spark):
     assert licenses.summary(licenses.scan(edge_docs(spark))).count() == len(edge_rows())
     assert licenses.scan(empty_docs(spark)).count() == 0
