@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from finlake.context import Ctx
 from finlake.operators import incremental as INC
 from finlake.plans import queries_intake as QI
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_reingest_same_batch_is_all_unchanged(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from finlake.context import Ctx
 from finlake.plans import ledger as L
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_seed_invoice_classification(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from finlake.registry import QUERIES, load_all
 from oracle_harness import compare
 
