@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import bpe, chunks, langid, licenses, linededup, mixing, pii, quality, secrets, simhash
+from . import bpe, chunks, langid, licenses, linededup, mixing, pii, quality, resample, runs, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+def op(name: str, sql: str | None = None, beside: tuple[str, ...] = ()):
+    """Register a query over ``documents`` and the tables named ``beside`` it."""
 
-
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-
-
-def op(name: str, sql: str | None = None, labels: bool = False):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tables = [_documents(configure(spark), sf_dir)] + [_labels(spark, sf_dir)] * labels
-            return fn(*tables)
+            configure(spark)
+            return fn(*[spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet") for table in ("documents", *beside)])
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
@@ -60,7 +56,7 @@ def op4(docs: DataFrame) -> DataFrame:
     return bpe.encode(docs, outputs=("ids_sha256", "decoded_sha256"))
 
 
-@op("op5_quality", labels=True)
+@op("op5_quality", beside=("labels",))
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rules and line labels; the field is fitted on the labelled texts."""
     found = quality.judge(docs, quality.train(docs, labels))
@@ -95,3 +91,37 @@ def op9(docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     """Fixed patterns and linked weak candidates."""
     return secrets.summary(docs)
+
+
+@op("op11_resample", resample.SQL, beside=("benchmark",))
+def op11(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Single words in 10,000 buckets; a tenth of the documents with 20 words or more, drawn towards ``benchmark``."""
+    return resample.draw(docs, benchmark)
+
+
+@op("op12_toxicity", beside=("labels",))
+def op12(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Train on labelled rows that are not held out, score every row."""
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+def looped_tails(doc_ids: list, first: np.ndarray) -> np.ndarray:
+    """The word to read at each place: of one document in ten (by crc32 of the doc_id) a tail of words
+    becomes a loop of its first few. Rows without a doc_id stay as they are."""
+    take = np.arange(first[-1])
+    for doc, a, b in zip(doc_ids, first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if doc is None or a == b:
+            continue
+        h = zlib.crc32(str(doc).encode())
+        if h % 10 == 0:
+            n, g = b - a, h // 10
+            start = g % n
+            period = 1 + (n - start) // (3 + g % 8)
+            take[a + start : b] = a + start + np.arange(n - start) % period
+    return take
+
+
+@op("op13_runs")
+def op13(docs: DataFrame) -> DataFrame:
+    """Runs of six words or more, and four periods or more, in texts some of which got a looped tail."""
+    return runs.summary(docs, least=6, times=4, edit=looped_tails)

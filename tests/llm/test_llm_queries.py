@@ -9,7 +9,7 @@ from oracle_harness import compare
 import __spark_entry__ as entry
 from finlake.llm import queries as llm
 
-NAMES = ["op1_simhash", "op2_mixing", "op3_pii", "op4_bpe", "op5_quality", "op6_langid", "op7_chunks", "op8_linededup", "op9_licenses", "op10_secrets"]
+NAMES = ["op1_simhash", "op2_mixing", "op3_pii", "op4_bpe", "op5_quality", "op6_langid", "op7_chunks", "op8_linededup", "op9_licenses", "op10_secrets", "op11_resample", "op12_toxicity", "op13_runs"]
 
 
 def test_all_registered():
