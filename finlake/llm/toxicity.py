@@ -35,7 +35,7 @@ WINDOW = 24
 SPELLED = 3
 #: The machine is fitted on a bounded sample: at most this many texts of each label, chosen by hash, this
 #: many sentences of each (by hash), and this many segments of a sentence (longer ones are several).
-TEXTS = 1000
+TEXTS = 600
 SENTENCES = 32
 SEGMENTS = 32
 ROUNDS = 8
@@ -170,17 +170,15 @@ def norms(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def kernel(symbol: np.ndarray, offsets: np.ndarray, marks: np.ndarray, mark_offsets: np.ndarray) -> np.ndarray:
     """The normalised kernel of every segment with every landmark."""
     n_marks = len(mark_offsets) - 1
-    table = np.zeros((SYMBOLS**3, n_marks), np.float32)
     s, o, place = by_length(marks, mark_offsets)
     back = np.argsort(place)
+    used = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(codes) for _, _, codes, _ in triples(s, o)]]))
+    where = np.zeros(SYMBOLS**3, np.int32)  # row of the table for each triple of a landmark, 0 for others
+    where[used] = np.arange(len(used)) + 1
+    table = np.zeros((len(used) + 1, n_marks), np.float32)
     for a, b, codes, weight in triples(s, o):
-        size = norms(codes, weight)
-        np.add.at(table, (codes, back[a:b, None]), (weight / size[:, None]).astype(np.float32))
+        np.add.at(table, (where[codes], back[a:b, None]), (weight / norms(codes, weight)[:, None]).astype(np.float32))
     out = np.zeros((len(offsets) - 1, n_marks), np.float32)
-    used = np.flatnonzero(table.any(axis=1))
-    where = np.zeros(SYMBOLS**3, np.int64)
-    where[used] = np.arange(len(used)) + 1
-    table = np.concatenate([np.zeros((1, n_marks), np.float32), table[used]])
     s, o, place = by_length(symbol, offsets)
     back = np.argsort(place)
     for a, b, codes, weight in triples(s, o, 1 << 19):
@@ -309,7 +307,8 @@ def fit(text: list, label: list[int], bags: list[list[bytes]], prior: float) ->
     values, vectors = np.linalg.eigh(grams[marks].astype(float))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    z = (grams @ root.astype(np.float32)).astype(float)
+    z = grams @ root.astype(np.float32)
+    del grams
 
     # segments seen in clean texts count against; the witnesses of toxic sentences count for
     against = np.flatnonzero(having[0] > 0)
@@ -329,7 +328,7 @@ def fit(text: list, label: list[int], bags: list[list[bytes]], prior: float) ->
         c, d = np.sqrt(count), np.sqrt(having[0][against])
         d = d / d.sum() + (AGAINST * hard[against] / hard.sum() if hard.any() else 0)
         weights = _squared_hinge(x, y, np.r_[c / c.sum(), d], weights)
-        decision = z @ weights[:-1] + weights[-1]
+        decision = (z @ weights[:-1].astype(np.float32)).astype(float) + weights[-1]
         hard = np.maximum(hard, _strongest(decision, word, owner, q))
         witness = np.union1d(first, _witnesses(decision, word, bag, owner, q))
 
@@ -386,18 +385,29 @@ def _strongest(decision, word, owner, q) -> np.ndarray:
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray, steps: int = 30) -> np.ndarray:
     """Newton steps on the squared hinge loss, example weights ``c``, bias unpenalised (last weight)."""
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.full(x.shape[1], PENALTY)
+    x = x.astype(np.float32, copy=False)
+    ridge = np.full(x.shape[1] + 1, PENALTY)
     ridge[-1] = 1e-8
+
+    def decide(w: np.ndarray) -> np.ndarray:
+        return (x @ w[:-1].astype(np.float32)).astype(float) + w[-1]
+
     for _ in range(steps):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        step = np.linalg.solve((x[on] * c[on, None]).T @ x[on] + np.diag(ridge), (x[on] * c[on, None]).T @ y[on]) - w
+        gap = 1 - y * decide(w)
+        on = np.flatnonzero(gap > 0)
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for a in range(0, len(on), 4096):  # a block of rows at a time
+            i = on[a : a + 4096]
+            rows = np.column_stack([x[i].astype(float), np.ones(len(i))])
+            some = rows * c[i, None]
+            left += some.T @ rows
+            right += some.T @ y[i]
+        step = np.linalg.solve(left, right) - w
         size, loss = 1.0, (c[on] * gap[on] ** 2).sum() + (ridge * w * w).sum()
         while size > 1e-4:
             new = w + size * step
-            left = np.maximum(1 - y * (x @ new), 0)
-            if (c * left**2).sum() + (ridge * new * new).sum() <= loss:
+            over = np.maximum(1 - y * decide(new), 0)
+            if (c * over**2).sum() + (ridge * new * new).sum() <= loss:
                 break
             size /= 2
         w = new
