@@ -81,6 +81,26 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "customers": ("name",),
     "suppliers": ("name",),
     "inventory": ("name",),
+    "transactions": ("description", "amount"),
+    "payments": ("amount",),
+    "assets": ("name", "amount"),
+    "liabilities": ("name", "amount"),
+    "budgets": ("period", "budget_amount"),
+    "payroll": ("gross_pay",),
+    "profit_loss": ("line_item", "amount"),
+    "market_context": ("topic",),
+}
+# Types without an alias list: their columns carry the field names.
+FIELDS: dict[str, tuple[str, ...]] = {
+    "transactions": ("transaction_date", "description", "category", "amount"),
+    "payments": ("payment_date", "reference", "counterparty", "amount", "currency", "status"),
+    "assets": ("name", "category", "classification", "amount"),
+    "liabilities": ("name", "category", "classification", "amount"),
+    "budgets": ("period", "account", "category", "budget_amount", "actual_amount"),
+    "payroll": ("pay_period", "employee", "gross_pay", "ordinary_time_earnings", "payg_withholding", "superannuation", "net_pay", "currency", "status"),
+    "profit_loss": ("period_start", "period_end", "line_item", "amount", "currency"),
+    "market_context": ("signal_type", "topic", "entity", "geography", "observed_at", "published_at", "value", "unit", "direction",
+                       "source_name", "relevance_score", "estimated_impact"),
 }
 DEFAULT_STATUS = "active"
 
@@ -89,7 +109,8 @@ def mapping_of(columns: Sequence[str], document_type: str, aliases=ALIASES) -> d
     """Field -> column: the first alias that is a column, otherwise the first column that contains any
     alias. ``columns`` are normalised names in sheet order."""
     out = {}
-    for field, names in aliases.get(document_type, {}).items():
+    known = aliases.get(document_type) or {f: (f,) for f in FIELDS.get(document_type, ())}
+    for field, names in known.items():
         exact = (n for n in names if n in columns)
         within = (c for c in columns if any(n in c for n in names))
         column = next(exact, None) or next(within, None)
@@ -126,23 +147,32 @@ def gate(rows: DataFrame, source: str, document_type: str) -> DataFrame:
 
 
 def business_key(document_type: str, field) -> Column:
-    """Key of a record; ``field(name)`` gives a mapped value. Blank keys fall back to the row's hash."""
+    """Key of a record; ``field(name)`` gives a mapped value. Null if all its parts are blank: callers then
+    take the row's hash, so that rows without a key stay apart (a record keyed by blanks alone would be
+    overwritten by the next one)."""
     def pick(name: str) -> Column:
         return F.lower(F.trim(F.coalesce(field(name).cast("string"), F.lit(""))))
 
     def first(*names: str) -> Column:
         return F.coalesce(*[F.nullif(pick(n), F.lit("")) for n in names])
 
-    cents = F.format_string("%.2f", F.coalesce(safe_float(field("amount").cast("string")), F.lit(0.0)))
+    def parts(*names: str, amount: bool = False) -> Column:
+        cents = F.format_string("%.2f", safe_float(F.coalesce(field("amount").cast("string"), F.lit("0"))))
+        return F.when(F.concat(*[pick(n) for n in names]) != "", F.concat_ws("|", *[pick(n) for n in names], *[cents] * amount))
+
+    invoice = lambda: parts("invoice_number", "supplier")
+    dated = lambda: parts("transaction_date", "description", amount=True)
+    statement = lambda: parts("period_end", "line_item")
     formulas = {
-        "customers": lambda: first("code", "name"),
-        "suppliers": lambda: first("code", "name"),
-        "inventory": lambda: first("sku", "name"),
-        "sales_invoices": lambda: F.concat_ws("|", pick("invoice_number"), pick("supplier")),
-        "supplier_invoices": lambda: F.concat_ws("|", pick("invoice_number"), pick("supplier")),
-        "bank_statements": lambda: F.concat_ws("|", pick("transaction_date"), pick("description"), cents),
+        "supplier_invoices": invoice, "sales_invoices": invoice, "invoices": invoice, "transactions": dated, "bank_statements": dated,
+        "payments": lambda: parts("payment_date", "reference", "counterparty", amount=True),
+        "assets": lambda: first("name"), "liabilities": lambda: first("name"), "assets_liabilities": lambda: first("name"),
+        "customers": lambda: first("code", "name"), "suppliers": lambda: first("code", "name"), "inventory": lambda: first("sku", "name"),
+        "budgets": lambda: parts("period", "account", "category"), "payroll": lambda: parts("pay_period", "employee"),
+        "balance_sheet": statement, "profit_loss": statement, "cash_flow_statement": statement,
+        "market_context": lambda: parts("published_at", "topic", "entity", "geography"),
     }
-    return formulas[document_type]()
+    return formulas.get(document_type, lambda: F.lit(None).cast("string"))()
 
 
 def apply_mapping(rows: DataFrame, document_type: str, mapping: dict[str, str] | None = None) -> DataFrame:
