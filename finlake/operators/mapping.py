@@ -49,6 +49,17 @@ ALIASES: dict[str, dict[str, tuple[str, ...]]] = {
         "currency": ("currency", "currency_code"),
         "quantity": ("quantity", "qty", "units"),
     },
+    "invoices": {
+        "invoice_number": ("invoice_number", "invoice_no", "invoice", "bill_number"),
+        "supplier": ("supplier", "vendor", "customer", "client", "company"),
+        "invoice_date": ("invoice_date", "date"),
+        "due_date": ("due_date", "payment_due"),
+        "amount": ("amount", "total", "invoice_total", "amount_due", "grand_total"),
+        "subtotal": ("subtotal", "net_amount", "amount_ex_gst"),
+        "gst_amount": ("gst", "gst_amount", "tax", "tax_amount"),
+        "status": ("status", "payment_status"),
+        "currency": ("currency", "currency_code"),
+    },
     "customers": {
         "code": ("customer_code", "customer_id", "client_id", "code"),
         "name": ("customer", "customer_name", "client", "client_name", "name"),
@@ -78,6 +89,7 @@ REQUIRED: dict[str, tuple[str, ...]] = {
     "bank_statements": ("description",),
     "sales_invoices": ("invoice_number", "amount"),
     "supplier_invoices": ("invoice_number", "amount"),
+    "invoices": ("invoice_number", "amount"),
     "customers": ("name",),
     "suppliers": ("name",),
     "inventory": ("name",),

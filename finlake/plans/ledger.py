@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .. import params as P
 from ..functions import rules as R
-from ..functions.expr import MONEY, first_keyword_class, normalise_text, out_money
+from ..functions.expr import evaluate_once, MONEY, first_keyword_class, normalise_text, out_money
 
 COA_SCHEMA = "code string, name string, account_type string, subtype string, default_tax_code string, active boolean, source string"
 
@@ -39,17 +39,6 @@ def _account_type_map() -> F.Column:
 
 # ----------------------------------------------------------------------------- classification
 
-def evaluate_once(expr: F.Column) -> F.Column:
-    """Optimizer fence for an expensive per-row expression.
-
-    Catalyst pushes later filters through projections by inlining projected expressions; for the
-    rule CASE chain that doubles the work and overflows the 64 KB codegen method limit. Guarding the
-    expression with an always-true nondeterministic predicate (``spark_partition_id() >= 0``) makes
-    its alias non-inlinable, so it is evaluated exactly once per row in one Project.
-    """
-    return F.when(F.spark_partition_id() >= 0, expr)
-
-
 def rule_first_match(df: DataFrame, rules: list[dict] | None = None, supplier: str = "supplier",
                      description: str = "description", amount: str = "amount") -> DataFrame:
     """First matching categorisation rule per row (priority desc, keyword length desc, list order).

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..operators.store import Change, Store
+from ..operators.targets import Sheet, import_batch
 from ..session import checkpoint_dir
 
 SUPPORTED_GLOB = "*.{csv,xlsx,xlsm,pdf}"
@@ -110,6 +112,69 @@ def daily_event_flow_stream(spark: SparkSession, source_dir: str, output: str, c
             .trigger(availableNow=True).start())
 
 
+def upsert_stream(spark: SparkSession, landing: str, schema: str, store: Store, name: str, document_type: str, checkpoint: str, as_of: str):
+    """Uploads that arrive as parquet files (one upload each, with its number in ``upload``) go through the
+    same ``import_batch`` as batch loads. The batch id names stream and upload, so neither a retried micro-batch
+    nor a stream started anew over the same files changes anything."""
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(landing)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.select("upload").distinct().orderBy("upload").collect():  # one file, one upload
+            rows = batch.filter(F.col("upload") == row["upload"]).drop("upload")
+            import_batch(store, f"{name}-{row['upload']}", [Sheet(document_type, rows, f"{document_type}_{row['upload']}.csv")], as_of)
+
+    return src.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# Days of flow: late rows count as long as they are at most this much behind the newest event
+FLOW_WATERMARK = "31 days"
+FLOW_DAYS = "flow_days"
+FLOW_KEYS = ("company_id", "day")
+
+
+def _flows(rows: DataFrame) -> DataFrame:
+    """company_id, ts, inflow and outflow in cents of events (company by user, purchases come in)."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return rows.select(F.concat(F.lit("co-"), F.pmod("user_id", F.lit(5)).cast("string")).alias("company_id"), F.col("ts").cast("timestamp").alias("ts"),
+                       F.when(F.col("event_type") == "purchase", cents).otherwise(0).alias("inflow"),
+                       F.when(F.col("event_type") == "purchase", 0).otherwise(cents).alias("outflow"))
+
+
+def daily_flow(rows: DataFrame) -> DataFrame:
+    """Inflow and outflow in cents by company and day: the batch answer."""
+    return _flows(rows).groupBy("company_id", F.to_date("ts").alias("day")).agg(F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"))
+
+
+def daily_flow_stream(spark: SparkSession, source: str, schema, store: Store, checkpoint: str, glob: str = "*.parquet", watermark: str = FLOW_WATERMARK, max_files: int = 1):
+    """Live inflow and outflow by company and day. State is kept for the days within the watermark only;
+    each trigger merges the days that changed into ``flow_days``. Rows later than the watermark are left out
+    of the live table until ``reconcile_flow`` brings them in."""
+    src = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(source)
+    flow = _flows(src).withWatermark("ts", watermark).groupBy("company_id", F.window("ts", "1 day").alias("w")).agg(
+        F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        days = batch.select("company_id", F.to_date("w.start").alias("day"), "inflow", "outflow")
+        store.commit(f"flow-{batch_id}", {FLOW_DAYS: Change(days, FLOW_KEYS)})
+
+    return flow.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reconcile_flow(store: Store, rows: DataFrame, batch: str) -> bool:
+    """Replace the days on which the live table differs from all rows: the rule for rows that came after the
+    watermark had passed."""
+    live = store.read(FLOW_DAYS, "company_id string, day date, inflow bigint, outflow bigint").withColumnsRenamed({"inflow": "i", "outflow": "o"})
+    days = daily_flow(rows).join(live, list(FLOW_KEYS), "left")
+    wrong = days.filter(~(F.col("inflow").eqNullSafe(F.col("i")) & F.col("outflow").eqNullSafe(F.col("o")))).drop("i", "o")
+    return store.commit(batch, {FLOW_DAYS: Change(wrong, FLOW_KEYS)})
+
+
+def monthly(days: DataFrame) -> DataFrame:
+    """Days of flow as months, in money."""
+    money = lambda c: F.round(F.sum(c).cast("decimal(38,2)") / 100, 2).cast("double").alias(c)
+    return days.groupBy("company_id", F.date_format("day", "yyyy-MM").alias("month")).agg(money("inflow"), money("outflow"))
+
+
 def run_daily_event_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = _area(spark, "daily_event_flow")
     q = daily_event_flow_stream(spark, sf_dir, f"{area}/out", f"{area}/chk")
