@@ -154,8 +154,10 @@ def daily_flow_stream(spark: SparkSession, source: str, schema, store: Store, ch
         F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        days = batch.select("company_id", F.to_date("w.start").alias("day"), "inflow", "outflow")
+        days = batch.select("company_id", F.to_date("w.start").alias("day"), "inflow", "outflow").persist()
+        days.count()  # the state is read and stored once, also when the batch was merged before
         store.commit(f"flow-{batch_id}", {FLOW_DAYS: Change(days, FLOW_KEYS)})
+        days.unpersist()
 
     return flow.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
