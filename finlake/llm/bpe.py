@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, record
 
-#: Encoded words that a worker keeps, slots of its arc table (a power of two), and the longest word in
+#: Text encoded at once; encoded words that a worker keeps, and bytes of text they may have; slots of its arc table (a power of two), and the longest word in
 #: bytes that goes through the table with others; longer ones go alone.
-WORDS_HELD = 300_000
+PIECE_BYTES = 1 << 20
+WORDS_HELD = 150_000
+TEXT_HELD = 16 << 20
 ARC_BITS = 20
 TOGETHER = 48
 NEVER = 1 << 60
@@ -311,13 +313,16 @@ class WordCodec:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.number = [str(i) for i in range(len(label))]
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.size = 0  # characters of the words held
 
     def _prepare(self, chunks: set[str]) -> None:
         """Encode the runs without white space that are not held yet: for each the number of its ids,
         the ids as text, and the decoded text."""
-        if len(self.words) > WORDS_HELD:
+        if len(self.words) > WORDS_HELD or self.size > TEXT_HELD:
             self.words.clear()
+            self.size = 0
         new = [c for c in chunks if c not in self.words]
+        self.size += sum(map(len, new))
         # one pass over all of them; no run contains the line end that stands between them
         text = unicodedata.normalize("NFC", "\n".join(new)).replace("\u03a3", "\u03c3").lower()
         pieces = self.SPLIT.findall(text)
@@ -419,4 +424,4 @@ def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] =
         return record(doc_id=batch.column("doc_id"), n_tokens=pa.array(n, pa.int64()), **{c: make[c]() for c in outputs})
 
     rest = "".join(f", {c} {OUTPUTS[c]}" for c in outputs)
-    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long{rest}")
+    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long{rest}", most=PIECE_BYTES)

@@ -3,6 +3,8 @@ bounded pieces, lineage cuts in the shared checkpoint folder, and size-checked b
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -85,6 +87,21 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE_BYTES) -> Iterato
         start = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages, whose own peaks would
+    otherwise come on top of what this one freed but kept."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not with every C library
+    _TRIM = None
+
+
 def map_texts(
     df: DataFrame,
     work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch],
@@ -102,6 +119,8 @@ def map_texts(
                     yield out
                 else:
                     yield from out
+                del out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
