@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pieces, record, utf8
+from .common import give_back, map_texts, pieces, record, utf8
 
 #: Bytes of a window; embedding size; filter widths and filters of each.
 WINDOW = 128
@@ -209,8 +209,9 @@ def keep_known(docs: DataFrame, network: Network | None, least: float) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 20):
                 names, score = scored(piece.column("text").cast(pa.string()), network)
                 yield piece.filter(pa.array((names != UNKNOWN) & (score >= least)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, LOWER, broadcast_if_small, cut, fresh, map_texts, mixed, pieces, record, text_of, utf8, word_bounds, word_hashes
+from .common import BROADCAST_BYTES, LOWER, broadcast_if_small, cut, fresh, give_back, map_texts, mixed, pieces, record, text_of, utf8, word_bounds, word_hashes
 
 #: Jaccard similarity of the sets of words from which two lines match, and the fewest distinct words of a
 #: line that can be removed or match.
@@ -39,7 +39,7 @@ SAMPLE_LINES = 60_000
 PACKED = 250_000
 
 #: Bytes of text handled at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _NO_ID = (1 << 63) - 1
 _LINE = [("doc", "<i8"), ("h", "<u4"), ("line", "<u4")]
@@ -279,6 +279,7 @@ def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar:
                     size = 0
         if held[0]:
             yield from packed()
+        give_back()
 
     return rows.mapInArrow(work, "part int, kind int, n int, rows binary")
 
