@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines out of the texts that match an earlier line at Jaccard 0.8 or more."""
-    return linededup.dedup(docs)
+    """Take lines of one word or more out of the texts that match an earlier line at Jaccard 0.8 or more."""
+    return linededup.dedup(docs, least=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

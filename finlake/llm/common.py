@@ -39,10 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (cut before) with a broadcast hint if its counted size is below ``limit``; otherwise as
-    it is, for a shuffled join whose skewed partitions Spark splits."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (cut before) with a broadcast hint if its size, added up from ``row_bytes`` (a column where rows
+    differ), is below ``limit``; otherwise as it is, for a shuffled join whose skewed partitions Spark splits."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0 if isinstance(row_bytes, Column) else df.count() * row_bytes
+    return F.broadcast(df) if size <= limit else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -6,10 +6,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, map_texts, pieces, record, utf8
+from .common import cut, give_back, map_texts, pieces, record, utf8
 
 #: Bytes of a window; embedding size; filter widths and filters of each.
 WINDOW = 128
@@ -20,6 +20,8 @@ FILTERS = 8
 #: hash, and this many windows of each.
 TEXTS = 500
 WINDOWS = 4
+#: More languages than this are not learned in part: training stops with an error.
+LANGUAGES = 200
 EPOCHS = 8
 UNKNOWN = "und"
 
@@ -133,14 +135,17 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, texts: int = TEXTS, per_text: int = WINDOWS) -> Network | None:
-    """A network for the languages that labelled rows have, from at most ``texts`` texts of each and
-    ``per_text`` windows of a text (drawn by hash). Null if no row is labelled. The driver gets that
-    many windows, whatever the size of ``docs``."""
+def train(docs: DataFrame, texts: int = TEXTS, per_text: int = WINDOWS, languages: int = LANGUAGES) -> Network | None:
+    """A network for all languages that labelled rows have, from about ``texts`` texts of each (drawn by
+    hash) and ``per_text`` windows of a text; of a language at most ``texts * per_text`` windows, first by
+    hash, reach the driver, whatever the size of ``docs``. Null if no row is labelled; more than
+    ``languages`` languages are an error."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    counts = rows.groupBy("lang").count()
-    share = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(1000).withColumn("share", F.least(F.lit(1.0), F.lit(float(texts)) / F.col("count"))))
+    counts = cut(rows.groupBy("lang").count())
+    if (n := counts.count()) > languages:
+        raise ValueError(f"{n} languages, more than the {languages} that are learned: raise `languages` or clean `lang`")
+    share = F.broadcast(counts.withColumn("share", F.least(F.lit(1.0), F.lit(float(texts)) / F.col("count"))))
     drawn = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * float(1 << 30)).select("lang", "text", "h")
 
     def cut_windows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,14 +158,15 @@ def train(docs: DataFrame, texts: int = TEXTS, per_text: int = WINDOWS) -> Netwo
         return record(lang=batch.column("lang").take(pa.array(of[take])), h=h[of[take]], x=pa.array([w.tobytes() for w in x[take]], pa.binary()))
 
     sample = map_texts(drawn, cut_windows, "lang string, h long, x binary").dropDuplicates(["h", "x"])
-    got = sample.limit(2 * texts * per_text * 50).toArrow().to_pydict()
+    turn = Window.partitionBy("lang").orderBy("h", "x")  # about texts * per_text windows of a language
+    got = sample.withColumn("r", F.row_number().over(turn)).filter(F.col("r") <= texts * per_text).toArrow().to_pydict()
     if not got["x"]:
         return None
     order = sorted(range(len(got["x"])), key=lambda i: (got["h"][i], got["x"][i], got["lang"][i]))
-    languages = sorted(set(got["lang"]))
+    names = sorted(set(got["lang"]))
     x = np.frombuffer(b"".join(got["x"][i] for i in order), np.uint8).reshape(-1, WINDOW)
-    y = np.array([languages.index(got["lang"][i]) for i in order])
-    network = Network(languages)
+    y = np.array([names.index(got["lang"][i]) for i in order])
+    network = Network(names)
     network.fit(x, y)
     return network
 

@@ -36,7 +36,8 @@ TEMPLATES = (
 #: Share of a template's distinct words that a block must hold.
 CONTAINED = 0.8
 #: A block is a line; longer lines, and whole texts where blocks go ``across`` line ends, are blocks of this
-#: many words, each begun half-way through the one before.
+#: many words, each begun half-way through the one before. For templates of more than half as many words
+#: blocks are twice, four times, ... as long, so that some block holds any stretch of a template's length.
 BLOCK_WORDS = 64
 
 
@@ -93,23 +94,29 @@ class Join:
         order = sorted(counts, key=lambda w: (counts[w], w))
         rank = {w: i for i, w in enumerate(order)}
         self.vocabulary = Vocabulary(order)
+        #: For each length of blocks the first words of its templates, with template and place.
         self.templates, self.by_prefix = [], {}
         for k, (label, text) in enumerate(templates):
-            own = sorted({rank[w] for w in text.split()})
+            words = text.split()
+            own = sorted({rank[w] for w in words})
             need = max(1, ceil(contained * len(own) - 1e-9))
             self.templates.append((label, own, need, set(own)))
-            for place in range(len(own) - need + 1):
-                self.by_prefix.setdefault(own[place], []).append((k, place))
-        self.prefix = np.zeros(len(order) + 1, bool)  # the last entry serves words that are in no template
-        self.prefix[list(self.by_prefix)] = True
-
-    def matches(self, block: list[int], size: int) -> list[tuple[int, float]]:
-        """Templates that a block (ranks of its template words; ``size`` distinct words in all) holds to
-        the needed share."""
+            length = BLOCK_WORDS
+            while length < 2 * len(words):
+                length *= 2
+            for place in range(len(own) - need + 1 if own else 0):
+                self.by_prefix.setdefault(length, {}).setdefault(own[place], []).append((k, place))
+        self.prefix = {length: np.zeros(len(order) + 1, bool) for length in self.by_prefix}  # the last entry serves words that are in no template
+        for length, first in self.by_prefix.items():
+            self.prefix[length][list(first)] = True
+
+    def matches(self, block: list[int], size: int, length: int) -> list[tuple[int, float]]:
+        """Templates of blocks of this ``length`` that a block (ranks of its template words; ``size`` distinct
+        words in all) holds to the needed share."""
         own = sorted(set(block))
         have, seen, out = set(own), set(), []
         for place, w in enumerate(own):
-            for k, at in self.by_prefix.get(w, ()):
+            for k, at in self.by_prefix[length].get(w, ()):
                 if k in seen:
                     continue
                 label, words, need, whole = self.templates[k]
@@ -155,29 +162,24 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, contained: float
         ranks = join.vocabulary.find(hashes)
         # lines: a word's line is told by the line ends before it and by its text
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
-        hits = np.flatnonzero(join.prefix[ranks])
         edge = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        spans = set()
-        for e in np.unique(np.searchsorted(edge, hits, side="right") - 1).tolist():
-            a, b = int(edge[e]), int(edge[e + 1]) if e + 1 < len(edge) else total
-            at = a
-            while True:
-                stop = min(at + BLOCK_WORDS, b)
-                spans.add((at, stop))
-                if stop == b:
-                    break
-                at += BLOCK_WORDS // 2
-        if across and len(hits):  # a window holds a template's first word, and each word stands in two at most
-            half, first = BLOCK_WORDS // 2, before[doc[hits]]
-            last = (hits - first) // half
-            for k in (last, last - 1):
-                at, end = first + k * half, before[doc[hits] + 1]
-                spans.update(zip(at[k >= 0].tolist(), np.minimum(at + BLOCK_WORDS, end)[k >= 0].tolist(), strict=True))
-        for at, stop in sorted(spans):
-            own = ranks[at:stop]
-            for k, share in join.matches(own[own >= 0].tolist(), len(np.unique(hashes[at:stop]))):
-                first = int(before[doc[at]])
-                blocks[doc[at]].append({"label": join.templates[k][0], "first": at - first, "last": stop - 1 - first, "share": share})
+        for length, prefix in join.prefix.items():
+            half, hits = length // 2, np.flatnonzero(prefix[ranks])
+            spans = set()
+            for e in np.unique(np.searchsorted(edge, hits, side="right") - 1).tolist():
+                a, b = int(edge[e]), int(edge[e + 1]) if e + 1 < len(edge) else total
+                spans.update((at, min(at + length, b)) for at in range(a, max(b - half, a + 1), half))
+            if across and len(hits):  # a window holds a template's first word, and each word stands in two at most
+                first = before[doc[hits]]
+                last = (hits - first) // half
+                for k in (last, last - 1):
+                    at, end = first + k * half, before[doc[hits] + 1]
+                    spans.update(zip(at[k >= 0].tolist(), np.minimum(at + length, end)[k >= 0].tolist(), strict=True))
+            for at, stop in sorted(spans):
+                own = ranks[at:stop]
+                for k, share in join.matches(own[own >= 0].tolist(), len(np.unique(hashes[at:stop])), length):
+                    first = int(before[doc[at]])
+                    blocks[doc[at]].append({"label": join.templates[k][0], "first": at - first, "last": stop - 1 - first, "share": share})
         return record(doc_id=batch.column("doc_id"), n_words=np.diff(before).astype(np.int64), base=pa.array(base, base_type), blocks=pa.array(blocks, block_type))
 
     schema = f"doc_id {kind}, n_words long, base array<struct<label:string,start:long>>, blocks array<struct<label:string,first:long,last:long,share:double>>"

@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity self-join of all lines of all texts. A line's distinct words are
 ordered by rarity; lines that reach the similarity share one of their first (rarest) words, and the
 lengths of two lines, the places of the shared word and a parity sketch bound what they can share. What is left
-is verified on the lines' words. Of two lines that match, the later one is removed.
+is verified on the lines' words (their 64-bit hashes); that two sets are equal is told by 96 bits, two sums
+over all these hashes. Of two lines that match, the later one is removed.
 
 Lines are in order of doc_id, then (for rows with the same doc_id) a hash of the text, then the line's
 number; a line is removed if it matches any line before it, removed or not.
@@ -22,7 +23,7 @@ from .common import BROADCAST_BYTES, LOWER, broadcast_if_small, cut, fresh, give
 #: Jaccard similarity of the sets of words from which two lines match, and the fewest distinct words of a
 #: line that can be removed or match.
 SIMILAR = 0.8
-LEAST_WORDS = 4
+LEAST_WORDS = 1
 #: Rarity comes from a table of hashed counts of fixed size (a power of two). Any order is right; the
 #: better the counts, the fewer candidates.
 TABLE_BITS = 20
@@ -46,7 +47,7 @@ _LINE = [("doc", "<i8"), ("h", "<u4"), ("line", "<u4")]
 #: A line under one of its first words (a sketch of 96 bits, a digest of its set of words, its size, the
 #: word's place) and a line under its whole set of words.
 _PREFIX = np.dtype([("key", "<u4"), *_LINE, ("hi", "<u4"), ("lo", "<u8"), ("own", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("side", "u1")])
-_EXACT = np.dtype([("key", "<u8"), *_LINE])
+_EXACT = np.dtype([("key", "<u8"), ("check", "<u4"), *_LINE])
 _KINDS = (_PREFIX, _EXACT)
 
 
@@ -92,19 +93,35 @@ class Lines:
         self.doc = doc[head]
         self.number = line[head] - np.searchsorted(stops, offsets[:-1])[self.doc]
 
-    def sets(self, rarity: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(lines, first, tokens)``: for runs of lines their indices, where each one's tokens begin, and
-        all tokens, distinct within a line, by rarity and then by hash."""
+    def sets(self, rarity: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(lines, first, tokens, words)``: for runs of lines their indices, where each one's words begin, and
+        all words, distinct within a line, by rarity and then by hash: 43 bits that tell their order, and the
+        whole hashes."""
         for a in range(0, len(self.doc), step):
             b = min(a + step, len(self.doc))
             lo, hi = np.searchsorted(self.of, a), np.searchsorted(self.of, b)
             words, of = self.words[lo:hi], (self.of[lo:hi] - a).astype(np.uint64)
             level = rarity[words >> np.uint64(64 - TABLE_BITS)].astype(np.uint64)
-            key = np.sort(of << np.uint64(43) | level << np.uint64(37) | words & np.uint64((1 << 37) - 1))
-            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+            raw = of << np.uint64(43) | level << np.uint64(37) | words & np.uint64((1 << 37) - 1)
+            order = np.argsort(raw)
+            key, words = raw[order], words[order]
+            if (words[1:] != words[:-1])[key[1:] == key[:-1]].any():  # two words of a line that are alike in 37 bits
+                order = np.lexsort((self.words[lo:hi], raw))
+                key, words = raw[order], self.words[lo:hi][order]
+            new = np.r_[True, (key[1:] != key[:-1]) | (words[1:] != words[:-1])] if len(key) else np.zeros(0, bool)
+            key, words = key[new], words[new]
             of = (key >> np.uint64(43)).astype(np.int64)
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
-            yield np.arange(a, b), first, key & np.uint64((1 << 43) - 1)
+            yield np.arange(a, b), first, key & np.uint64((1 << 43) - 1), words
+
+
+def _sums(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent digests of each set of words, 64 bits each."""
+    size = np.diff(np.r_[first, len(words)]).astype(np.uint64)
+    one, two = mixed(words), mixed(words ^ np.uint64(0x9E3779B97F4A7C15))
+    if len(first):
+        one, two = np.add.reduceat(one, first), np.add.reduceat(two, first)
+    return mixed(one + size), mixed(two + size)
 
 
 def _pack(rows: np.ndarray) -> bytes:
@@ -164,12 +181,13 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def _prefixes(x: Lines, levels: np.ndarray, similar: float, least: int):
-    """For runs of lines with ``least`` or more distinct words: their indices, sizes, set hashes, parity
-    sketches (32 and 64 bits), and for all prefix words their line (index into these), place and token."""
-    for lines, first, tokens in x.sets(levels):
+    """For runs of lines with ``least`` or more distinct words: their indices, sizes, digests of their sets (64
+    and 32 bits), parity sketches (32 and 64 bits), and for all prefix words their line (index into these),
+    place and token."""
+    for lines, first, tokens, words in x.sets(levels):
         size = np.diff(np.r_[first, len(tokens)])
+        own, check = _sums(words, first)
         spread = mixed(tokens)
-        own = np.add.reduceat(spread, first) if len(first) else spread
         place = (spread >> np.uint64(8)) % np.uint64(96)
         bit = np.uint64(1) << (place & np.uint64(63))
         high = place >> np.uint64(6)
@@ -180,7 +198,7 @@ def _prefixes(x: Lines, levels: np.ndarray, similar: float, least: int):
         n = np.where(size[big] >= similar * (size[big] + 1) - 1e-9, size[big] - _ceil(similar * size[big]) + 1, 0)
         of = np.repeat(np.arange(len(big)), n)
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        yield lines[big], size[big], mixed(own[big] + size[big].astype(np.uint64)), hi[big], lo[big], of, place, tokens[first[big][of] + place] & np.uint64((1 << 37) - 1)
+        yield lines[big], size[big], own[big], (check[big] >> np.uint64(32)).astype(np.uint32), hi[big], lo[big], of, place, tokens[first[big][of] + place] & np.uint64((1 << 37) - 1)
 
 
 def common_first_words(docs: DataFrame, levels: np.ndarray, lines: int, similar: float, least: int, cell_rows: int) -> dict[int, int]:
@@ -218,19 +236,19 @@ def entries(rows: DataFrame, levels: np.ndarray, parts: dict[int, int], similar:
     def enter(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         x = Lines(batch.column("text"))
         docs_, hashes = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
-        for lines, size, own, hi, lo, of, place, token in _prefixes(x, levels, similar, least):
+        for lines, size, own, check, hi, lo, of, place, token in _prefixes(x, levels, similar, least):
             e = np.zeros(len(lines), _PREFIX)
             e["doc"], e["h"], e["line"] = docs_[x.doc[lines]], hashes[x.doc[lines]], x.number[lines]
             e["hi"], e["lo"], e["size"], e["own"] = hi, lo, size, own & np.uint64(0xFFFFFFFF)
-            order = np.lexsort((e["line"], e["h"], e["doc"], own))
+            order = np.lexsort((e["line"], e["h"], e["doc"], check, own))
             a, b = e[order][:-1], e[order][1:]
-            same = own[order][:-1] == own[order][1:]
+            same = (own[order][:-1] == own[order][1:]) & (check[order][:-1] == check[order][1:])
             stays, twin = np.ones(len(lines), bool), np.zeros(len(lines), bool)
             stays[order[1:][same]] = False
             # a document in two rows is one document: a line does not come after itself
             twin[order[1:][same & (a["doc"] == b["doc"]) & (a["h"] == b["h"]) & (a["line"] == b["line"])]] = True
             exact = np.zeros(len(lines), _EXACT)
-            exact["key"] = own
+            exact["key"], exact["check"] = own, check
             for c in ("doc", "h", "line"):
                 exact[c] = e[c]
             keep = stays[of]
@@ -394,9 +412,9 @@ def _pairs(found: DataFrame, similar: float, most: int, tasks: int, only: np.nda
             own = {k: [_unpack(rows, _KINDS[abs(k)], n) for kind, n, rows in blobs if kind == k] for k in (0, 1, -1)}
             prefix, exact, done = (np.concatenate([np.zeros(0, _KINDS[abs(k)]), *own[k]]) for k in (0, 1, -1))
             yield _out(done, None, False)
-            x = exact[np.lexsort((exact["line"], exact["h"], exact["doc"], exact["key"]))]
+            x = exact[np.lexsort((exact["line"], exact["h"], exact["doc"], exact["check"], exact["key"]))]
             if len(x):
-                first = np.flatnonzero(np.r_[True, x["key"][1:] != x["key"][:-1]])
+                first = np.flatnonzero(np.r_[True, (x["key"][1:] != x["key"][:-1]) | (x["check"][1:] != x["check"][:-1])])
                 of = np.repeat(first, np.diff(np.r_[first, len(x)]))
                 yield _out(x[_later(x, of, np.arange(len(x)))], None, False)
             late, early, differ, more = candidates(prefix["key"], prefix, similar, most, only)
@@ -423,7 +441,7 @@ def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(doc, h, line, words)`` of the wanted lines: the sorted hashes of their distinct words."""
     by_doc = cut(wanted.groupBy("doc", "h").agg(F.collect_set("line").alias("lines")))
     rows = rows.withColumnRenamed("doc", "d").withColumnRenamed("h", "dh")
-    side = broadcast_if_small(by_doc, 64)
+    side = broadcast_if_small(by_doc, 64 + 8 * F.size("lines"))
     rows = rows.join(side, (F.col("d") == F.col("doc")) & (F.col("dh") == F.col("h"))).select("doc", "h", "lines", "text").dropDuplicates(["doc", "h"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -445,10 +463,8 @@ def _line_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_texts(rows, work, "doc long, h long, line long, words binary", most=PIECE)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+def _verified(words: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     """``(doc, h, line)`` of later lines with a pair that reaches the similarity."""
-    lines = pairs.select("doc", "h", "line").union(pairs.select("doc2", "h2", "line2")).distinct()
-    words = cut(_line_words(rows, lines))
     second = words.select(F.col("doc").alias("doc2"), F.col("h").alias("h2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["doc", "h", "line"]).join(second, ["doc2", "h2", "line2"]).select("doc", "h", "line", "words", "words2")
 
@@ -464,7 +480,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return both.mapInArrow(work, "doc long, h long, line long").distinct()
 
 
-def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar: float) -> tuple[dict[str, np.ndarray] | None, np.ndarray | None]:
+def _first_words(wanted: DataFrame, levels: np.ndarray, similar: float) -> tuple[dict[str, np.ndarray] | None, np.ndarray | None]:
     """First words of the wanted lines (sorted tokens, with the least and most size and the last doc of the
     lines that have them) and the sorted digests of their sets, for the driver to hand out; none if there
     are too many."""
@@ -474,15 +490,15 @@ def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar
             for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = np.frombuffer(raw, np.uint64)
                 level = levels[words >> np.uint64(64 - TABLE_BITS)].astype(np.uint64)
-                tokens = np.unique(level << np.uint64(37) | words & np.uint64((1 << 37) - 1))
+                tokens = np.sort(level << np.uint64(37) | words & np.uint64((1 << 37) - 1))
                 n = len(tokens)
-                own = mixed(np.array([mixed(tokens).sum(dtype=np.uint64) + np.uint64(n)])) & np.uint64(0xFFFFFFFF)
-                first = tokens[: n - int(np.ceil(similar * n - 1e-9)) + 1] & np.uint64((1 << 37) - 1)
+                own = _sums(words, np.zeros(1, np.int64))[0] & np.uint64(0xFFFFFFFF)
+                first = np.unique(tokens[: n - int(np.ceil(similar * n - 1e-9)) + 1] & np.uint64((1 << 37) - 1))
                 v = np.concatenate([first, own]).astype(np.int64)
                 kind = np.r_[np.zeros(len(first), np.int32), np.ones(1, np.int32)]
                 yield record(kind=kind, v=v, size=np.full(len(v), n, np.int64), doc=np.full(len(v), doc, np.int64))
 
-    found = _line_words(rows, wanted).select("doc", "words").mapInArrow(work, "kind int, v long, size long, doc long")
+    found = wanted.select("doc", "words").mapInArrow(work, "kind int, v long, size long, doc long")
     found = cut(found.groupBy("kind", "v").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("doc").alias("last")))
     if found.count() * 32 > BROADCAST_BYTES:
         return None, None
@@ -495,9 +511,13 @@ def _first_words(rows: DataFrame, wanted: DataFrame, levels: np.ndarray, similar
 def later_matches(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(doc, h, line)`` of all lines that match an earlier one; ``doc`` is the doc_id (null: the largest
     long), ``h`` a hash of the text, or 0 if doc_id alone tells all texts apart."""
+    return _matches(docs, _keyed(docs), similar, least, cell_rows)
+
+
+def _matches(docs: DataFrame, keyed: bool, similar: float, least: int, cell_rows: int) -> DataFrame:
     levels, lines, words = rarity(docs)
     parts = common_first_words(docs, levels, lines, similar, least, cell_rows)
-    rows = _rows(docs, _keyed(docs))
+    rows = _rows(docs, keyed)
     # first words are about one word in five; four parts for each task even out their sizes
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // 5 // (4 * PACKED))
     key = ["doc", "h", "line"]
@@ -511,13 +531,15 @@ def later_matches(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_
     near = cut(near.join(settled, key, "left_anti"))
     most = 1
     while not near.isEmpty():
-        settled = cut(settled.union(_verified(rows, cut(near.select(*key, "c.doc2", "c.h2", "c.line2")), similar)))
+        tried = cut(near.select(*key, "c.doc2", "c.h2", "c.line2"))
+        held = cut(_line_words(rows, tried.select(key).union(tried.select("doc2", "h2", "line2")).distinct()))
+        settled = cut(settled.union(_verified(held, tried, similar)))
         open_lines = cut(near.filter("more").select(key).distinct().join(settled, key, "left_anti"))
         if open_lines.isEmpty():
             break
         # lines with other candidates: the same again with more of them, by these lines' first words alone
         most *= MORE
-        first, sets = _first_words(rows, open_lines, levels, similar)
+        first, sets = _first_words(held.join(open_lines, key, "left_semi"), levels, similar)
         pairs = _pairs(entries(rows, levels, parts, similar, least, 4 * tasks, first), similar, most, tasks, sets)
         near = pairs.filter("doc2 is not null").select(*key, F.struct("doc2", "h2", "line2").alias("c"), "more").distinct()
         near = cut(near.join(open_lines, key, "left_semi"))
@@ -531,11 +553,12 @@ def dedup(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_WORDS, c
     Lines end at line feeds; lines with fewer than ``least`` distinct words always stay. Null and empty
     texts stay as they are; a text may end up empty. Rows that repeat a doc_id with the same text count
     as one document and are treated alike."""
-    flagged = later_matches(docs, similar, least, cell_rows)
+    keyed = _keyed(docs)
+    flagged = _matches(docs, keyed, similar, least, cell_rows)
     by_doc = cut(flagged.groupBy("doc", "h").agg(F.collect_set("line").alias("lines")))
     doc, h, lines, removed, n_lines = fresh(docs, "doc", "h", "lines", "n_removed", "n_lines")
-    side = broadcast_if_small(by_doc.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("lines").alias(lines)), 96)
-    on = (_doc() == F.col(doc)) & (_hash(_keyed(docs)) == F.col(h))
+    side = broadcast_if_small(by_doc.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("lines").alias(lines)), 96 + 8 * F.size(lines))
+    on = (_doc() == F.col(doc)) & (_hash(keyed) == F.col(h))
     plain = docs.join(side, on, "left_anti")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text").cast("string"), F.lit("\n")) + 1).cast("long")
     cutting = docs.join(side, on).drop(doc, h).withColumn(n_lines, n).withColumn(removed, F.size(lines).cast("long"))

@@ -4,7 +4,10 @@ functions only.
 Seeds are the values that the fixed patterns find at the start of a word. The words before a seed are its
 lexical pattern. In each round Spark scores the bipartite graph of patterns and the words that follow
 them: a pattern's confidence for a kind is the share of its occurrences that a known instance of that kind
-follows, weighted by score; a word's score is one minus the product of what its patterns leave in doubt. Words that look like identifiers and score enough become instances of the next round.
+follows, weighted by score; a word's score is one minus the product of what its patterns leave in doubt.
+Words that look like identifiers and score enough become instances of the next round, whose patterns are
+followed in turn, until a round finds nothing new. An instance keeps the kind and the score with which it
+was found; scores of patterns only grow, so the rounds end.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ from .native import joined, matches, outside, placed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Contexts are the one or two words before; a pattern needs SUPPORT distinct instances and CONFIDENCE;
-#: a new instance needs SCORE; at most ROUNDS rounds.
+#: a new instance needs SCORE.
 SUPPORT = 4
 CONFIDENCE = 0.7
 SCORE = 0.7
-ROUNDS = 3
 #: Characters kept of what stands before a match: enough for the words of a context. A longer word is no
 #: context word.
 LEFT = 80
@@ -90,7 +92,7 @@ def _degrees(docs: DataFrame, able: DataFrame) -> DataFrame:
     upto = lambda first, less: F.slice("w", first, F.greatest(F.lit(0), F.size("w") - less))
     two = F.zip_with(upto(1, 2), upto(2, 2), lambda a, b: F.concat_ws(" ", a, b))
     each = words.select(F.explode(F.concat(upto(1, 1), two)).alias("pattern"))
-    return each.join(broadcast_if_small(able, 64), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
+    return each.join(broadcast_if_small(able, 64 + F.octet_length("pattern")), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def _weighted(rows: DataFrame, many: DataFrame) -> DataFrame:
@@ -108,50 +110,57 @@ def _learned(docs: DataFrame, bodies: DataFrame, many: DataFrame, base: DataFram
     Only ``bodies`` can hold one; how often a pattern stands is counted over all rows of ``docs``, and ``many``
     has the copies of texts that stand in several."""
     seeds = cut(_seeds(_weighted(base, many)))
-    # only patterns that can reach the support need to be followed
-    able = cut(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= SUPPORT).select("pattern"))
-    empty = base.select("key", "kind", "value", "start", "end").limit(0)
-    if able.isEmpty():
-        return empty
-    follow = _words(bodies).select("key", "value", "start", "end", F.explode(_two(F.col("one"), F.col("two"))).alias("pattern"))
-    follow = follow.join(broadcast_if_small(able, 64), "pattern").withColumn("core", F.regexp_extract("value", _CORE, 0))
-    degree = cut(_degrees(docs, able))
-    odd_words = cut(_weighted(follow.filter(F.col("core").rlike("[0-9@]")), many))
-    known = seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0))
-    odd = odd_words.groupBy("pattern", F.lower("core").alias("value")).agg(F.sum("copies").alias("n"))
-    sown = seeds.join(broadcast_if_small(able, 64), "pattern").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+    if seeds.isEmpty():
+        return base.select("key", "kind", "value", "start", "end").limit(0)
+    odd = _words(bodies).withColumn("core", F.regexp_extract("value", _CORE, 0)).filter(F.col("core").rlike("[0-9@]") & F.col("one").isNotNull())
+    odd_words = cut(_weighted(odd, many))
+    places = odd_words.withColumn("pattern", F.explode(_two(F.col("one"), F.col("two"))))
+    met = places.groupBy("pattern", F.lower("core").alias("value")).agg(F.sum("copies").alias("n")).withColumn("stood", F.col("n"))
+    sown = seeds.groupBy("pattern", "value").agg(F.sum("n").alias("n")).withColumn("stood", F.lit(0).cast("long"))
     # a seed's word is also a word that looks like an identifier: each edge counts once
-    graph = cut(odd.union(sown).groupBy("pattern", "value").agg(F.max("n").alias("n")))
-    accepted, size = None, -1
-    for _ in range(ROUNDS):
-        sums = graph.join(known, "value").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("sum"), F.count(F.lit(1)).alias("support"))
-        accepted = cut(sums.join(degree, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / F.col("degree"))).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence"))
+    graph = cut(met.union(sown).groupBy("pattern", "value").agg(F.max("n").alias("n"), F.max("stood").alias("stood")))
+    # a pattern of few words never reaches the support; ``least``: it stands at least as often as these words
+    wide = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("stood").alias("least")).filter(F.col("values") >= SUPPORT)
+    graph = cut(graph.join(wide, "pattern").select("pattern", "value", "n", "least"))
+    known = cut(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)))
+    degree = None
+    while True:
+        sums = graph.join(known, "value").groupBy("pattern", "kind").agg(F.round(F.sum(F.col("score") * F.col("n")), 6).alias("sum"), F.count(F.lit(1)).alias("support"), F.max("least").alias("least"))
+        sums = cut(sums.filter((F.col("support") >= SUPPORT) & (F.col("sum") >= F.col("least") * CONFIDENCE)))
+        # occurrences are counted once for each pattern that comes so far
+        ahead = sums.select("pattern").distinct()
+        ahead = cut(ahead if degree is None else ahead.join(degree, "pattern", "left_anti"))
+        if not ahead.isEmpty():
+            counted = ahead.join(_degrees(docs, ahead), "pattern", "left").select("pattern", F.coalesce("degree", F.lit(0)).alias("degree"))
+            degree = cut(counted if degree is None else degree.union(counted))
+        if degree is None:
+            return base.select("key", "kind", "value", "start", "end").limit(0)
+        scored = sums.join(degree.filter("degree > 0"), "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / F.col("degree")))
+        accepted = cut(scored.filter(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
-        scored = graph.join(accepted, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score")).filter(F.col("score") >= SCORE)
-        best = Window.partitionBy("value").orderBy(F.desc("score"), "kind")
-        new = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
-        fresh_ones = new.join(seeds.select("value").distinct(), "value", "left_anti").select("kind", "value", "score")
-        known = cut(seeds.select("kind", "value").distinct().withColumn("score", F.lit(1.0)).union(fresh_ones))
-        n = known.count()
-        if n == size:
+        values = graph.join(accepted, "pattern").groupBy("value", "kind").agg(F.round(1 - doubt, 9).alias("score")).filter(F.col("score") >= SCORE)
+        best = values.groupBy("value").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("kind"))).alias("b")).select("b.kind", "value", (-F.col("b.less")).alias("score"))
+        new = cut(best.join(known.select("value").distinct(), "value", "left_anti").select("kind", "value", "score"))
+        if new.isEmpty():
             break
-        size = n
+        known = cut(known.union(new))
     names = known.select(F.col("kind").alias("known_kind"), F.col("value").alias("known_value"))
-    found = odd_words.join(accepted, "pattern").join(names, (F.lower("core") == F.col("known_value")) & (F.col("kind") == F.col("known_kind")))
+    found = places.join(accepted, "pattern").join(names, (F.lower("core") == F.col("known_value")) & (F.col("kind") == F.col("known_kind")))
     at = F.col("start") + F.instr("value", F.col("core")) - 1
     spans = found.select("key", "kind", F.col("core").alias("value"), at.alias("start"), (at + F.length("core")).alias("end")).distinct()
     return outside(spans, base)
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(rows, base, more)``: (doc_id, key) of each row, and the spans (key, kind, value, start, end) of
-    the fixed patterns and of the contexts, once for each distinct text."""
+    """``(rows, base, more)``: (doc_id, key) of each row, the key null where the text has neither digit nor at
+    sign, and the spans (key, kind, value, start, end) of the fixed patterns and of the contexts, once for each
+    distinct text."""
     marked = cut(_marked(docs))
     texts = cut(marked.filter("body is not null").drop("doc_id").dropDuplicates(["key"]))
     base = cut(placed(texts, {k: k for k in KINDS}).filter(_holds(F.col("kind"), F.col("value"))))
     many = cut(marked.filter("body is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     more = cut(_learned(docs, texts.select("key", "body"), many, base))
-    return marked.select("doc_id", "key"), base, more
+    return marked.select("doc_id", F.when(F.col("body").isNotNull(), F.col("key")).alias("key")), base, more
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -164,7 +173,8 @@ def summary(docs: DataFrame) -> DataFrame:
     every = base.select("key", "kind", "start", "end", F.lit(True).alias("base")).union(more.select("key", "kind", "start", "end", F.lit(False)))
     counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS]
     per_text = every.groupBy("key").agg(*counts, joined(every, list(KINDS), "base_spans", where=F.col("base")), joined(every, list(KINDS), "spans"))
-    out = rows.join(per_text, "key", "left")
+    # rows that can hold no span are many, often of one text, and need no join
+    out = rows.filter("key is not null").join(per_text, "key", "left").unionByName(rows.filter("key is null"), allowMissingColumns=True)
     return out.select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],

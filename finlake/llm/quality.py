@@ -15,12 +15,14 @@ from .common import map_texts, mixed, record, utf8, word_bounds, word_hashes
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 CONTENT = 0.5
-#: The field is fitted on a bounded sample: at most this many labelled texts (by hash), cut into runs of
-#: at most this many lines, and this many runs of a text.
+#: The field is fitted on a bounded sample: at most this many labelled texts (by hash), and of each one run
+#: of at most this many lines, drawn by hash among all runs of the text.
 TEXTS = 2000
 RUN_LINES = 24
-RUNS = 1
 STEPS = 100
+#: A line that this many texts of the sample have is boilerplate in a good text too, unless such lines hold
+#: half of the run's words or more: then the text is a copy.
+SHARED = 3
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -86,7 +88,8 @@ class Lines:
         w0, w1 = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
         self.line_words = w1 - w0
         with np.errstate(over="ignore"):
-            line_key = mixed(word_hashes(data, line_start, line_end) ^ mixed(line_doc.astype(np.uint64) + np.uint64(7))) if len(data) else np.zeros(len(line_doc), np.uint64)
+            self.line_hash = word_hashes(data, line_start, line_end) if len(data) else np.zeros(len(line_doc), np.uint64)
+            line_key = mixed(self.line_hash ^ mixed(line_doc.astype(np.uint64) + np.uint64(7)))
         worded = np.flatnonzero(self.line_words > 0)
         _, earliest = np.unique(line_key[worded], return_index=True)
         copy = np.ones(len(worded), bool)
@@ -160,18 +163,20 @@ class Field:
             label[head[:m] + k - 1] = now[:m]
         return label
 
-    def fit(self, features: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: float = 0.1, penalty: float = 1e-3) -> None:
-        """Maximum likelihood by Adam over runs of lines that share their text's label; the expected
-        counts come from forward and backward sums over all runs at once."""
+    def fit(self, features: list[np.ndarray], labels: list[np.ndarray], steps: int = STEPS, rate: float = 0.1, penalty: float = 1e-3) -> None:
+        """Maximum likelihood by Adam over runs of labelled lines; the expected counts come from forward
+        and backward sums over all runs at once."""
         longest = max(len(f) for f in features)
         n, kinds = len(features), features[0].shape[1]
         x = np.zeros((n, longest, kinds), np.int64)
         size = np.array([len(f) for f in features])
-        for i, f in enumerate(features):
-            x[i, : len(f)] = f
+        y = np.zeros((n, longest), np.int64)
+        for i, (f, own) in enumerate(zip(features, labels, strict=True)):
+            x[i, : len(f)], y[i, : len(f)] = f, own
         here = np.arange(longest)[None] < size[:, None]
-        y = np.array(labels)
         total = here.sum()
+        truth = np.eye(2)[y] * here[:, :, None]
+        changes = np.bincount((2 * y[:, :-1] + y[:, 1:])[here[:, 1:]], minlength=4).reshape(2, 2)
         p = {"emit": self.emit, "step": self.step, "start": self.start}
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v = {k: np.zeros_like(w) for k, w in p.items()}
@@ -191,14 +196,10 @@ class Field:
             node = np.exp(ahead + behind - z[:, None, None]) * here[:, :, None]
             pair = ahead[:, :-1, :, None] + p["step"] + (score[:, 1:] + behind[:, 1:])[:, :, None, :]
             pair = np.exp(pair - z[:, None, None, None]) * here[:, 1:, None, None]
-            truth = np.zeros_like(node)
-            truth[np.arange(n), :, y] = here
             off = node - truth
-            g = {"emit": np.zeros_like(p["emit"]), "step": pair.sum(axis=(0, 1)), "start": off[:, 0].sum(axis=0)}
+            g = {"emit": np.zeros_like(p["emit"]), "step": pair.sum(axis=(0, 1)) - changes, "start": off[:, 0].sum(axis=0)}
             for c in range(2):
                 g["emit"][:, c] = np.bincount(x.reshape(-1), np.repeat(off[:, :, c].reshape(-1), kinds), len(p["emit"]))
-            for c in range(2):
-                g["step"][c, c] -= (np.maximum(size - 1, 0) * (y == c)).sum()
             for k in p:
                 grad = g[k] / total + penalty * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * grad
@@ -206,36 +207,69 @@ class Field:
                 p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
 
+def line_labels(quality: np.ndarray, keys: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
+    """Labels of the lines of runs (one of a text) from their texts' labels, the lines' hashes and numbers of
+    words. All lines of a low-quality text are boilerplate; so are lines of a good one that ``SHARED`` runs
+    have, as long as they hold less than half of the run's words."""
+    runs = [np.unique(k[w > 0]) for k, w in zip(keys, words, strict=True)]
+    line, n = np.unique(np.concatenate(runs) if runs else np.zeros(0, np.uint64), return_counts=True)
+    shared, out = line[n >= SHARED], []
+    for q, k, w in zip(quality.tolist(), keys, words, strict=True):
+        again = np.isin(k, shared) & (w > 0)
+        rest = 2 * w[again].sum() < w.sum()
+        out.append(np.where(again & rest, 0, q) if q else np.zeros(len(k), np.int64))
+    return out
+
+
+def spliced(features: list[np.ndarray], labels: list[np.ndarray], quality: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Runs in which content and boilerplate follow each other: the k-th good run's first half with the
+    first half of the k-th low-quality run behind it, or for odd k before it."""
+    good, bad = np.flatnonzero(quality == 1).tolist(), np.flatnonzero(quality == 0).tolist()
+    x, y = [], []
+    for k, (g, b) in enumerate(zip(good, bad, strict=False)):
+        pair = (g, b) if k % 2 == 0 else (b, g)
+        upto = [-(-len(features[i]) // 2) for i in pair]
+        x.append(np.concatenate([features[i][:n] for i, n in zip(pair, upto, strict=True)]))
+        y.append(np.concatenate([labels[i][:n] for i, n in zip(pair, upto, strict=True)]))
+    return x, y
+
+
 def train(docs: DataFrame, labels: DataFrame, texts: int = TEXTS) -> Field | None:
-    """A field fitted on texts whose ``quality`` label is 0 or 1, each label passed on to all lines of
-    the text. At most ``texts`` texts (by hash) reach the driver, as feature indices of at most
-    ``RUNS * RUN_LINES`` lines each. Null if nothing is labelled: then every line counts as content."""
+    """A field fitted on texts whose ``quality`` label is 0 or 1. Lines are labelled by ``line_labels``, and the
+    runs of both labels are also ``spliced``, so that the field learns how labels change within a text. At
+    most ``texts`` texts (by hash; of rows that repeat a doc_id the first by hash and content) reach the driver,
+    as features and hashes of at most ``RUN_LINES`` lines each. Null if not both labels are there: then every
+    line counts as content."""
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("q"), F.max("quality").cast("int").alias("q2"))
-    # texts of the smaller class count as much as those of the larger one
     chosen = marks.filter("q = q2").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).select(F.col("doc_id").alias("of"), "q")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["of"]).select("text", "q")
+    rows = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["of"]).select("text", "q", F.xxhash64("doc_id").alias("h"))
 
     def runs(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(batch.column("text"))
         head = np.flatnonzero(lines.first)
         size = np.diff(np.r_[head, len(lines.line_doc)])
-        out, q = [], []
-        for h, s, label in zip(head, size, batch.column("q").to_pylist(), strict=True):
-            for k in range(min(RUNS, -(-int(s) // RUN_LINES))):
-                part = lines.features[h + k * RUN_LINES : h + min((k + 1) * RUN_LINES, s)]
-                out.append(part.astype(np.int16).tobytes())
-                q.append(label)
-        return record(x=pa.array(out, pa.binary()), q=pa.array(q, pa.int32()))
-
-    got = map_texts(rows, runs, "x binary, q int").limit(RUNS * texts * 2).toArrow().to_pydict()
+        x, keys, words = [], [], []
+        for a, n, h in zip(head.tolist(), size.tolist(), batch.column("h").to_pylist(), strict=True):
+            k = h % -(-n // RUN_LINES) * RUN_LINES
+            own = slice(a + k, a + min(k + RUN_LINES, n))
+            x.append(lines.features[own].astype(np.int16).tobytes())
+            keys.append(lines.line_hash[own].tobytes())
+            words.append(lines.line_words[own].astype(np.int64).tobytes())
+        return record(x=pa.array(x, pa.binary()), q=batch.column("q"), h=batch.column("h"), keys=pa.array(keys, pa.binary()), words=pa.array(words, pa.binary()))
+
+    found = map_texts(rows, runs, "x binary, q int, h long, keys binary, words binary")
+    got = found.orderBy("h", "keys", "x").limit(2 * texts).toArrow().to_pydict()
     if len(set(got["q"])) < 2:
         return None
     width, kinds = _shape()
-    pairs = sorted(zip(got["x"], got["q"], strict=True))
-    features = [np.frombuffer(x, np.int16).reshape(-1, kinds).astype(np.int64) for x, _ in pairs]
+    features = [np.frombuffer(x, np.int16).reshape(-1, kinds).astype(np.int64) for x in got["x"]]
+    keys, words = [np.frombuffer(k, np.uint64) for k in got["keys"]], [np.frombuffer(w, np.int64) for w in got["words"]]
+    quality = np.array(got["q"])
+    marked = line_labels(quality, keys, words)
+    more, more_labels = spliced(features, marked, quality)
     field = Field(width)
-    field.fit(features, [q for _, q in pairs])
+    field.fit(features + more, marked + more_labels)
     return field
 
 

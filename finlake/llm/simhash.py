@@ -30,6 +30,9 @@ SEED = 42
 CELL_ROWS = 8192
 #: Node pairs that are expanded at once.
 FRONT = 1 << 18
+#: Bytes of text, and shingles, that are handled at once.
+PIECE = 1 << 20
+SHINGLES = 1 << 16
 
 
 def _single_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +59,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_
     last = np.minimum(first + words, before[1:][of]) - 1
     ones = np.zeros((len(n_words), BITS), np.int64)
     raw, digest = data.tobytes(), xxhash.xxh64_digest
-    step = 1 << 18
+    step = SHINGLES
     for at in range(0, len(of), step):
         a, b = starts[first[at : at + step]].tolist(), ends[last[at : at + step]].tolist()
         joined = b"".join([digest(raw[i:j], SEED) for i, j in zip(a, b, strict=True)])
@@ -78,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_key"))
-    return map_texts(rows, work, f"doc_id {kind}, row_key long, fp long")
+    return map_texts(rows, work, f"doc_id {kind}, row_key long, fp long", most=PIECE)
 
 
 # --------------------------------------------------------------------------------------- the trie join

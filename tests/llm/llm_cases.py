@@ -105,7 +105,7 @@ def base_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), copies, sum(again)
 
 
-def later_lines(rows, similar=0.8, least=4):
+def later_lines(rows, similar=0.8, least=1):
     """(doc_id, line) of lines that match an earlier one; rows have distinct ids."""
     lines, having, gone = [], defaultdict(list), set()
     for doc, text in sorted(rows):
