@@ -38,13 +38,13 @@ def report_rows_export(df: DataFrame, path: str) -> None:
 
 def kpi_snapshot_append(spark: SparkSession, history_path: str, snapshot: DataFrame, snapshot_time: str,
                         data_version: int, keep: int = 5000) -> DataFrame:
-    """Append one KPI row per company as the partition of its ``data_version`` and return the history:
-    all versions, with the columns of any of them, the newest ``keep`` per company. Writing a version
-    again replaces its own partition only."""
+    """Append one KPI row per company as the partition of the company and its ``data_version`` and return the
+    history: all versions, with the columns of any of them, the newest ``keep`` per company. Versions are counted
+    per company; writing one again replaces this company's partition only."""
     new = snapshot.withColumn("snapshot_time", F.lit(snapshot_time).cast("timestamp")).withColumn(
-        "data_version", F.lit(data_version))
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("data_version")
+        "data_version", F.lit(data_version)).withColumn("company_part", F.concat(F.lit("c-"), "company_id"))
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_part", "data_version")
      .parquet(history_path))
-    history = spark.read.option("mergeSchema", "true").parquet(history_path)
+    history = spark.read.option("mergeSchema", "true").parquet(history_path).drop("company_part")
     w = Window.partitionBy("company_id").orderBy(F.col("snapshot_time").desc(), F.col("data_version").desc())
     return history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep).drop("_rn")

@@ -84,3 +84,14 @@ def test_building_a_plan_runs_no_job(spark):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_kpi_versions_are_counted_per_company(spark, tmp_path):
+    """Two companies write the same version; a company that writes it again replaces its own row alone."""
+    from finlake.sources.sinks import kpi_snapshot_append
+
+    path = str(tmp_path / "kpi")
+    for company, value in (("007", 1), ("b", 2), ("007", 3)):
+        row = spark.createDataFrame([(company, value)], "company_id string, cash int")
+        history = kpi_snapshot_append(spark, path, row, "1998-07-01 00:00:00", 1)
+    assert sorted((r["company_id"], r["data_version"], r["cash"]) for r in history.collect()) == [("007", 1, 3), ("b", 1, 2)]
