@@ -38,4 +38,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from .plans import queries_analytics, queries_catalog, queries_commit, queries_context, queries_core, queries_domains, queries_ingestion, queries_intake, queries_matching, queries_quality, queries_sinks, queries_store, queries_streaming  # noqa: F401
+    from .plans import queries_analytics, queries_catalog, queries_commit, queries_context, queries_core, queries_domains, queries_evidence, queries_ingestion, queries_intake, queries_matching, queries_quality, queries_sinks, queries_store, queries_streaming  # noqa: F401
