@@ -44,8 +44,8 @@ def fingerprint_versions(batch: DataFrame, state: DataFrame, key: str = "busines
             .drop("s_hash", "s_ver", "s_id"))
 
 
-def change_counts(classified: DataFrame) -> DataFrame:
-    return classified.groupBy("decision").agg(F.count("*").cast("bigint").alias("rows"))
+def change_counts(classified: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    return classified.groupBy(*scope, "decision").agg(F.count("*").cast("bigint").alias("rows"))
 
 
 def latest_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -36,7 +36,7 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
-    """Top-k within each group via row_number over (keys); the shuffle is on the group keys."""
+    """Top-k within each group via row_number over (keys); each task keeps k rows a group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 

@@ -365,9 +365,9 @@ def _avg_tenths(total: F.Column, n: F.Column) -> F.Column:
 
 
 def competitor_dimensions(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, dimension, value) averages and the per-entity score (needs >= 2 dimensions)."""
+    """(company_id, entity, dimension, value) averages and the score of each company's entities (needs >= 2 dimensions)."""
     s = sig.filter(F.trim(F.coalesce("entity", F.lit(""))) != "").select(
-        F.trim("entity").alias("entity"),
+        "company_id", F.trim("entity").alias("entity"),
         F.lower(F.concat_ws(" ", F.coalesce("signal_type", F.lit("")), F.coalesce("topic", F.lit("")))).alias("t"),
         first_number(F.col("value")).alias("v"))
     s = s.filter(F.col("v").isNotNull())
@@ -383,12 +383,12 @@ def competitor_dimensions(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Averages of 1-dp scores are computed exactly in integer tenths (half-up), so the result does
     # not depend on the order in which partitions add doubles.
     tenths = F.round(F.col("score") * 10).cast("bigint")
-    dims = per.groupBy("entity", "dimension").agg(
+    dims = per.groupBy("company_id", "entity", "dimension").agg(
         (_avg_tenths(F.sum(tenths), F.count("*")) / 10.0).alias("value"))
-    entities = s.select("entity").distinct()
-    ent = dims.groupBy("entity").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10).cast("bigint")).alias("t"))
-    ranked = entities.join(ent, "entity", "left").select(
-        "entity", F.coalesce("n", F.lit(0)).cast("bigint").alias("verified_dimensions"),
+    entities = s.select("company_id", "entity").distinct()
+    ent = dims.groupBy("company_id", "entity").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 10).cast("bigint")).alias("t"))
+    ranked = entities.join(ent, ["company_id", "entity"], "left").select(
+        "company_id", "entity", F.coalesce("n", F.lit(0)).cast("bigint").alias("verified_dimensions"),
         F.when(F.coalesce("n", F.lit(0)) >= 2, _avg_tenths(F.col("t"), F.col("n")) / 10.0).alias("score"),
         F.when(F.coalesce("n", F.lit(0)) >= 2, "comparable").otherwise("more verified metrics required").alias("status"))
     return dims, ranked

@@ -18,8 +18,8 @@ AS_OF = P.AS_OF
 INV_COLS = "id, invoice_number, supplier, invoice_date, due_date, round(CAST(amount AS DOUBLE), 2) AS amount, status"
 
 
-def _inv_cols(df):
-    return df.select("id", "invoice_number", "supplier", "invoice_date", "due_date", out_money("amount").alias("amount"), "status")
+def _inv_cols(df, *more):
+    return df.select(*more, "id", "invoice_number", "supplier", "invoice_date", "due_date", out_money("amount").alias("amount"), "status")
 
 
 # ----------------------------------------------------------------------------- filters
@@ -265,56 +265,60 @@ def q_last_n_months(c: Ctx):
 
 # ----------------------------------------------------------------------------- top-k
 
-@query("top_positions", W("v_assets_liabilities") + """SELECT id, name, category, classification,
-round(CAST(amount AS DOUBLE), 2) AS amount FROM v_assets_liabilities ORDER BY amount DESC NULLS LAST, id LIMIT 20""")
+@query("top_positions", W("v_assets_liabilities") + """SELECT company_id, id, name, category, classification,
+round(CAST(amount AS DOUBLE), 2) AS amount FROM v_assets_liabilities x
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY x.amount DESC NULLS LAST, id) <= 20""")
 def q_top_positions(c: Ctx):
-    """Top 20 asset/liability lines by amount."""
-    return WN.top_k(c.assets_liabilities, 20, [F.col("amount").desc_nulls_last(), F.col("id")]).select(
-        "id", "name", "category", "classification", out_money("amount").alias("amount"))
+    """Top 20 asset/liability lines of each company by amount."""
+    return WN.top_k_per_group(c.assets_liabilities, ["company_id"], 20, [F.col("amount").desc_nulls_last(), F.col("id")]).select(
+        "company_id", "id", "name", "category", "classification", out_money("amount").alias("amount"))
 
 
-@query("recent_invoices", W("v_invoices") + f"SELECT {INV_COLS} FROM v_invoices ORDER BY invoice_date DESC, id LIMIT 15")
+@query("recent_invoices", W("v_invoices") + f"""SELECT company_id, {INV_COLS} FROM v_invoices
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY invoice_date DESC, id) <= 15""")
 def q_recent_invoices(c: Ctx):
-    """Newest 15 invoices."""
-    return _inv_cols(WN.top_k(c.invoices, 15, [F.col("invoice_date").desc(), F.col("id")]))
+    """Newest 15 invoices of each company."""
+    return _inv_cols(WN.top_k_per_group(c.invoices, ["company_id"], 15, [F.col("invoice_date").desc(), F.col("id")]), "company_id")
 
 
-@query("recent_transactions_top", W("v_transactions") + """SELECT id, transaction_date, description, category,
-round(CAST(amount AS DOUBLE), 2) AS amount, status FROM v_transactions ORDER BY transaction_date DESC, id LIMIT 20""")
+@query("recent_transactions_top", W("v_transactions") + """SELECT company_id, id, transaction_date, description, category,
+round(CAST(amount AS DOUBLE), 2) AS amount, status FROM v_transactions
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY transaction_date DESC, id) <= 20""")
 def q_recent_transactions_top(c: Ctx):
-    """Newest 20 transactions."""
-    return WN.top_k(c.transactions, 20, [F.col("transaction_date").desc(), F.col("id")]).select(
-        "id", "transaction_date", "description", "category", out_money("amount").alias("amount"), "status")
+    """Newest 20 transactions of each company."""
+    return WN.top_k_per_group(c.transactions, ["company_id"], 20, [F.col("transaction_date").desc(), F.col("id")]).select(
+        "company_id", "id", "transaction_date", "description", "category", out_money("amount").alias("amount"), "status")
 
 
-@query("top_signals", W("v_market_signals") + """SELECT id, tier, CAST(rank AS INTEGER) AS rank, relevance_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY tier ORDER BY relevance_score DESC NULLS LAST,
+@query("top_signals", W("v_market_signals") + """SELECT company_id, id, tier, CAST(rank AS INTEGER) AS rank, relevance_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_id, tier ORDER BY relevance_score DESC NULLS LAST,
                                  coalesce(published_at, observed_at) DESC NULLS LAST, id) AS rank
   FROM (SELECT *, CASE WHEN coalesce(relevance_score, 0) >= 0.75 THEN 'high' WHEN coalesce(relevance_score, 0) >= 0.4
                        THEN 'medium' ELSE 'watch' END AS tier FROM v_market_signals))
 WHERE rank <= CASE tier WHEN 'high' THEN 20 ELSE 30 END""")
 def q_top_signals(c: Ctx):
-    """Market snapshot lists: top 20 high, 30 medium and 30 watch signals."""
+    """Market snapshot lists of each company: top 20 high, 30 medium and 30 watch signals."""
     t = FL.signal_tiering(c.signals)
-    r = WN.top_k_per_group(t, ["tier"], 30, [F.col("relevance_score").desc_nulls_last(),
+    r = WN.top_k_per_group(t, ["company_id", "tier"], 30, [F.col("relevance_score").desc_nulls_last(),
                                                F.coalesce("published_at", "observed_at").desc_nulls_last(), F.col("id")])
     return r.filter(F.col("rank") <= F.when(F.col("tier") == "high", 20).otherwise(30)).select(
-        "id", "tier", F.col("rank").cast("int").alias("rank"), "relevance_score")
+        "company_id", "id", "tier", F.col("rank").cast("int").alias("rank"), "relevance_score")
 
 
-@query("top_inventory_value", W("v_inventory") + """SELECT sku, name, round(CAST(total_value AS DOUBLE), 2) AS total_value
-FROM v_inventory ORDER BY total_value DESC, sku LIMIT 8""")
+@query("top_inventory_value", W("v_inventory") + """SELECT company_id, sku, name, round(CAST(total_value AS DOUBLE), 2) AS total_value
+FROM v_inventory x QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY x.total_value DESC, sku) <= 8""")
 def q_top_inventory_value(c: Ctx):
-    """Eight most valuable stock lines."""
-    return WN.top_k(c.inventory, 8, [F.col("total_value").desc(), F.col("sku")]).select(
-        "sku", "name", out_money("total_value").alias("total_value"))
+    """Eight most valuable stock lines of each company."""
+    return WN.top_k_per_group(c.inventory, ["company_id"], 8, [F.col("total_value").desc(), F.col("sku")]).select(
+        "company_id", "sku", "name", out_money("total_value").alias("total_value"))
 
 
-@query("company_market_signals", W("v_market_signals") + """SELECT id, relevance_score FROM v_market_signals
-ORDER BY relevance_score DESC NULLS LAST, id LIMIT 12""")
+@query("company_market_signals", W("v_market_signals") + """SELECT company_id, id, relevance_score FROM v_market_signals
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY relevance_score DESC NULLS LAST, id) <= 12""")
 def q_company_market_signals(c: Ctx):
-    """Top 12 market signals by relevance."""
-    return WN.top_k(c.signals, 12, [F.col("relevance_score").desc_nulls_last(), F.col("id")]).select("id", "relevance_score")
+    """Top 12 market signals of each company by relevance."""
+    return WN.top_k_per_group(c.signals, ["company_id"], 12, [F.col("relevance_score").desc_nulls_last(), F.col("id")]).select(
+        "company_id", "id", "relevance_score")
 
 
 # ----------------------------------------------------------------------------- composites

@@ -12,7 +12,6 @@ from ..functions import rules as R
 from ..functions.expr import out_money, visible_name
 from ..oracle.views import with_views as W
 from ..registry import query
-from . import ledger as L
 from .queries_intake import ROUTED_SQL, routed_uploads
 from .queries_matching import VALIDATIONS_SQL, validations_run
 
@@ -160,18 +159,18 @@ STAGED_STATUS = ("CASE WHEN processing_status = 'pending_mapping' THEN 'staged_s
 , s AS (SELECT *, {STAGED_STATUS} AS source_status,
                lower(trim(regexp_replace(filename, '^.*?__', ''))) || '|' || file_size AS fingerprint FROM v_uploads),
 r AS (SELECT *, CASE source_status WHEN 'staged_source' THEN 3 WHEN 'archived_source' THEN 2 ELSE 1 END AS rnk FROM s)
-SELECT fingerprint, arg_max(upload_id, CAST(rnk AS BIGINT) * 1000000000 - CAST(regexp_replace(upload_id, '[^0-9]', '', 'g') AS BIGINT)) AS upload_id,
-       max(rnk) AS status_rank FROM r GROUP BY fingerprint""")
+SELECT company_id, fingerprint, arg_max(upload_id, CAST(rnk AS BIGINT) * 1000000000 - CAST(regexp_replace(upload_id, '[^0-9]', '', 'g') AS BIGINT)) AS upload_id,
+       max(rnk) AS status_rank FROM r GROUP BY company_id, fingerprint""")
 def q_staged_file_dedupe(c: Ctx):
-    """One source per (visible name, size): the best-ranked status (staged > archived > processed),
+    """One source per company, visible name and size: the best-ranked status (staged > archived > processed),
     first upload on ties."""
     st = F.when(F.col("processing_status") == "pending_mapping", "staged_source") \
         .when(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES), "processed_source").otherwise("archived_source")
     rank = F.create_map(*[x for k, v in R.STAGED_STATUS_RANK.items() for x in (F.lit(k), F.lit(v))])[st]
     num = F.regexp_replace("upload_id", "[^0-9]", "").cast("bigint")
-    u = c.uploads.select("upload_id", rank.alias("rnk"), num.alias("n"), F.concat(
+    u = c.uploads.select("company_id", "upload_id", rank.alias("rnk"), num.alias("n"), F.concat(
         F.lower(F.trim(visible_name(F.col("filename")))), F.lit("|"), F.col("file_size").cast("string")).alias("fingerprint"))
-    return u.groupBy("fingerprint").agg(F.max_by("upload_id", F.struct(F.col("rnk"), -F.col("n"))).alias("upload_id"),
+    return u.groupBy("company_id", "fingerprint").agg(F.max_by("upload_id", F.struct(F.col("rnk"), -F.col("n"))).alias("upload_id"),
                                         F.max("rnk").alias("status_rank"))
 
 
@@ -194,12 +193,12 @@ def q_completed_upload_count(c: Ctx):
 
 
 @query("rule_use_counts", W("o_classified") + """
-SELECT c_rule_id AS rule_id, c_keyword AS keyword, CAST(count(*) AS BIGINT) AS use_count, max(invoice_date) AS last_used
-FROM o_classified WHERE c_rule_id IS NOT NULL GROUP BY 1, 2""")
+SELECT company_id, c_rule_id AS rule_id, c_keyword AS keyword, CAST(count(*) AS BIGINT) AS use_count, max(invoice_date) AS last_used
+FROM o_classified WHERE c_rule_id IS NOT NULL GROUP BY 1, 2, 3""")
 def q_rule_use_counts(c: Ctx):
-    """How often each categorisation rule matched, and its latest invoice date."""
-    cl = L.classify_invoices(c.invoices).filter(F.col("rule_id").isNotNull())
-    return cl.groupBy("rule_id", "keyword").agg(F.count("*").cast("bigint").alias("use_count"),
+    """How often each categorisation rule matched a company's invoices, and its latest invoice date."""
+    cl = c.classified.filter(F.col("rule_id").isNotNull())
+    return cl.groupBy("company_id", "rule_id", "keyword").agg(F.count("*").cast("bigint").alias("use_count"),
                                                 F.max("invoice_date").alias("last_used"))
 
 

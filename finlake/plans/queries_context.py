@@ -89,10 +89,10 @@ mr AS (
       WHEN coalesce(ms.missing_documents, '') <> '' THEN 'blocked'
       WHEN md.metric_id = 'taxable_profit' AND tx.use_stmt THEN 'provisional' ELSE 'ready' END AS status
   FROM md LEFT JOIN ms USING (company_id, metric_id) LEFT JOIN tx USING (company_id))
-SELECT status, CAST(count(*) AS BIGINT) AS metrics FROM mr GROUP BY 1""")
+SELECT company_id, status, CAST(count(*) AS BIGINT) AS metrics FROM mr GROUP BY 1, 2""")
 def q_metric_state_counts(c: Ctx):
-    """Number of semantic metrics per readiness state."""
-    return metric_readiness(c).groupBy("status").agg(F.count("*").cast("bigint").alias("metrics"))
+    """Number of semantic metrics of a company per readiness state."""
+    return metric_readiness(c).groupBy("company_id", "status").agg(F.count("*").cast("bigint").alias("metrics"))
 
 
 # ----------------------------------------------------------------------------- question -> files
@@ -286,30 +286,30 @@ def q_tax_obligations(c: Ctx):
 
 
 @query("top_contributors", W("v_assets_liabilities") + """
-SELECT category, classification, id, name, round(CAST(amount AS DOUBLE), 2) AS amount, CAST(rk AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY category, classification ORDER BY amount DESC, id) AS rk FROM v_assets_liabilities)
+SELECT company_id, category, classification, id, name, round(CAST(amount AS DOUBLE), 2) AS amount, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_id, category, classification ORDER BY amount DESC, id) AS rk FROM v_assets_liabilities)
 WHERE rk <= 4""")
 def q_top_contributors(c: Ctx):
-    """Top 4 positions per (category, classification)."""
+    """Top 4 positions of a company per (category, classification)."""
     from ..functions.expr import out_money
     from ..operators.windows import top_k_per_group
 
-    r = top_k_per_group(c.assets_liabilities, ["category", "classification"], 4, [F.col("amount").desc(), F.col("id")])
-    return r.select("category", "classification", "id", "name", out_money("amount").alias("amount"),
+    r = top_k_per_group(c.assets_liabilities, ["company_id", "category", "classification"], 4, [F.col("amount").desc(), F.col("id")])
+    return r.select("company_id", "category", "classification", "id", "name", out_money("amount").alias("amount"),
                     F.col("rank").cast("int").alias("rank"))
 
 
 @query("unreconciled_staged_files", W("v_uploads") + """
-SELECT upload_id, filename FROM v_uploads s WHERE lower(trim(regexp_replace(filename, '^.*?__', ''))) NOT IN (
-  SELECT lower(trim(regexp_replace(filename, '^.*?__', ''))) FROM v_uploads WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping'))""")
+SELECT company_id, upload_id, filename FROM v_uploads s WHERE (company_id, lower(trim(regexp_replace(filename, '^.*?__', '')))) NOT IN (
+  SELECT (company_id, lower(trim(regexp_replace(filename, '^.*?__', '')))) FROM v_uploads WHERE processing_status IN ('committed', 'stored_source', 'pending_mapping'))""")
 def q_unreconciled_staged_files(c: Ctx):
-    """Staged files whose visible name is not among the completed uploads (anti-join)."""
+    """Staged files whose visible name is not among the company's completed uploads (anti-join)."""
     from ..functions.expr import visible_name
 
     key = F.lower(F.trim(visible_name(F.col("filename"))))
-    staged = c.uploads.select("upload_id", "filename", key.alias("k"))
-    done = c.uploads.filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES)).select(key.alias("k")).distinct()
-    return staged.join(done, "k", "left_anti").select("upload_id", "filename")
+    staged = c.uploads.select("company_id", "upload_id", "filename", key.alias("k"))
+    done = c.uploads.filter(F.col("processing_status").isin(*R.COMPLETE_UPLOAD_STATUSES)).select("company_id", key.alias("k")).distinct()
+    return staged.join(done, ["company_id", "k"], "left_anti").select("company_id", "upload_id", "filename")
 
 
 @query("kpi_snapshot_append", W("o_snapshot") + """

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import params as P
 from ..context import Ctx
 from ..functions.expr import out_money
+from ..operators import windows as WN
 from ..oracle.views import with_views as W
 from ..registry import query
 from . import ledger as L
@@ -62,22 +63,22 @@ def q_journal_lines(c: Ctx):
 
 
 @query("journal_balance_check", W("o_lines") + """
-SELECT journal_id, round(CAST(sum(debit) AS DOUBLE), 2) AS debit_total, round(CAST(sum(credit) AS DOUBLE), 2) AS credit_total
-FROM o_lines GROUP BY journal_id HAVING sum(debit) <> sum(credit)""")
+SELECT company_id, journal_id, round(CAST(sum(debit) AS DOUBLE), 2) AS debit_total, round(CAST(sum(credit) AS DOUBLE), 2) AS credit_total
+FROM o_lines GROUP BY company_id, journal_id HAVING sum(debit) <> sum(credit)""")
 def q_journal_balance_check(c: Ctx):
     """Journals whose debits and credits differ (expected empty: every journal balances)."""
-    return (c.lines.groupBy("journal_id").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"))
+    return (c.lines.groupBy("company_id", "journal_id").agg(F.sum("debit").alias("d"), F.sum("credit").alias("c"))
             .filter(F.col("d") != F.col("c"))
-            .select("journal_id", out_money("d").alias("debit_total"), out_money("c").alias("credit_total")))
+            .select("company_id", "journal_id", out_money("d").alias("debit_total"), out_money("c").alias("credit_total")))
 
 
 @query("journal_status_counts", W("o_lines", "v_invoices") + """
-SELECT entry_status AS status, count(DISTINCT journal_id) AS journals, CAST(count(*) AS BIGINT) AS lines,
+SELECT company_id, entry_status AS status, count(DISTINCT journal_id) AS journals, CAST(count(*) AS BIGINT) AS lines,
        round(CAST(sum(debit) AS DOUBLE), 2) AS debits
-FROM o_lines GROUP BY entry_status""")
+FROM o_lines GROUP BY company_id, entry_status""")
 def q_journal_status_counts(c: Ctx):
     """Journals, lines and debit volume per entry status (draft / included_in_opening / posted)."""
-    return (c.lines.groupBy(F.col("entry_status").alias("status"))
+    return (c.lines.groupBy("company_id", F.col("entry_status").alias("status"))
             .agg(F.countDistinct("journal_id").cast("bigint").alias("journals"), F.count("*").cast("bigint").alias("lines"),
                  out_money(F.sum("debit")).alias("debits")))
 
@@ -118,21 +119,23 @@ def account_type_summary(c: Ctx):
 
 @query("journal_totals", W("o_lines", "v_invoices") + f"""
 , e AS (
-  SELECT 'je-invoice-' || id AS id, invoice_date AS entry_date, invoice_number AS reference, 'invoice' AS source_type,
+  SELECT company_id, 'je-invoice-' || id AS id, invoice_date AS entry_date, invoice_number AS reference, 'invoice' AS source_type,
          id AS source_id FROM v_invoices
-  UNION ALL SELECT 'je-opening-balance', DATE '{P.OPENING_CUTOFF}', 'OPEN-{P.OPENING_CUTOFF}', 'opening_balance', '{P.OPENING_CUTOFF}')
-SELECT e.id, e.entry_date, e.reference, e.source_type, e.source_id,
+  UNION ALL SELECT DISTINCT company_id, 'je-opening-balance', DATE '{P.OPENING_CUTOFF}', 'OPEN-{P.OPENING_CUTOFF}', 'opening_balance', '{P.OPENING_CUTOFF}' FROM v_invoices)
+SELECT e.company_id, e.id, e.entry_date, e.reference, e.source_type, e.source_id,
        round(CAST(sum(l.debit) AS DOUBLE), 2) AS debit_total, round(CAST(sum(l.credit) AS DOUBLE), 2) AS credit_total
-FROM e LEFT JOIN o_lines l ON l.journal_id = e.id
-GROUP BY e.id, e.entry_date, e.reference, e.source_type, e.source_id
-ORDER BY e.entry_date DESC, e.id DESC LIMIT 100""")
+FROM e LEFT JOIN o_lines l ON l.journal_id = e.id AND l.company_id = e.company_id
+GROUP BY e.company_id, e.id, e.entry_date, e.reference, e.source_type, e.source_id
+QUALIFY row_number() OVER (PARTITION BY e.company_id ORDER BY e.entry_date DESC, e.id DESC) <= 100""")
 def q_journal_totals(c: Ctx):
-    """Newest 100 journals with their debit and credit totals (top-k after a grouped left join)."""
-    e, ln = c.entries, c.lines
-    tot = ln.groupBy("journal_id").agg(F.sum("debit").alias("d"), F.sum("credit").alias("cr"))
-    j = e.join(tot, e.id == tot.journal_id, "left")
-    return (j.orderBy(F.col("entry_date").desc(), F.col("id").desc()).limit(100)
-            .select("id", "entry_date", "reference", "source_type", "source_id",
+    """Newest 100 journals of each company with their debit and credit totals: the journals are picked first, then
+    only their lines are added up."""
+    newest = WN.top_k_per_group(c.entries, ["company_id"], 100, [F.col("entry_date").desc(), F.col("id").desc()])
+    shown = newest.select("company_id", F.col("id").alias("journal_id"))
+    tot = (c.lines.select("company_id", "journal_id", "debit", "credit").join(shown, ["company_id", "journal_id"], "left_semi")
+           .groupBy("company_id", F.col("journal_id").alias("id")).agg(F.sum("debit").alias("d"), F.sum("credit").alias("cr")))
+    return (newest.join(tot, ["company_id", "id"], "left")
+            .select("company_id", "id", "entry_date", "reference", "source_type", "source_id",
                     out_money("d").alias("debit_total"), out_money("cr").alias("credit_total")))
 
 
@@ -161,15 +164,15 @@ def review_tasks(c: Ctx):
 
 
 @query("task_queue", W("o_classified") + """
-SELECT 'task-' || substr(sha1(id), 1, 16) AS id, id AS source_id, CAST(c_confidence AS DOUBLE) AS confidence,
+SELECT company_id, 'task-' || substr(sha1(id), 1, 16) AS id, id AS source_id, CAST(c_confidence AS DOUBLE) AS confidence,
        round(CAST(total AS DOUBLE), 2) AS amount
 FROM o_classified WHERE c_validation <> 'approved'
-ORDER BY c_confidence, invoice_date DESC, o_classified.id LIMIT 100""")
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY c_confidence, invoice_date DESC, o_classified.id) <= 100""")
 def q_task_queue(c: Ctx):
-    """Top 100 open review tasks: lowest confidence first, newest first, id as tie-break."""
+    """Top 100 open review tasks of each company: lowest confidence first, newest first, id as tie-break."""
     df = c.classified.filter(F.col("c_validation") != "approved")
-    return (df.orderBy(F.col("c_confidence").asc(), F.col("invoice_date").desc(), F.col("id").asc()).limit(100)
-            .select(F.concat(F.lit("task-"), F.substring(F.sha1(F.col("id")), 1, 16)).alias("id"),
+    return (WN.top_k_per_group(df, ["company_id"], 100, [F.col("c_confidence").asc(), F.col("invoice_date").desc(), F.col("id").asc()])
+            .select("company_id", F.concat(F.lit("task-"), F.substring(F.sha1(F.col("id")), 1, 16)).alias("id"),
                     F.col("id").alias("source_id"), F.col("c_confidence").cast("double").alias("confidence"),
                     out_money("total").alias("amount")))
 

@@ -398,7 +398,7 @@ def q_money_map_links(c: Ctx):
 
 
 COMPETITOR_SQL = """, s AS (
-  SELECT trim(entity) AS entity, lower(coalesce(signal_type, '') || ' ' || coalesce(topic, '')) AS t,
+  SELECT company_id, trim(entity) AS entity, lower(coalesce(signal_type, '') || ' ' || coalesce(topic, '')) AS t,
          TRY_CAST(nullif(regexp_extract(replace(value, ',', ''), '-?\\d+(?:\\.\\d+)?', 0), '') AS DOUBLE) AS v
   FROM v_market_signals WHERE trim(coalesce(entity, '')) <> ''),
 s2 AS (
@@ -409,14 +409,14 @@ s2 AS (
       WHEN contains(t, 'cash') OR contains(t, 'runway') OR contains(t, 'resilience') OR contains(t, 'debt') THEN 'Cash resilience'
     END AS dimension FROM s WHERE v IS NOT NULL),
 s3 AS (
-  SELECT entity, dimension, CASE dimension
+  SELECT company_id, entity, dimension, CASE dimension
       WHEN 'Liquidity' THEN round(greatest(0.0, least(140.0, v / 1.2 * 100)), 1)
       WHEN 'Margin strength' THEN round(greatest(0.0, least(140.0, v / 30.0 * 100)), 1)
       WHEN 'Revenue momentum' THEN round(greatest(0.0, least(140.0, 50 + v * 3.0)), 1)
       ELSE round(greatest(0.0, least(140.0, v)), 1) END AS score
   FROM s2 WHERE dimension IS NOT NULL),
-dims AS (SELECT entity, dimension, ((2 * sum(CAST(round(score * 10) AS BIGINT)) + count(*)) // (2 * count(*))) / 10.0 AS value
-         FROM s3 GROUP BY 1, 2)"""
+dims AS (SELECT company_id, entity, dimension, ((2 * sum(CAST(round(score * 10) AS BIGINT)) + count(*)) // (2 * count(*))) / 10.0 AS value
+         FROM s3 GROUP BY 1, 2, 3)"""
 
 
 @query("competitor_dimensions", W("v_market_signals") + COMPETITOR_SQL + " SELECT * FROM dims")
@@ -426,11 +426,11 @@ def q_competitor_dimensions(c: Ctx):
 
 
 @query("competitor_ranking", W("v_market_signals") + COMPETITOR_SQL + """,
-ent AS (SELECT entity, count(*) AS n, sum(CAST(round(value * 10) AS BIGINT)) AS t FROM dims GROUP BY 1)
-SELECT e.entity, CAST(coalesce(n, 0) AS BIGINT) AS verified_dimensions,
+ent AS (SELECT company_id, entity, count(*) AS n, sum(CAST(round(value * 10) AS BIGINT)) AS t FROM dims GROUP BY 1, 2)
+SELECT e.company_id, e.entity, CAST(coalesce(n, 0) AS BIGINT) AS verified_dimensions,
        CASE WHEN coalesce(n, 0) >= 2 THEN ((2 * t + n) // (2 * n)) / 10.0 END AS score,
        CASE WHEN coalesce(n, 0) >= 2 THEN 'comparable' ELSE 'more verified metrics required' END AS status
-FROM (SELECT DISTINCT entity FROM s WHERE v IS NOT NULL) e LEFT JOIN ent USING (entity)""")
+FROM (SELECT DISTINCT company_id, entity FROM s WHERE v IS NOT NULL) e LEFT JOIN ent USING (company_id, entity)""")
 def q_competitor_ranking(c: Ctx):
     """Competitor score = mean of its dimensions when at least two are verified."""
     return D.competitor_dimensions(c.signals)[1]
@@ -455,10 +455,10 @@ def q_distinct_market_exposure(c: Ctx):
 
 
 @query("signal_counts", W("v_market_signals") + """
-SELECT CASE WHEN coalesce(relevance_score, 0) >= 0.75 THEN 'high' WHEN coalesce(relevance_score, 0) >= 0.4 THEN 'medium'
-       ELSE 'watch' END AS tier, CAST(count(*) AS BIGINT) AS signals FROM v_market_signals GROUP BY 1""")
+SELECT company_id, CASE WHEN coalesce(relevance_score, 0) >= 0.75 THEN 'high' WHEN coalesce(relevance_score, 0) >= 0.4 THEN 'medium'
+       ELSE 'watch' END AS tier, CAST(count(*) AS BIGINT) AS signals FROM v_market_signals GROUP BY 1, 2""")
 def q_signal_counts(c: Ctx):
     """Number of market signals per relevance tier."""
     from ..operators.filters import signal_tiering
 
-    return signal_tiering(c.signals).groupBy("tier").agg(F.count("*").cast("bigint").alias("signals"))
+    return signal_tiering(c.signals).groupBy("company_id", "tier").agg(F.count("*").cast("bigint").alias("signals"))

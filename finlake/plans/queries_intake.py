@@ -22,16 +22,16 @@ def _keyed(df):
 def fingerprint_state(c: Ctx):
     """Current fingerprints of the stored customer master (version 1)."""
     o = _keyed(c.batch_old)
-    return o.select("document_type", "business_key", "row_hash", F.lit(1).alias("record_version"),
+    return o.select("company_id", "document_type", "business_key", "row_hash", F.lit(1).alias("record_version"),
                     F.concat(F.lit("lf-customers-"), sha1_prefix(F.col("business_key"))).alias("record_id"))
 
 
 def classified_batch(c: Ctx):
-    return INC.fingerprint_versions(_keyed(c.batch_new), fingerprint_state(c))
+    return INC.fingerprint_versions(_keyed(c.batch_new), fingerprint_state(c), scope=["company_id"])
 
 
 CHANGE_SQL = """, st AS (
-  SELECT document_type, lower(trim(code)) AS business_key, name, country, segment, balance, 1 AS s_ver,
+  SELECT company_id, document_type, lower(trim(code)) AS business_key, name, country, segment, balance, 1 AS s_ver,
          'lf-customers-' || substr(sha1(lower(trim(code))), 1, 16) AS s_id FROM v_batch_old),
 nb AS (SELECT *, lower(trim(code)) AS business_key FROM v_batch_new),
 j AS (
@@ -39,8 +39,8 @@ j AS (
          lag(nb.name) OVER w AS p_name, lag(nb.country) OVER w AS p_country, lag(nb.segment) OVER w AS p_segment,
          lag(nb.balance) OVER w AS p_balance, row_number() OVER w AS rn,
          st.name AS s_name, st.country AS s_country, st.segment AS s_segment, st.balance AS s_balance
-  FROM nb LEFT JOIN st ON st.document_type = nb.document_type AND st.business_key = nb.business_key
-  WINDOW w AS (PARTITION BY nb.document_type, nb.business_key ORDER BY nb.seq)),
+  FROM nb LEFT JOIN st ON st.company_id = nb.company_id AND st.document_type = nb.document_type AND st.business_key = nb.business_key
+  WINDOW w AS (PARTITION BY nb.company_id, nb.document_type, nb.business_key ORDER BY nb.seq)),
 d AS (
   SELECT *, CASE
       WHEN NOT has_state AND rn = 1 THEN 'new'
@@ -50,44 +50,44 @@ d AS (
   FROM j),
 v AS (
   SELECT *, CAST(coalesce(s_ver, 0) + sum(CASE WHEN decision <> 'unchanged' THEN 1 ELSE 0 END)
-            OVER (PARTITION BY document_type, business_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS record_version,
+            OVER (PARTITION BY company_id, document_type, business_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS record_version,
          coalesce(s_id, 'lf-' || document_type || '-' || substr(sha1(business_key), 1, 16)) AS record_id
   FROM d)"""
 
 
 @query("row_change_classify", W("v_batch_old", "v_batch_new") + CHANGE_SQL + """
-SELECT code, seq, decision, record_version, record_id FROM v""")
+SELECT company_id, code, seq, decision, record_version, record_id FROM v""")
 def q_row_change_classify(c: Ctx):
     """New / unchanged / changed per batch row against stored fingerprints and earlier rows of the
     same key in the batch; record versions and stable record ids."""
-    return classified_batch(c).select("code", "seq", "decision", "record_version", "record_id")
+    return classified_batch(c).select("company_id", "code", "seq", "decision", "record_version", "record_id")
 
 
 @query("row_change_counts", W("v_batch_old", "v_batch_new") + CHANGE_SQL + """
-SELECT decision, CAST(count(*) AS BIGINT) AS rows FROM v GROUP BY 1""")
+SELECT company_id, decision, CAST(count(*) AS BIGINT) AS rows FROM v GROUP BY 1, 2""")
 def q_row_change_counts(c: Ctx):
     """Rows per change decision for one customer upload."""
-    return INC.change_counts(classified_batch(c))
+    return INC.change_counts(classified_batch(c), ["company_id"])
 
 
 @query("incremental_upsert", W("v_batch_old", "v_batch_new") + """
-, u AS (SELECT code, name, country, segment, balance, -1 AS seq FROM v_batch_old
-        UNION ALL SELECT code, name, country, segment, balance, seq FROM v_batch_new)
-SELECT code, arg_max(name, seq) AS name, arg_max(country, seq) AS country, arg_max(segment, seq) AS segment,
+, u AS (SELECT company_id, code, name, country, segment, balance, -1 AS seq FROM v_batch_old
+        UNION ALL SELECT company_id, code, name, country, segment, balance, seq FROM v_batch_new)
+SELECT company_id, code, arg_max(name, seq) AS name, arg_max(country, seq) AS country, arg_max(segment, seq) AS segment,
        round(CAST(arg_max(balance, seq) AS DOUBLE), 2) AS balance
-FROM u GROUP BY code""")
+FROM u GROUP BY company_id, code""")
 def q_incremental_upsert(c: Ctx):
     """Customer master after the upload: latest row per code wins, absent codes keep their row."""
-    cols = ["code", "name", "country", "segment", "balance"]
-    up = INC.incremental_upsert(c.batch_old.select(*cols), c.batch_new.select(*cols, "seq"), ["code"], "seq")
+    cols = ["company_id", "code", "name", "country", "segment", "balance"]
+    up = INC.incremental_upsert(c.batch_old.select(*cols), c.batch_new.select(*cols, "seq"), ["company_id", "code"], "seq")
     return up.withColumn("balance", out_money("balance"))
 
 
 @query("latest_wins", W("v_batch_new") + """
-SELECT code, arg_max(seq, seq) AS seq, round(CAST(arg_max(balance, seq) AS DOUBLE), 2) AS balance FROM v_batch_new GROUP BY code""")
+SELECT company_id, code, arg_max(seq, seq) AS seq, round(CAST(arg_max(balance, seq) AS DOUBLE), 2) AS balance FROM v_batch_new GROUP BY company_id, code""")
 def q_latest_wins(c: Ctx):
     """Replace-by-id within one batch: the last row per code (max_by, partial aggregation)."""
-    return INC.latest_wins(c.batch_new.select("code", "seq", "balance"), ["code"], "seq").withColumn(
+    return INC.latest_wins(c.batch_new.select("company_id", "code", "seq", "balance"), ["company_id", "code"], "seq").withColumn(
         "balance", out_money("balance"))
 
 
@@ -132,11 +132,11 @@ def routed_uploads(c: Ctx):
 
 
 @query("document_coverage", W("v_uploads") + ROUTED_SQL + """
-SELECT coalesce(document_type, 'generic') AS document_type, CAST(count(*) AS BIGINT) AS files,
-       CAST(sum(file_size) AS BIGINT) AS bytes FROM routed GROUP BY 1""")
+SELECT company_id, coalesce(document_type, 'generic') AS document_type, CAST(count(*) AS BIGINT) AS files,
+       CAST(sum(file_size) AS BIGINT) AS bytes FROM routed GROUP BY 1, 2""")
 def q_document_coverage(c: Ctx):
     """Files and bytes per routed document type."""
-    return (routed_uploads(c).groupBy(F.coalesce("document_type", F.lit("generic")).alias("document_type"))
+    return (routed_uploads(c).groupBy("company_id", F.coalesce("document_type", F.lit("generic")).alias("document_type"))
             .agg(F.count("*").cast("bigint").alias("files"), F.sum("file_size").cast("bigint").alias("bytes")))
 
 

@@ -160,15 +160,15 @@ def q_validations_run(c: Ctx):
     return validations_run(c)
 
 
-@query("validation_counts", VALIDATIONS_SQL + " SELECT severity, CAST(count(*) AS BIGINT) AS count FROM vi GROUP BY 1")
+@query("validation_counts", VALIDATIONS_SQL + " SELECT company_id, severity, CAST(count(*) AS BIGINT) AS count FROM vi GROUP BY 1, 2")
 def q_validation_counts(c: Ctx):
-    """Open issues per severity."""
-    return validations_run(c).filter(F.col("status") == "open").groupBy("severity").agg(F.count("*").cast("bigint").alias("count"))
+    """Open issues of a company per severity."""
+    return validations_run(c).filter(F.col("status") == "open").groupBy("company_id", "severity").agg(F.count("*").cast("bigint").alias("count"))
 
 
-@query("validation_queue", VALIDATIONS_SQL + """ SELECT id, severity, check_name, target_id FROM vi
-ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, id LIMIT 15""")
+@query("validation_queue", VALIDATIONS_SQL + """ SELECT company_id, id, severity, check_name, target_id FROM vi
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, id) <= 15""")
 def q_validation_queue(c: Ctx):
-    """Top 15 open issues by severity rank (id as tie-break)."""
+    """Top 15 open issues of each company by severity rank (id as tie-break)."""
     v = validations_run(c).filter(F.col("status") == "open")
-    return WN.top_k(v, 15, [severity_rank(F.col("severity")), F.col("id")]).select("id", "severity", "check_name", "target_id")
+    return WN.top_k_per_group(v, ["company_id"], 15, [severity_rank(F.col("severity")), F.col("id")]).select("company_id", "id", "severity", "check_name", "target_id")
