@@ -4,8 +4,9 @@
   the invoice side exploded to {c-1, c, c+1}; the text test (invoice number or supplier name inside
   the bank description) is the residual; the first invoice per transaction is a ``min_by``.
 * ``duplicate_payment_pairs``: "earliest earlier payment with the same reference whose amount is
-  within 10 %" is an exact range-minimum query over integer cents, answered with equi-joins on
-  aligned power-of-two blocks (O(n log range), no pairs, robust to one key holding most rows).
+  within 10 %" is an exact range-minimum query over integer cents. The payments of a reference with few
+  of them are compared in one array; the other references are answered with equi-joins on aligned
+  power-of-two blocks (O(n log range), no pairs, robust to one key holding most rows).
 """
 
 from __future__ import annotations
@@ -82,8 +83,27 @@ def _dyadic_blocks(df: DataFrame, lo: str, hi: str) -> DataFrame:
     return both.filter(F.col("b.ok")).select(*df.columns, F.col("j").alias("level"), F.col("b.block").alias("block"))
 
 
+#: A reference with at most this many payments is compared within one array of them.
+SMALL_GROUP = 64
+
+
+def _range(c: str, p: int, q: int) -> tuple[str, str]:
+    """The comparable amounts of ``c`` in cents, smallest and largest."""
+    return f"(greatest({c}, 100) * {p} + {q - 1}) div {q}", f"({c} * {q}) div {p}"
+
+
+def _first_in_group(t: DataFrame, p: int, q: int) -> DataFrame:
+    """The first payment in each payment's range, from the array of its reference's payments."""
+    lo, hi = _range("p.c", p, q)
+    near = f"filter(g, e -> e.c >= {lo} AND e.c <= {hi})"
+    groups = t.groupBy("h", "company_id", "k").agg(F.collect_set(F.struct("d", "id", "c")).alias("g"))
+    each = groups.filter(F.size("g") > 1).select("company_id", "k", "g", F.explode("g").alias("p")).filter(F.col("p.c") * q >= 100 * p)
+    first = F.expr(f"array_min(transform({near}, e -> struct(struct(e.d AS d, e.id AS id) AS f, e.c AS ec)))")
+    return each.select("company_id", "k", "p.id", "p.d", "p.c", first.alias("m"))
+
+
 def _first_in_range(t: DataFrame, p: int, q: int) -> DataFrame:
-    """Exact range minimum over aligned power-of-two amount blocks."""
+    """Exact range minimum over aligned power-of-two amount blocks, once for each amount of a reference."""
     k_factor = (q / p) * (q / p - p / q)  # a block a query can use has 2^j <= K * amount + 1
     firsts = t.groupBy("company_id", "k", "c").agg(F.min(F.struct("d", "id")).alias("f"))
     levels = F.expr(f"sequence(0, {_floor_log2(f'CAST(floor({k_factor!r} * c) AS BIGINT) + 1')} + 1)")
@@ -91,11 +111,10 @@ def _first_in_range(t: DataFrame, p: int, q: int) -> DataFrame:
               .withColumn("block", F.expr("shiftright(c, level)"))
               .groupBy("company_id", "k", "level", "block")
               .agg(F.min(F.struct("f", F.col("c").alias("ec"))).alias("m")))
-    lo = f"(greatest(c, 100) * {p} + {q - 1}) div {q}"
-    hi = f"(c * {q}) div {p}"
-    probes = _dyadic_blocks(t.filter(F.col("c") * q >= 100 * p).select("company_id", "k", "id", "d", "c"), lo, hi)
-    return (probes.join(blocks, ["company_id", "k", "level", "block"])
-            .groupBy("company_id", "k", "id", "d", "c").agg(F.min("m").alias("m")))
+    lo, hi = _range("c", p, q)
+    probes = _dyadic_blocks(firsts.filter(F.col("c") * q >= 100 * p).select("company_id", "k", "c"), lo, hi)
+    best = probes.join(blocks, ["company_id", "k", "level", "block"]).groupBy("company_id", "k", "c").agg(F.min("m").alias("m"))
+    return t.select("company_id", "k", "id", "d", "c").distinct().join(best, ["company_id", "k", "c"]).select("company_id", "k", "id", "d", "c", "m")
 
 
 def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool = False) -> DataFrame:
@@ -104,17 +123,21 @@ def duplicate_payment_pairs(txn: DataFrame, ratio: float = 0.9, compat_key: bool
 
     Exact and skew-safe. In integer cents the comparable amounts of ``a`` form the interval
     [ceil(max(a, 100) p / q), floor(a q / p)] (ratio = p / q); the answer is the range minimum of
-    "first occurrence" over the key's distinct amounts, compared with the transaction itself. Each
-    distinct amount feeds the aligned power-of-two blocks that contain it, each interval splits into
+    "first occurrence" over the key's distinct amounts, compared with the transaction itself. Keys with
+    at most ``SMALL_GROUP`` transactions are brought together in one shuffle. Of the other keys each
+    distinct amount feeds the aligned power-of-two blocks that contain it, its interval splits into
     O(log width) blocks, and an equi-join on (company, key, level, block) gives the minimum --
-    O(n log range) whatever a key's share of the rows, and no pair of its transactions is made."""
+    O(n log range) whatever a key's share of the rows, and no pair of its transactions is made. Keys are
+    counted by a hash: keys that share one are at most counted as large, which gives the same rows."""
     frac = Fraction(ratio).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
     t = (txn.select("company_id", "id", "transaction_date", "description", "amount")
          .select("company_id", "id", F.col("transaction_date").alias("d"),
                  reference_key(F.col("description"), compat_key).alias("k"), _cents("amount").alias("c"))
-         .filter((F.col("k") != "") & (F.col("c") > 0)))
-    best = _first_in_range(t, p, q)
+         .filter((F.col("k") != "") & (F.col("c") > 0) & F.col("company_id").isNotNull())
+         .withColumn("h", F.xxhash64("company_id", "k")))
+    large = t.groupBy("h").count().filter(F.col("count") > SMALL_GROUP).select("h")
+    best = _first_in_group(t.join(large, "h", "left_anti"), p, q).unionByName(_first_in_range(t.join(large, "h", "left_semi"), p, q))
     out = best.filter(F.col("m.f") < F.struct(F.col("d"), F.col("id")))
     return out.select("company_id", F.col("k").alias("reference_key"), F.col("m.f.id").alias("earlier_id"),
                       out_money(money_from_cents(F.col("m.ec"))).alias("earlier_amount"), F.col("id").alias("current_id"),

@@ -41,3 +41,24 @@ def test_matches_brute_force_with_hot_key(spark):
            for r in duplicate_payment_pairs(df).collect()}
     assert got == want
     assert sum(1 for r in rows if r[1] == "hot7") > len(rows) / 3
+
+
+def test_small_references_need_no_blocks(spark, monkeypatch):
+    """References with few payments are answered from one array, with the rows that the blocks give; payments
+    given twice, without a date, below the least amount and of references around the limit included."""
+    from finlake.operators import joins as J
+
+    random.seed(5)
+    rows = [(f"t{i:04d}", f"s{i % 20}", None if i % 37 == 0 else dt.date(2024, 1, 1 + i % 9), random.choice([50, 95, 100, 101, random.randint(900, 1100)])) for i in range(400)]
+    rows += [(f"u{i:03d}", key, dt.date(2024, 2, 1), 1000 + i % 7) for key, n in (("at9", J.SMALL_GROUP), ("over9", J.SMALL_GROUP + 1)) for i in range(n)]
+    df = spark.createDataFrame(rows + rows[:30], "id string, k string, transaction_date date, c bigint").select(
+        F.lit("default").alias("company_id"), "id", "transaction_date", F.concat(F.lit("Payment INV-"), F.col("k")).alias("description"),
+        (F.col("c").cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias("amount"))
+    got = sorted(tuple(r) for r in duplicate_payment_pairs(df).collect())
+    monkeypatch.setattr(J, "SMALL_GROUP", 0)
+    assert got == sorted(tuple(r) for r in duplicate_payment_pairs(df).collect())
+    blocks, seen = J._dyadic_blocks, []
+    monkeypatch.setattr(J, "SMALL_GROUP", 63)
+    monkeypatch.setattr(J, "_dyadic_blocks", lambda df, lo, hi: seen.append(df) or blocks(df, lo, hi))
+    duplicate_payment_pairs(df)
+    assert {r[0] for r in seen[0].select("k").distinct().collect()} == {"at9", "over9"}
