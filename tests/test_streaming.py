@@ -28,3 +28,17 @@ def test_folder_intake_registers_by_content(spark):
     S.folder_intake_stream(spark, os.path.join(root, "landing"), registry, chk).awaitTermination()
     assert spark.read.parquet(registry).count() == 3
     assert reg.filter(F.col("sha256").isNull()).count() == 0
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    """A table may be one file or a folder of files; the earliest document of a text is the same either way."""
+    rows = [(i, f"text {i % 7}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.orderBy(F.col("doc_id").desc()).repartition(5).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "part"))
+    os.makedirs(tmp_path / "one")
+    file = next(p for p in os.listdir(tmp_path / "part") if p.endswith(".parquet"))
+    os.rename(tmp_path / "part" / file, tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        found = S.run_document_dedupe(spark, str(tmp_path / kind)).collect()
+        assert sorted((r.doc_id, r.original_id, r.decision) for r in found) == [(i, i % 7, "new" if i < 7 else "duplicate") for i in range(40)]
