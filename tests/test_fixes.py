@@ -95,3 +95,14 @@ def test_kpi_versions_are_counted_per_company(spark, tmp_path):
         row = spark.createDataFrame([(company, value)], "company_id string, cash int")
         history = kpi_snapshot_append(spark, path, row, "1998-07-01 00:00:00", 1)
     assert sorted((r["company_id"], r["data_version"], r["cash"]) for r in history.collect()) == [("007", 1, 3), ("b", 1, 2)]
+
+
+def test_classified_text_is_computed_once(spark):
+    """A normalised text is bound once, not written into the branch of every token."""
+    from finlake.functions.expr import file_stem, first_keyword_class, route_token
+
+    rules = [(f"type{i}", [f"word{i}a", f"word{i}b"]) for i in range(20)]
+    df = spark.createDataFrame([("x/Word3b.csv",), ("Other word19a.CSV",), ("none.csv",), (None,)], "name string")
+    out = df.select(first_keyword_class(route_token(file_stem(F.col("name"))), rules, "generic").alias("t"))
+    assert [r["t"] for r in out.collect()] == ["type3", "type19", "generic", "generic"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") <= 4
