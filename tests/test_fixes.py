@@ -106,3 +106,27 @@ def test_classified_text_is_computed_once(spark):
     out = df.select(first_keyword_class(route_token(file_stem(F.col("name"))), rules, "generic").alias("t"))
     assert [r["t"] for r in out.collect()] == ["type3", "type19", "generic", "generic"]
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace") <= 4
+
+
+def test_file_match_does_not_pair_questions_with_every_file(spark):
+    """Files and questions with the same tokens are taken together; the answers are those of all pairs."""
+    from finlake.plans.queries_context import file_token_match
+
+    names = [("a" if i % 5 else "b", f"up-{i:03d}", ("Invoice_" if i % 3 else "report_") + str(i % 40) + ".csv", "sales" if i % 4 else None, dt.date(2024, 1, 1 + i % 28)) for i in range(300)]
+    asks = [("a" if i % 2 else "b", f"q{i % 50}", ["the invoice csv", "sales REPORT invoice_12", "nothing here", "", None][i % 5]) for i in range(60)]
+    uploads = spark.createDataFrame(names + names[:9], "company_id string, upload_id string, filename string, document_type string, created_at date")
+    questions = spark.createDataFrame(asks, "company_id string, question_id string, text string")
+    import re
+    tokens: dict = {}
+    for co, q, text in asks:
+        tokens.setdefault((co, q), set()).update(re.findall("[a-z0-9_-]{3,}", (text or "").lower()))
+    want = set()
+    for (co, q), ts in tokens.items():
+        scored = {u: sum(t in fn.lower() or t in (kind or "") for t in ts) for c2, u, fn, kind, _ in names if c2 == co}
+        best = sorted((-n, u) for u, n in scored.items() if n)[:8]
+        want |= {(co, q, u, -n, i) for i, (n, u) in enumerate(best, 1)}
+    got = file_token_match(questions, uploads)
+    assert {tuple(r) for r in got.filter("score > 0").collect()} == want
+    assert {(r[0], r[1]) for r in got.filter("score = 0").collect()} == {key for key in tokens if not any(x[:2] == key for x in want)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((company_id" in plan and "asked" in plan
