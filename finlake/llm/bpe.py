@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, record
 
-#: Encoded words that a worker keeps, slots of its arc table (a power of two), and the longest word in
-#: bytes that goes through the table with others; longer ones go alone.
-WORDS_HELD = 300_000
+#: Text encoded at once, encoded words that a worker keeps beyond it, slots of its arc table (a power of two),
+#: and the longest word in bytes that goes through the table with others; longer ones go alone. A worker's
+#: memory follows the first two.
+PIECE = 2 << 20
+WORDS_HELD = 150_000
 ARC_BITS = 20
 TOGETHER = 48
 NEVER = 1 << 60
@@ -419,4 +421,4 @@ def encode(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] =
         return record(doc_id=batch.column("doc_id"), n_tokens=pa.array(n, pa.int64()), **{c: make[c]() for c in outputs})
 
     rest = "".join(f", {c} {OUTPUTS[c]}" for c in outputs)
-    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long{rest}")
+    return map_texts(docs.select("doc_id", F.col("text").cast("string").alias("text")), work, f"doc_id {kind}, n_tokens long{rest}", most=PIECE)
