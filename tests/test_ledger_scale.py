@@ -1,4 +1,4 @@
-"""The ledger reads its lines once, and no table that grows is broadcast to classify invoices."""
+"""The ledger reads its lines once, and customers and parts are not broadcast to classify invoices."""
 
 import datetime as dt
 
