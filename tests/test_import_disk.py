@@ -54,3 +54,64 @@ def test_sheets_of_one_type_may_map_different_fields(spark, tmp_path):
     T.import_batch(store, "1", [T.Sheet("customers", one, "one.csv"), T.Sheet("customers", two, "two.csv")], AS_OF)
     got = sorted((r.code, r.name, r.country, r.segment) for r in store.read("customers").collect())
     assert got == [("1", "one", "", "x"), ("2", "two", "AU", "")]
+
+
+def suppliers(spark, rows):
+    df = spark.createDataFrame(rows, "company_id string, row_number long, vendor_id string, vendor_name string")
+    return T.Sheet("suppliers", df, "suppliers.csv")
+
+
+def test_types_are_loaded_one_after_the_other_and_published_together(spark, tmp_path, monkeypatch):
+    store, met = Store(spark, str(tmp_path), parts=2), []
+
+    def held():
+        return [f.split("scratch/")[1].split("-")[0] for f in glob.glob(f"{tmp_path}/scratch/*") if not spark.read.parquet(f).isEmpty()]
+
+    write = Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, rows, name, version: met.append((name, held(), self.version())) or write(self, rows, name, version))
+    assert T.import_batch(store, "1", [customers(spark, [("a", 1, "1", "one", "x")]), suppliers(spark, [("a", 1, "9", "nine"), ("a", 2, "8", " ")])], AS_OF)
+    assert [m[:2] for m in met if m[0] in ("customers", "suppliers")] == [("customers", ["customers"]), ("suppliers", ["suppliers"])]
+    assert {m[2] for m in met} == {0} and store.version() == 1
+    assert sorted((r.document_type, r.business_key) for r in store.read(T.HISTORY).collect()) == [("customers", "1"), ("suppliers", "9")]
+    assert [(r.document_type, r.row_number) for r in store.read(T.REJECTS).collect()] == [("suppliers", 2)]
+
+
+def test_a_failed_type_leaves_the_old_state_and_no_scratch(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path), parts=2)
+    T.import_batch(store, "1", [customers(spark, [("a", 1, "1", "one", "x")])], AS_OF)
+    write = Store._write
+
+    def failing(self, rows, name, version):
+        if name == "suppliers":
+            raise RuntimeError("no room")
+        return write(self, rows, name, version)
+
+    second = [customers(spark, [("a", 1, "1", "one", "y")]), suppliers(spark, [("a", 1, "9", "nine")])]
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_write", failing)
+        try:
+            T.import_batch(store, "2", second, AS_OF)
+        except RuntimeError as exc:
+            assert "no room" in str(exc)
+    assert shown(store) == [("a", "1", "one", "x")] and store.version() == 1 and store.read(T.HISTORY).count() == 1
+    assert all(spark.read.parquet(f).isEmpty() for f in glob.glob(f"{tmp_path}/scratch/*"))
+    assert T.import_batch(store, "2", second, AS_OF) and shown(store) == [("a", "1", "one", "y")]
+
+
+def test_types_that_share_a_table_are_together():
+    groups = T._sharing_tables(["customers", "sales_invoices", "payments", "supplier_invoices", "bank_statements", "transactions"], AS_OF)
+    assert groups == [["customers"], ["sales_invoices", "supplier_invoices"], ["payments", "bank_statements", "transactions"]]
+
+
+def test_stored_versions_move_once(spark, tmp_path):
+    """The rows of the batch and the stored versions meet by the keys that the versions are grouped by."""
+    store = Store(spark, str(tmp_path), parts=2)
+    sheet = customers(spark, [("a", 1, "1", "one", "x")])
+    T.import_batch(store, "1", [sheet], AS_OF)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = T._versioned(store, "customers", [sheet], ["code", "name", "segment"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2, plan
