@@ -18,6 +18,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffles_released
 from .common import BROADCAST_BYTES, LOWER, broadcast_if_small, cut, fresh, give_back, map_texts, mixed, pieces, record, text_of, utf8, word_bounds, word_hashes
 
 #: Jaccard similarity of the sets of words from which two lines match, and the fewest distinct words of a
@@ -515,6 +516,12 @@ def later_matches(docs: DataFrame, similar: float = SIMILAR, least: int = LEAST_
 
 
 def _matches(docs: DataFrame, keyed: bool, similar: float, least: int, cell_rows: int) -> DataFrame:
+    # each step ends in a checkpoint or on the driver, so its shuffle files can go with it
+    with shuffles_released(docs.sparkSession):
+        return _rounds(docs, keyed, similar, least, cell_rows)
+
+
+def _rounds(docs: DataFrame, keyed: bool, similar: float, least: int, cell_rows: int) -> DataFrame:
     levels, lines, words = rarity(docs)
     parts = common_first_words(docs, levels, lines, similar, least, cell_rows)
     rows = _rows(docs, keyed)
