@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from .common import map_texts, record
 
 #: Text encoded at once, encoded words that a worker keeps beyond it, slots of its arc table (a power of two),
-#: and the longest word in bytes that goes through the table with others; longer ones go alone. A worker's
-#: memory follows the first two.
-PIECE = 2 << 20
-WORDS_HELD = 150_000
+#: the longest word in bytes that goes through the table with others (longer ones go alone), and the fewest
+#: arcs worked out together. A worker's memory follows the first two.
+PIECE = 3 << 19
+WORDS_HELD = 100_000
 ARC_BITS = 20
 TOGETHER = 48
+FEW = 24
 NEVER = 1 << 60
 
 
@@ -90,10 +91,10 @@ class Automaton:
         self.left[w], self.made[w] = u, rank
         self.cuts[narrowed, v] = rank
 
-    def has_arc(self, state: int, label: int) -> bool:
-        """Whether an arc leaves ``state``: follow the state back to what it was copied from, and the
-        label back to its first part, to the cuts made before."""
-        cuts, now = self.cuts, NEVER
+    def has_arc(self, state: int, label: int, now: int = NEVER) -> bool:
+        """Whether an arc leaves ``state`` before merge ``now``: follow the state back to what it was copied
+        from, and the label back to its first part, to the cuts made before."""
+        cuts = self.cuts
         while True:
             if cuts.get((state, label), now) < now:
                 return False
@@ -106,10 +107,10 @@ class Automaton:
                 now, label = made + 1, self.left[label]
 
     def has_arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The same for many arcs at once."""
+        """The same for many arcs at once; the few that go on longest are followed one by one."""
         there = np.zeros(len(state), bool)
         at, now = np.arange(len(state)), np.full(len(state), NEVER)
-        while len(at):
+        while len(at) > FEW:
             key = state << 20 | label
             place = np.minimum(np.searchsorted(self.cut_key, key), len(self.cut_key) - 1)
             whole = (self.cut_at[place] >= now) | (self.cut_key[place] != key) if len(self.cut_key) else np.ones(len(at), bool)
@@ -120,6 +121,8 @@ class Automaton:
             at, up, made, split, state, label, now = at[go], up[go], made[go], split[go], state[go], label[go], now[go]
             now = np.where(up, np.minimum(now, split), made + 1)
             state, label = np.where(up, self.copied[state], state), np.where(up, label, self.left_of[label])
+        for k, *arc in zip(at.tolist(), state.tolist(), label.tolist(), now.tolist(), strict=True):
+            there[k] = self.has_arc(*arc)
         return there
 
     def arcs(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -293,6 +296,30 @@ class Automaton:
 END = "</w>"
 
 
+class Held:
+    """For words the ids as text and the decoded text. At most ``most`` words beside those of the last look: first
+    those go that were looked for only once."""
+
+    def __init__(self, most: int):
+        self.most, self.ids, self.decoded, self.once = most, {}, {}, set()
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that are not held, for the caller to put in."""
+        if len(self) > self.most:
+            often = [] if 4 * (len(self) - len(self.once)) > 3 * self.most else [k for k in self.ids if k not in self.once]
+            self.ids, self.decoded, self.once = {k: self.ids[k] for k in often}, {k: self.decoded[k] for k in often}, set()
+        self.once -= keys
+        new = [k for k in keys if k not in self.ids]
+        self.once.update(new)
+        return new
+
+    def put(self, key: str, ids: str, decoded: str) -> None:
+        self.ids[key], self.decoded[key] = ids, decoded
+
+
 class WordCodec:
     """A tokenizer file of the kind "lower case, byte symbols, word-end mark", as an automaton."""
 
@@ -312,28 +339,28 @@ class WordCodec:
             label[i] = name
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.number = [str(i) for i in range(len(label))]
-        self.words: dict[str, tuple[int, str, str]] = {}
+        # of runs without white space, and of the words in them
+        self.words, self.parts = Held(WORDS_HELD), Held(WORDS_HELD)
 
     def _prepare(self, chunks: set[str]) -> None:
-        """Encode the runs without white space that are not held yet: for each the number of its ids,
-        the ids as text, and the decoded text."""
-        if len(self.words) > WORDS_HELD:
-            self.words.clear()
-        new = [c for c in chunks if c not in self.words]
+        """Encode the runs without white space that are not held yet. Many runs are one word with other
+        capitals or signs beside it, so that the words are held as well."""
+        new = self.words.missing(chunks)
         # one pass over all of them; no run contains the line end that stands between them
         text = unicodedata.normalize("NFC", "\n".join(new)).replace("\u03a3", "\u03c3").lower()
         pieces = self.SPLIT.findall(text)
         pieces.append("\n")
-        distinct = list(set(pieces) - {"\n"})
-        ids_of = dict(zip(distinct, self.automaton.encode_all([p.encode() for p in distinct]), strict=True))
-        number, label, held, ids = self.number, self.automaton.label, self.words, []
+        number, label, held, known, own = self.number, self.automaton.label, self.words, self.parts, []
+        distinct = known.missing(set(pieces) - {"\n"})
+        for p, ids in zip(distinct, self.automaton.encode_all([p.encode() for p in distinct]), strict=True):
+            known.put(p, " ".join([number[i] for i in ids]), " ".join([label[i] for i in ids]))
         chunk = iter(new)
         for p in pieces:
             if p != "\n":
-                ids += ids_of[p]
+                own.append(p)
             elif new:
-                held[next(chunk)] = len(ids), " ".join([number[i] for i in ids]), " ".join([label[i] for i in ids])
-                ids = []
+                held.put(next(chunk), " ".join([known.ids[o] for o in own]), " ".join([known.decoded[o] for o in own]))
+                own = []
 
     def _runs(self, text: str) -> list[str]:
         """Runs without white space and special tokens, in order."""
@@ -344,29 +371,30 @@ class WordCodec:
     def _plain(self, text: str) -> list[str]:
         return self.SPLIT_ODD.findall(text) if self.ODD.search(text) else text.split()
 
-    def _all(self, texts: list[str]):
-        """The encoded runs of each text."""
+    def _all(self, texts: list[str]) -> list[list[str]]:
+        """The runs of each text; ``words`` holds all of them then."""
         runs = [self._runs(t) for t in texts]
         self._prepare(set().union(*runs))
         for name, i in self.special.items():
-            self.words[name] = 1, str(i), name
-        held = self.words
-        return [[held[r] for r in own] for own in runs]
+            self.words.put(name, str(i), name)
+        return runs
 
     SPLIT_ODD = regex.compile(r"\P{White_Space}+")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for run in own for i in run[1].split()] for own in self._all(texts)]
+        runs, ids = self._all(texts), self.words.ids
+        return [[int(i) for run in own for i in ids[run].split()] for own in runs]
 
     def decode(self, ids) -> str:
         return self.automaton.decode(ids)
 
     def written(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of tokens, the decimal ids joined by one blank, and the decoded text."""
-        out = []
-        for own in self._all(texts):
-            own = [r for r in own if r[0]]
-            out.append((sum([r[0] for r in own]), " ".join([r[1] for r in own]), " ".join([r[2] for r in own])))
+        out, runs = [], self._all(texts)
+        ids_of, decoded_of = self.words.ids.__getitem__, self.words.decoded.__getitem__
+        for own in runs:
+            ids = " ".join(filter(None, map(ids_of, own)))
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(decoded_of, own)))))
         return out
 
 
