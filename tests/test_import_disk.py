@@ -115,3 +115,39 @@ def test_stored_versions_move_once(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_large_types_are_merged_some_parts_at_a_time(spark, tmp_path, monkeypatch):
+    """Slices move a part's rows each and bring what one pass brings: repeated keys, null companies and rejected rows as well."""
+    from finlake.operators import store as S
+
+    one = [(co, i, str(i % 30), " " if i % 7 == 0 else f"n{i}", f"s{i % 4}") for i, co in enumerate(["a", "b", None] * 40, 1)]
+    two = [(co, i, key, name, "new" if i % 3 == 0 else segment) for co, i, key, name, segment in one] + [("a", 900, "900", "late", "x")]
+    got, slices = [], []
+    versioned = T._versioned
+    monkeypatch.setattr(T, "_versioned", lambda *a, **k: slices.append(a[4]) or versioned(*a, **k))
+    for rows, path in ((10**9, "whole"), (25, "sliced")):
+        monkeypatch.setattr(S, "SLICE_ROWS", rows)
+        store = Store(spark, f"{tmp_path}/{path}", parts=4)
+        for number, upload in enumerate((one, two)):
+            sheet = customers(spark, upload)
+            sheet.most = len(upload)
+            assert T.import_batch(store, str(number), [sheet], AS_OF)
+        tables = [store.read(t) for t in ("customers", T.HISTORY, T.REJECTS)]
+        got.append([sorted(map(str, t.select(*sorted(t.columns)).collect())) for t in tables])
+        got[-1].append(sorted((str(r.company_id), r.code, r.part) for r in store._read("customers", store._state()[1]["customers"]).collect()))
+    assert slices == [None, None, *[[p] for p in range(4)] * 2] and all(got[0]) and got[0] == got[1]
+    assert S.in_slices({0: 10, 2: 20, 1: 9, 3: 40}) == [[0, 1], [2], [3]] and S.in_slices({}) == []
+
+
+def test_a_slice_aggregates_its_rows_alone(spark, tmp_path):
+    """The parts are told from the keys before a sheet's rows are added up, so that slices do not add up all rows each."""
+    from finlake.sources.sheets import SHEETS
+
+    spark.createDataFrame([(1, 7, 1.5, "1996-01-02"), (2, 8, 2.5, "1996-01-03")], "l_orderkey long, l_suppkey long, l_extendedprice double, l_shipdate string").write.parquet(f"{tmp_path}/l")
+    text = SHEETS["supplier_invoices"][1].replace("{b}", "1").replace("{t:lineitem}", "{lineitem}")
+    sheet = T.Sheet("supplier_invoices", spark.sql(text, lineitem=spark.read.parquet(f"{tmp_path}/l")), "bills.csv")
+    rows = T._versioned(Store(spark, str(tmp_path), parts=2), "supplier_invoices", [sheet], list(T._mapping(sheet)), [1])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    sums = next(k for k, line in enumerate(plan.splitlines()) if "Aggregate [l_orderkey" in line)
+    assert any("xxhash64" in line for line in plan.splitlines()[sums:]), plan
