@@ -99,3 +99,14 @@ def test_steps_side_by_side_all_end(spark):
         at_once(spark, [lambda: step(1), lambda: step(2)])
     assert sorted(ended) == [1, 2]
     assert at_once(spark, [lambda: spark.range(3).count()]) == [3] and at_once(spark, []) == []
+
+
+def test_a_purge_works_its_versions_out_once(spark, tmp_path, monkeypatch):
+    store, lots = Store(spark, str(tmp_path), parts=2), []
+    T.import_batch(store, "1", [customers(spark, [("a", 1, "1", "one", "x"), ("b", 1, "1", "uno", "x")])], AS_OF)
+    files = spark.createDataFrame([("a", "customers.csv")], "company_id string, source_file string")
+    scratch = Store.scratch
+    monkeypatch.setattr(Store, "scratch", lambda self, slices, name: lots.append(name) or scratch(self, slices, name))
+    assert T.source_purge(store, "2", files) and not T.source_purge(store, "2", files)
+    assert lots == ["purge"] and table(store) == [("b", "1", "x")]
+    assert [(r.company_id, r.business_key) for r in store.read(T.HISTORY).collect()] == [("b", "1")]
