@@ -1,9 +1,9 @@
-"""An import works each sheet out once, merges without adding rows up, and loads small types side by side."""
+"""An import works each sheet out once, merges without adding rows up, and runs small steps side by side."""
 
 import threading
 
 import pytest
-from test_import_disk import customers, suppliers
+from test_import_disk import customers
 
 from finlake.operators import incremental as INC
 from finlake.operators import store as S
@@ -65,24 +65,21 @@ def test_the_newest_row_of_a_key(spark):
     assert got == [(1, 1, False), (2, 2, True), (3, 2, False), (4, 3, False), (5, 1, False), (6, 2, True)]
 
 
-def test_small_types_are_side_by_side_and_bring_the_same(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "SLICE_ROWS", 10)
-    groups = [["customers"], ["suppliers"], ["sales_invoices", "supplier_invoices"], ["budgets"], ["web_pages"]]
-    most = {"customers": 4, "suppliers": 6, "sales_invoices": 20, "supplier_invoices": 1, "budgets": 3, "web_pages": None}
-    assert T._side_by_side(groups, most) == [["customers", "suppliers"], ["sales_invoices", "supplier_invoices"], ["budgets"], ["web_pages"]]
-    got, lots = [], []
-    changes = T._changes
-    monkeypatch.setattr(T, "_changes", lambda kept, *a: lots.append(list(kept)) or changes(kept, *a))
+def test_small_types_of_a_table_are_versioned_side_by_side(spark, tmp_path, monkeypatch):
+    """Types that share a table are versioned in threads of their own where they are known to be small, and bring the same."""
+    got, threads = [], []
+    versioned = T._versioned
+    monkeypatch.setattr(T, "_versioned", lambda *a, **k: threads.append(threading.get_ident()) or versioned(*a, **k))
     for known in (0, 5):
         store = Store(spark, f"{tmp_path}/{known}", parts=2)
-        for number, name in ((1, "one"), (2, "uno")):
-            sheets = [customers(spark, [("a", 1, "1", name, "x"), (None, 2, "2", "two", "x"), ("a", 3, "3", " ", "x")]), suppliers(spark, [("a", 1, "9", name), ("a", 2, "8", " ")])]
-            for sheet in sheets:
-                sheet.most = known
-            assert T.import_batch(store, str(number), sheets, AS_OF)
-        got.append([sorted(map(str, store.read(t).collect())) for t in ("customers", "suppliers", T.HISTORY, T.REJECTS)])
-    assert lots == [["customers"], ["suppliers"]] * 2 + [["customers", "suppliers"]] * 2
+        for number, amount in ((1, "5"), (2, "7")):
+            rows = spark.createDataFrame([("a", 1, "one", amount), (None, 2, "two", "1"), ("a", 3, " ", "2")], "company_id string, row_number long, name string, amount string")
+            assert T.import_batch(store, str(number), [T.Sheet(t, rows, f"{t}.csv", most=known) for t in ("assets", "liabilities")], AS_OF)
+        got.append([sorted(map(str, store.read(t).collect())) for t in ("assets_liabilities", T.HISTORY, T.REJECTS)])
+    assert set(threads[:4]) == {threading.get_ident()} and threading.get_ident() not in threads[4:]
     assert got[0] == got[1] and all(got[0])
+    assert T._no_more_than_a_slice(["a", "b"], {"a": 1, "b": S.SLICE_ROWS - 1})
+    assert not T._no_more_than_a_slice(["a", "b"], {"a": 1, "b": S.SLICE_ROWS}) and not T._no_more_than_a_slice(["a", "b"], {"a": 1, "b": None})
 
 
 def test_steps_side_by_side_all_end(spark):
